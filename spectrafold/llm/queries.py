@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, jaccard, mixing, secret_scan, token_store
+from . import bpe, embed_dedup, jaccard, mixing, secret_scan, token_store
 
 #: The tokenizer's file is a parameter of the operators; the queries use the installed public one.
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -33,12 +33,16 @@ def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.classes(table(spark, sf_dir, "documents"))
 
 
+def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.store(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mix": op1_mix, "op3_bpe": op3_bpe, "op7_secrets": op7_secrets, "op8_jaccard": op8_jaccard, "op10_tokens": op10_tokens}
+    return {"op1_mix": op1_mix, "op3_bpe": op3_bpe, "op7_secrets": op7_secrets, "op8_jaccard": op8_jaccard, "op9_embeddings": op9_embeddings, "op10_tokens": op10_tokens}
 
 
 def oracle_sql() -> dict[str, str]:
