@@ -39,7 +39,8 @@ def repair(ids: np.ndarray, base: int, rounds: int = ROUNDS, pairs: int = PAIRS,
         bins = ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int32)
         counts = np.bincount(bins, minlength=1 << 20)
         most = min(pairs, SYMBOLS - size)
-        limit = max(least, int(np.partition(counts, -most)[-most]))
+        often = counts[counts >= least]
+        limit = int(np.partition(often, -most)[-most]) if len(often) > most else least
         at = np.flatnonzero((counts >= limit)[bins])
         if not len(at):
             break
