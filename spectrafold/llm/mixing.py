@@ -110,14 +110,16 @@ def mix(
     cells = cells.withColumn("quota", F.least(F.col("quota"), max_epochs * F.col("blocks")))
     cells = written(cells.select("src", "shard", "blocks", F.expr("quota div blocks").alias("epochs"), F.expr("quota % blocks").alias("extra")), "cells")
 
-    blocks = cells.where("extra > 0").select("src", "shard", "extra", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+    # A few rows here become many: they are dealt out before that, and their size afterwards can't be estimated, so no broadcast.
+    spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = cells.where("extra > 0").repartition(spread, "src", "shard").select("src", "shard", "extra", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
     draw = F.md5(F.concat_ws("|", F.lit(seed), "src", "shard", "block"))
     drawn = blocks.withColumn("turn", F.row_number().over(Window.partitionBy("src", "shard").orderBy(draw, "block"))).where("turn <= extra").select("src", "shard", "block")
 
     spans = placed.where("size > 0").select("*", F.explode(F.sequence(F.expr("start div words"), F.expr("(start + size - 1) div words"))).alias("block"))
     overlap = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * F.col("words")) - F.greatest(F.col("start"), F.col("block") * F.col("words"))
     rows = ["doc_id", "source", "size", "source_size", "target", "src", "shard", "start"]
-    partly = spans.join(drawn, ["src", "shard", "block"]).groupBy("src", "shard", "start").agg(F.sum(overlap).alias("part"))
+    partly = spans.join(drawn.hint("merge"), ["src", "shard", "block"]).groupBy("src", "shard", "start").agg(F.sum(overlap).alias("part"))
     sizes = placed.where("size > 0").join(partly, ["src", "shard", "start"], "left").join(cells, ["src", "shard"], "left")
     taken = (F.coalesce("epochs", F.lit(0)) * F.col("size") + F.coalesce("part", F.lit(0))).cast("long").alias("taken")
     none = placed.where("size = 0").select(*rows, F.lit(0).cast("long").alias("taken"))
