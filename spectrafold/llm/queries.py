@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embed_dedup, jaccard, mixing, secret_scan, token_store
+from . import ann, bpe, embed_dedup, jaccard, mixing, pii, secret_scan, token_store
 
 #: The tokenizer's file is a parameter of the operators; the queries use the installed public one.
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -25,6 +25,14 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(table(spark, sf_dir, "documents"))
 
@@ -42,7 +50,7 @@ def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mix": op1_mix, "op3_bpe": op3_bpe, "op7_secrets": op7_secrets, "op8_jaccard": op8_jaccard, "op9_embeddings": op9_embeddings, "op10_tokens": op10_tokens}
+    return {"op1_mix": op1_mix, "op3_bpe": op3_bpe, "op5_neighbours": op5_neighbours, "op6_pii": op6_pii, "op7_secrets": op7_secrets, "op8_jaccard": op8_jaccard, "op9_embeddings": op9_embeddings, "op10_tokens": op10_tokens}
 
 
 def oracle_sql() -> dict[str, str]:
