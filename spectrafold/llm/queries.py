@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, embed_dedup, jaccard, mixing, pii, secret_scan, token_store
+from . import ann, bpe, embed_dedup, jaccard, mixing, pii, quality, secret_scan, suffix_dedup, token_store
 
 #: The tokenizer's file is a parameter of the operators; the queries use the installed public one.
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -21,10 +21,18 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"))
 
@@ -50,7 +58,7 @@ def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mix": op1_mix, "op3_bpe": op3_bpe, "op5_neighbours": op5_neighbours, "op6_pii": op6_pii, "op7_secrets": op7_secrets, "op8_jaccard": op8_jaccard, "op9_embeddings": op9_embeddings, "op10_tokens": op10_tokens}
+    return {"op1_mix": op1_mix, "op2_repeats": op2_repeats, "op3_bpe": op3_bpe, "op4_quality": op4_quality, "op5_neighbours": op5_neighbours, "op6_pii": op6_pii, "op7_secrets": op7_secrets, "op8_jaccard": op8_jaccard, "op9_embeddings": op9_embeddings, "op10_tokens": op10_tokens}
 
 
 def oracle_sql() -> dict[str, str]:
