@@ -254,8 +254,9 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """One document of each component stays: the one with the smallest id, and of equal ids one. All columns stay.
 
-    Documents without words link with nothing and stay, one for each id.
+    Documents without words link with nothing and stay, one for each id; so do all without an id, as nothing names them.
     """
-    kept = classes(docs, **options).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.dropDuplicates(["doc_id"]).join(kept, F.col("doc_id").eqNullSafe(F.col("_kept"))).drop("_kept")
-
+    judged = classes(docs.where("doc_id is not null"), **options)
+    kept = judged.where("doc_id = component_id").select("doc_id").distinct()
+    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return named.unionByName(docs.where("doc_id is null"))

@@ -124,3 +124,19 @@ def mix(
     taken = (F.coalesce("epochs", F.lit(0)) * F.col("size") + F.coalesce("part", F.lit(0))).cast("long").alias("taken")
     none = placed.where("size = 0").select(*rows, F.lit(0).cast("long").alias("taken"))
     return sizes.select(*rows, taken).unionByName(none).select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
+def mixed_documents(docs: DataFrame, *, seed: str = "mix-1", **options) -> DataFrame:
+    """The mix itself: each document as often as the mix takes it, whole; all columns stay.
+
+    A document of which the mix takes 2.3 times its words comes twice, and with a chance of 0.3, drawn by a seeded hash, a
+    third time. Documents of which it takes nothing, or that have no words, go. Equal rows are taken alike.
+    """
+    row = F.xxhash64("doc_id", "source", "text")
+    keyed = docs.withColumn("_row", row)
+    share = mix(keyed, id_col="_row", seed=seed, **options).where("taken > 0").groupBy(F.col("doc_id").alias("_row")).agg(F.avg(F.col("taken") / F.col("size")).alias("_times"))
+    chance = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), "_row")), 1, 8), 16, 10).cast("double") / 2.0**32
+    copies = (F.floor("_times") + F.when(chance < F.col("_times") - F.floor("_times"), 1).otherwise(0)).cast("int")
+    share = share.withColumn("_copies", copies).where("_copies > 0").select("_row", "_copies")
+    taken = keyed.join(share, "_row")
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)

@@ -246,7 +246,7 @@ def classify(
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The documents that the classifier keeps, with all their columns. Of rows with one id, all stay if the best one does."""
-    judged = classify(docs, labels, **options).groupBy("doc_id").agg(F.max("keep").alias("_keep"))
-    bad = judged.where("not _keep").select(F.col("doc_id").alias("_bad"))
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+    """The documents that the classifier keeps, with all their columns; rows with one id go only if all of them would."""
+    judged = classify(docs, labels, **options).groupBy("doc_id").agg(F.max("keep").alias("kept"))
+    bad = judged.where("not kept and doc_id is not null").select("doc_id")
+    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)

@@ -102,13 +102,13 @@ def redact(docs: DataFrame, *, mark: str = "[SECRET]", **options) -> DataFrame:
     A document is found again by its id and a hash of its text. n_chars, where there is such a column, follows the text.
     """
     key = F.xxhash64(F.col("doc_id"), F.length(text_of()), text_of())
-    keyed = docs.withColumn("_key", key)
-    rows, spans = scan(keyed, repo_col="_key", **options)
-    values = spans.where("verdict = 'live'").groupBy(F.col("repo").cast("long").alias("_key")).agg(F.array_sort(F.collect_set("value")).alias("_values"))
-    found = keyed.join(values, "_key", "left")
-    longest_first = F.expr("array_sort(_values, (a, b) -> length(b) - length(a))")
-    text = F.when(F.col("_values").isNull(), F.col("text")).otherwise(F.aggregate(longest_first, F.col("text"), lambda t, v: F.replace(t, v, F.lit(mark))))
+    keyed = docs.withColumn("_row_key", key)
+    rows, spans = scan(keyed, repo_col="_row_key", **options)
+    values = spans.where("verdict = 'live'").groupBy(F.col("repo").cast("long").alias("_row_key")).agg(F.array_sort(F.collect_set("value")).alias("_row_values"))
+    found = keyed.join(values, "_row_key", "left")
+    longest_first = F.expr("array_sort(_row_values, (a, b) -> length(b) - length(a))")
+    text = F.when(F.col("_row_values").isNull(), F.col("text")).otherwise(F.aggregate(longest_first, F.col("text"), lambda t, v: F.replace(t, v, F.lit(mark))))
     out = found.withColumn("text", text)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_values").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+        out = out.withColumn("n_chars", F.when(F.col("_row_values").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
