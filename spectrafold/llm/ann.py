@@ -16,6 +16,8 @@ from .vectors import runs, usable
 #: Vectors that the lists are fitted on, and of these the ones that give each query its first bound. Both are bounds on what
 #: reaches the driver; every vector is indexed.
 FIT, FIRST = 20_000, 2_048
+#: Lists that are scanned first, to raise each query's bound before its other lists are.
+LEAD = 3
 #: Most lists, vectors in a block of a list, and dimensions in a column block.
 LISTS, BLOCK, COLUMNS = 1_024, 4_096, 16
 #: A candidate is abandoned when its partial product stays this many deviations of the rest below the bound.
@@ -111,7 +113,7 @@ def search(rows: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedd
     has them all. No usable rows: no rows.
 
     Lists and the number of probes are fitted on FIT vectors, spread by hash; each query's bound is its k-th best of FIRST
-    of them, which are candidates too. All vectors are indexed. A list's vectors are dealt to blocks of about BLOCK, so a
+    of them, which are candidates too, and then of its LEAD nearest lists. All vectors are indexed. A list's vectors are dealt to blocks of about BLOCK, so a
     crowded list is scanned by many tasks.
     """
     spark = rows.sparkSession
@@ -170,8 +172,11 @@ def search(rows: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedd
         listed = written(base.mapInArrow(placed, "list int, vec_id long, vector binary"), "lists")
         blocks = written(listed.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "blocks")
         stored = listed.join(F.broadcast(blocks), "list").select("list", F.pmod(spread, F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("side"), "vec_id", "vector", F.lit(0.0).alias("bound"))
-        probing = questions.select("query_id", "vector", "bound", F.explode("lists").alias("list")).join(F.broadcast(blocks), "list")
-        probing = probing.select("list", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), F.lit(1).alias("side"), F.col("query_id").alias("vec_id"), "vector", "bound")
+
+        def probing(questions: DataFrame, first: int, many: int) -> DataFrame:
+            lists = F.explode(F.slice("lists", first + 1, many)).alias("list")
+            rows = questions.select("query_id", "vector", "bound", lists).join(F.broadcast(blocks), "list")
+            return rows.select("list", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), F.lit(1).alias("side"), F.col("query_id").alias("vec_id"), "vector", "bound")
 
         def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rotation = sent.value[0].rotation
@@ -190,9 +195,17 @@ def search(rows: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedd
                     out[2].append(scores)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["query_id", "vec_id", "score"])
 
-        both = stored.unionByName(probing)
-        hits = both.repartition("list", "block").sortWithinPartitions("list", "block", "side").mapInArrow(scanned, "query_id long, vec_id long, score double")
-        found = hits.unionByName(known).dropDuplicates(["query_id", "vec_id", "score"])
+        def scan(probes: DataFrame, known: DataFrame) -> DataFrame:
+            rows = stored.unionByName(probes).repartition("list", "block").sortWithinPartitions("list", "block", "side")
+            hits = rows.mapInArrow(scanned, "query_id long, vec_id long, score double")
+            return hits.unionByName(known).dropDuplicates(["query_id", "vec_id", "score"])
+
+        order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id").asc())
+        ranked = scan(probing(questions, 0, LEAD), known).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        known = written(ranked.drop("rank"), "first")
+        bounds = known.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("raised"))
+        raised = questions.join(bounds, "query_id").withColumn("bound", F.coalesce("raised", "bound"))
+        found = scan(probing(raised, LEAD, LISTS), known)
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id").asc())
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
