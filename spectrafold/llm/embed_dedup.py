@@ -110,8 +110,8 @@ def _prepared(rows: DataFrame) -> DataFrame:
 def _cells(kinds: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(vectors with their block, pairs of blocks that may hold links).
 
-    The top level of the tree: up to PIVOTS vectors of each label and length, by hash; each vector goes to the nearest, and
-    a pivot's vectors to blocks of about BLOCK by hash. Pairs of blocks go where the pivots are too far apart.
+    The top level of the tree: up to PIVOTS vectors of each label and length, by hash, one for each BLOCK of them;
+    each vector goes to the nearest, and a pivot's vectors to blocks of about BLOCK by hash. Pairs of blocks go where the pivots are too far apart.
     """
     group = ["label", "size"]
     kinds = kinds.withColumn("size", F.length("unit"))
@@ -119,7 +119,7 @@ def _cells(kinds: DataFrame) -> tuple[DataFrame, DataFrame]:
     first = Window.partitionBy(*group).orderBy(F.xxhash64("cid"), "cid")
     lowest = F.xxhash64("cid") < (F.lit(-(2**63)) + F.lit(2.0**64) * 4 * PIVOTS / F.col("all")).cast("long")
     few = kinds.join(counts, group).where((F.col("all") > BLOCK) & lowest)
-    pivots = written(few.withColumn("pivot", F.row_number().over(first)).where(F.col("pivot") <= PIVOTS).select(*group, "pivot", F.col("unit").alias("at")), "pivots")
+    pivots = written(few.withColumn("pivot", F.row_number().over(first)).where(F.col("pivot") <= F.least(F.lit(PIVOTS), F.ceil(F.col("all") / BLOCK))).select(*group, "pivot", F.col("unit").alias("at")), "pivots")
     listed = pivots.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("pivot", "at"))).alias("pivots"))
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
