@@ -6,7 +6,7 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,11 +35,7 @@ class Vocabulary:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.slow = Tokenizer.from_file(path)
-        self.slow.no_truncation()
-        self.slow.no_padding()
+        self.path = path
         with open(path, encoding="utf-8") as f:
             said = json.load(f)
         visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -64,6 +60,16 @@ class Vocabulary:
             self.fast = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=added)
             self.special = set(added)
 
+    @cached_property
+    def slow(self):
+        """The library's own tokenizer, without truncation and padding."""
+        from tokenizers import Tokenizer
+
+        out = Tokenizer.from_file(self.path)
+        out.no_truncation()
+        out.no_padding()
+        return out
+
     def encode(self, text: str) -> np.ndarray:
         """Ids as the tokenizers library gives them without added special tokens."""
         if self.fast is not None and (text.isascii() or not PLAIN.search(text)):

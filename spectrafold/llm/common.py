@@ -12,6 +12,16 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Rows of one Arrow batch: few, as texts may be long.
+BATCH_ROWS = 500
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table whose rows reach Python in small batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return spark.read.parquet(path)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: spark.checkpoint.dir, or a local one where that is unset."""
     sc = spark.sparkContext

@@ -8,13 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import ann, bpe, embed_dedup, jaccard, mixing, pii, quality, secret_scan, suffix_dedup, token_store
+from .common import read_table
 
 #: The tokenizer's file is a parameter of the operators; the queries use the installed public one.
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_table(spark, f"{sf_dir}/{name}.parquet")
 
 
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
