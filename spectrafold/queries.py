@@ -375,10 +375,10 @@ def kwip_distance(spark: SparkSession, d: str) -> DataFrame:
 
 
 def vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Cosine distances of embeddings, one label's worth of every ten, with their labels."""
+    """Cosine distances of embeddings, with their labels."""
     rows = table(spark, d, "embeddings").where("embedding is not null and label is not null").select(F.format_string("%08d", "vec_id").alias("sample"), F.col("label").cast("string").alias("label"), "embedding")
-    counts = rows.select("sample", F.posexplode("embedding").alias("feature", "c")).withColumn("feature", F.col("feature").cast("string"))
-    return D.to_distance(D.cosine_similarity(counts, clamp=(-1.0, 1.0)), -1.0), rows.select("sample", "label")
+    spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return D.to_distance(D.cosine_of_vectors(rows.repartition(spread), "embedding"), -1.0), rows.select("sample", "label")
 
 
 VECTORS = """e as (select printf('%08d', vec_id) as sample, cast(label as varchar) as label, embedding::double[] as v from embeddings where embedding is not null and label is not null),

@@ -12,7 +12,7 @@ SUFFIXES = "*.{fa,fasta,fna,fas,fa.gz,fasta.gz,fna.gz,fas.gz}"
 
 
 def read_files(spark: SparkSession, path: str, glob: str = SUFFIXES) -> DataFrame:
-    """(sample, file, text): one row a file, for sequences whose records are joined. Gzipped files are read alike."""
+    """(sample, file, text): one row a file, for sequences whose records are joined. Gzipped files are read alike; an empty file has no row."""
     rows = spark.read.text(path, wholetext=True, pathGlobFilter=glob)
     file = F.col("_metadata.file_name")
     return rows.select(sample_name(file).alias("sample"), file.alias("file"), F.col("value").alias("text"))
