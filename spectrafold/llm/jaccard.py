@@ -229,7 +229,7 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     passed = _first_pass(rows, size)
     each = passed.where("block is null").select("doc_id", "cid", "n")
     kinds = written(each.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n")), "classes")
-    prefixes = _prefixes(rows, _sketch(passed), size, percent).dropDuplicates(["cid"])
+    prefixes = written(_prefixes(rows, _sketch(passed), size, percent).dropDuplicates(["cid"]), "prefixes")
     edges = written(_edges(prefixes.select("cid", "n", F.explode("marks").alias("mark")), percent), "edges")
 
     clusters = components(edges).withColumnsRenamed({"node": "cid", "component": "cluster"})
