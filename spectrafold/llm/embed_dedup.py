@@ -27,53 +27,54 @@ class Node:
         self.center, self.radius, self.points, self.children = center, radius, points, children
 
 
-def cover_tree(unit: np.ndarray, points: np.ndarray | None = None, center: int = 0, scale: float = 2.0, leaf: int = 32) -> Node:
+def cover_tree(unit: np.ndarray, points: np.ndarray | None = None, center: int = 0, scale: float = 2.0, leaf: int = 64) -> Node:
     """Nested levels: each center is a center of the next level too, whose radius is half as large."""
     points = np.arange(len(unit)) if points is None else points
-    away = np.sqrt(np.maximum(0.0, ((unit[points] - unit[center]) ** 2).sum(1)))
-    radius = float(away.max(initial=0.0))
+    own = unit[points]
+    radius = float(np.sqrt(np.maximum(0.0, ((own - unit[center]) ** 2).sum(1))).max(initial=0.0))
     if len(points) <= leaf or radius < 1e-6:
         return Node(center, radius, points, [])
     while scale / 2 >= radius:
         scale /= 2
-    children, left, at = [], points, center
+    products = own @ own.T
+    within = 1 - (scale / 2) ** 2 / 2
+    children, left, at = [], np.arange(len(points)), int(np.flatnonzero(points == center)[0])
     while len(left):
-        near = np.sqrt(np.maximum(0.0, ((unit[left] - unit[at]) ** 2).sum(1))) <= scale / 2
+        near = products[at, left] >= within
         near |= left == at
-        children.append(cover_tree(unit, left[near], at, scale / 2, leaf))
+        children.append((points[left[near]], int(points[at])))
         left = left[~near]
         at = int(left[0]) if len(left) else at
-    return Node(center, radius, points, children)
+    del products, own
+    return Node(center, radius, points, [cover_tree(unit, p, c, scale / 2, leaf) for p, c in children])
 
 
 def close_pairs(a: np.ndarray, b: np.ndarray | None, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(positions in a, positions in b) of unit vectors with at least the cosine; each pair once where b is None.
 
-    A pair of nodes goes if the distance of their centers exceeds both covering radii and the distance that the cosine
-    stands for; else the wider of the two is opened, until few enough points are left to multiply.
+    Both trees are opened together. Of the pairs of children, those go whose centers are farther apart than both covering
+    radii and the distance that the cosine stands for; the others are opened in turn, until few enough points are left to
+    multiply.
     """
-    far = math.sqrt(max(0.0, 2 - 2 * cosine)) + 1e-7
+    far = math.sqrt(max(0.0, 2 - 2 * cosine)) + 1e-6
     left = cover_tree(a)
     right, other = (left, a) if b is None else (cover_tree(b), b)
     stack = [(left, right)]
     while stack:
         x, y = stack.pop()
-        if np.sqrt(((a[x.center] - other[y.center]) ** 2).sum()) > x.radius + y.radius + far:
-            continue
-        if x is y and x.children:
-            stack += [(c, d) for i, c in enumerate(x.children) for d in x.children[i:]]
-        elif len(x.points) * len(y.points) <= AT_ONCE or not (x.children or y.children):
+        if len(x.points) * len(y.points) <= AT_ONCE or not (x.children or y.children):
             i, j = np.nonzero(a[x.points] @ other[y.points].T >= cosine)
             i, j = x.points[i], y.points[j]
-            if b is None:
-                once = i < j if x is y else np.ones(len(i), bool)
-                i, j = i[once], j[once]
+            if x is y:
+                i, j = i[i < j], j[i < j]
             if len(i):
                 yield i, j
-        elif x.children and (x.radius >= y.radius or not y.children):
-            stack += [(c, y) for c in x.children]
-        else:
-            stack += [(x, c) for c in y.children]
+            continue
+        xs = x.children or [x]
+        ys = xs if x is y else y.children or [y]
+        apart = np.sqrt(np.maximum(0.0, 2 - 2 * (a[[c.center for c in xs]] @ other[[c.center for c in ys]].T)))
+        close = apart <= np.array([c.radius for c in xs])[:, None] + np.array([c.radius for c in ys]) + far
+        stack += [(xs[i], ys[j]) for i, j in zip(*np.nonzero(np.triu(close) if x is y else close), strict=True)]
 
 
 def roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -117,7 +118,7 @@ def _cells(kinds: DataFrame) -> tuple[DataFrame, DataFrame]:
     kinds = kinds.withColumn("size", F.length("unit"))
     counts = kinds.groupBy(*group).agg(F.count("*").alias("all"))
     first = Window.partitionBy(*group).orderBy(F.xxhash64("cid"), "cid")
-    lowest = F.xxhash64("cid") < (F.lit(-(2**63)) + F.lit(2.0**64) * 4 * PIVOTS / F.col("all")).cast("long")
+    lowest = F.pmod(F.xxhash64("cid"), F.lit(1 << 20)) < F.lit(float(1 << 20) * 8 * PIVOTS) / F.col("all")
     few = kinds.join(counts, group).where((F.col("all") > BLOCK) & lowest)
     pivots = written(few.withColumn("pivot", F.row_number().over(first)).where(F.col("pivot") <= F.least(F.lit(PIVOTS), F.ceil(F.col("all") / BLOCK))).select(*group, "pivot", F.col("unit").alias("at")), "pivots")
     listed = pivots.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("pivot", "at"))).alias("pivots"))
