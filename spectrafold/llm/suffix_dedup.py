@@ -8,16 +8,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_of, written
 from .shingles import mixed
+from .vectors import runs
 
 #: Bytes of the strings that make the first buckets (a power of two).
 Q = 128
 #: Widths of the ranges of starts, one refinement after the other; the first range holds all.
 WIDTHS = (64, 8, 1)
+#: Buckets of up to so many members are refined by one task; larger ones by joins, one after the other for all of them.
+SMALL = 16_384
 #: Bytes that are hashed at once.
 GROUP_BYTES = 262_144
 #: Bits of the filter that picks texts before they are joined.
@@ -144,7 +148,7 @@ def _first_pass(rows: DataFrame, length: int) -> DataFrame:
 
 
 def _texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(k, text) of each row with a wanted key: a fixed-size filter first, so that few other texts reach the exact join."""
+    """(k, doc_id, text, compressed) of each row with a wanted key: a fixed-size filter first, so that few other texts reach the exact join."""
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.zeros(FILTER_BITS, bool)
@@ -160,12 +164,13 @@ def _texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     sent = rows.sparkSession.sparkContext.broadcast(packed.reshape(-1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             texts = [t.as_py().encode() for t in batch.column(1)]
             keys = np.array([key_of(n, t) for n, t in zip(batch.column(0).to_pylist(), texts, strict=True)], np.int64)
             at = mixed(keys.view(np.uint64)) % np.uint64(FILTER_BITS)
             some = np.flatnonzero(sent.value[at >> np.uint64(3)] >> (np.uint64(7) - (at & np.uint64(7))).astype(np.uint8) & 1)
-            yield pa.RecordBatch.from_arrays([pa.array(keys[some]), batch.column(0).take(pa.array(some)), pa.array([texts[i] for i in some], pa.binary())], ["k", "doc_id", "text"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys[some]), batch.column(0).take(pa.array(some)), pa.array([packer.compress(texts[i]) for i in some], pa.binary())], ["k", "doc_id", "text"])
 
     return rows.mapInArrow(run, "k long, doc_id long, text binary").join(wanted, "k")
 
@@ -174,12 +179,17 @@ def _contexts(rows: DataFrame, members: DataFrame, length: int) -> DataFrame:
     """The members (h, u, c, k, pos, lo, hi) with the bytes that the strings over their anchor cover."""
     reach = length - Q
     places = members.groupBy("k").agg(F.collect_list(F.struct("h", "u", "c", "pos", "lo", "hi")).alias("places"))
-    found = _texts(rows, written(places, "places")).dropDuplicates(["k"])
+    found = _texts(rows, written(places, "places"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpacker = zstandard.ZstdDecompressor()
         for batch in batches:
-            out = []
+            out, seen = [], set()
             for k, text, places in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if k in seen:
+                    continue
+                seen.add(k)
+                text = unpacker.decompress(text)
                 for p in places:
                     start = p["pos"] - reach
                     out.append((p["h"], p["u"], p["c"], k, p["pos"], p["lo"], p["hi"], text[start + p["lo"] : start + p["hi"] + length]))
@@ -191,7 +201,67 @@ def _contexts(rows: DataFrame, members: DataFrame, length: int) -> DataFrame:
 
     names = ["h", "u", "c", "k", "pos", "lo", "hi", "bytes"]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
-    return written(found.select("k", "text", "places").mapInArrow(run, "h long, u long, c long, k long, pos int, lo int, hi int, bytes binary"), "contexts")
+    return found.select("k", "text", "places").mapInArrow(run, "h long, u long, c long, k long, pos int, lo int, hi int, bytes binary")
+
+
+def finished(members: list[tuple[int, int, int, int, int, bytes]], length: int) -> list[tuple[int, int, int]]:
+    """(k, first, last): ranges of starts of the single members whose strings another member holds at the same place.
+
+    members: (c, k, pos, lo, hi, bytes) of one bucket; the refinement is that of _refined(), with the strings themselves
+    for identifiers.
+    """
+    reach = length - Q
+    alive, out = [(i, 0, m[0]) for i, m in enumerate(members)], []
+    before = first_width(length)
+    for width in (w for w in WIDTHS if w < before):
+        buckets: dict = {}
+        for i, x0, many in alive:
+            _, _, _, lo, hi, data = members[i]
+            for x in range(x0, min(x0 + before, reach + 1), width):
+                y = min(x + width - 1, reach)
+                first, last = max(x, lo), min(y, hi)
+                if first <= last:
+                    core = data[y - lo : x + length - lo]
+                    whole = first, last, data[first - lo : last + length - lo]
+                    buckets.setdefault((x, core), {}).setdefault(whole, []).append((i, many))
+        alive = []
+        for (x, _), kinds in buckets.items():
+            if len(kinds) == 1 and len(next(iter(kinds.values()))) == 1 and next(iter(kinds.values()))[0][1] == 1:
+                continue
+            for (first, last, _), found in kinds.items():
+                many = sum(m for _, m in found)
+                if many > 1:
+                    out += [(members[i][1], members[i][2] - reach + first, members[i][2] - reach + last) for i, _ in found if members[i][0] == 1]
+                if len(kinds) > 1:
+                    alive.append((found[0][0], x, many))
+        before = width
+    return out
+
+
+def first_width(length: int) -> int:
+    """Width of a range that holds all starts."""
+    before = 512
+    while before < length - Q + 1:
+        before *= 8
+    return before
+
+
+def _finished(contexts: DataFrame, length: int) -> DataFrame:
+    """The same for all buckets of (h, c, k, pos, lo, hi, bytes)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple[int, int, int]] = []
+        for _, members in runs(batches, 1):
+            if len(members) > 1:
+                out += finished(members, length)
+            if len(out) > 5000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["k", "first", "last"])
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["k", "first", "last"])
+
+    rows = contexts.select("h", "c", "k", "pos", "lo", "hi", "bytes").repartition("h").sortWithinPartitions("h")
+    return rows.mapInArrow(run, "k long, first long, last long")
 
 
 def _refined(contexts: DataFrame, length: int) -> DataFrame:
@@ -204,9 +274,7 @@ def _refined(contexts: DataFrame, length: int) -> DataFrame:
     """
     reach = length - Q
     alive = contexts.select("h", "u", F.lit(0).alias("x"), F.col("c").alias("many"))
-    before, out = 512, None
-    while before < reach + 1:
-        before *= 8
+    before, out = first_width(length), None
     widths = [w for w in WIDTHS if w < before]
     for width in widths:
 
@@ -236,7 +304,7 @@ def _refined(contexts: DataFrame, length: int) -> DataFrame:
         buckets = same.groupBy("h", "x", "core").agg(F.sum("rows").alias("bucket"), F.count("*").alias("kinds")).where("bucket > 1")
         buckets = written(buckets, f"buckets{width}")
         split = written(made.join(same, ["h", "x", "core", "all"]).join(buckets, ["h", "x", "core"]), f"split{width}")
-        hits = split.where("c = 1 and rows > 1").select("k", (F.col("pos") - reach + F.col("first")).alias("first"), (F.col("pos") - reach + F.col("last")).alias("last"))
+        hits = split.where("c = 1 and rows > 1").select("k", (F.col("pos") - reach + F.col("first")).cast("long").alias("first"), (F.col("pos") - reach + F.col("last")).cast("long").alias("last"))
         out = hits if out is None else out.unionByName(hits)
         alive = split.where("kinds > 1 and (rows = 1 or u = lead)").select("h", "u", "x", F.col("rows").alias("many"))
         before = width
@@ -260,21 +328,28 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     passed = _first_pass(rows, length)
     each = passed.where(F.size("pos") > 0).select("k", F.explode(F.arrays_zip("pos", "h", "u", "lo", "hi")).alias("a")).select("k", "a.*")
-    where = F.struct("k", "pos", "lo", "hi")
-    kinds = written(each.groupBy("h", "u").agg(F.count("*").alias("c"), F.min(where).alias("at")), "kinds")
-    buckets = written(kinds.groupBy("h").agg(F.sum("c").alias("rows"), F.count("*").alias("kinds")).where("rows > 1"), "buckets")
+    # A row's place in one number: the first row of an aggregate gives both columns.
+    each = each.select("k", "h", "u", (F.col("pos").cast("long") * 2**22 + F.col("lo") * 2**11 + F.col("hi")).alias("at"))
+    kinds = written(each.groupBy("h", "u").agg(F.count("*").alias("c"), F.first("k").alias("k"), F.first("at").alias("at")), "kinds")
+    buckets = written(kinds.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1"), "buckets")
     full = kinds.where("c > 1").select("h", "u")
-    members = kinds.join(buckets.where("kinds > 1").select("h"), "h").select("h", "u", "c", "at.*")
-    contexts = _contexts(rows, members, length)
-
-    whole = each.join(full, ["h", "u"]).select("k", (F.col("pos") - reach + F.col("lo")).alias("first"), (F.col("pos") - reach + F.col("hi")).alias("last"))
-    spans = whole.unionByName(_refined(contexts, length)).groupBy("k").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("spans"))
+    place = [F.expr("cast(at div 4194304 as int)").alias("pos"), F.expr("cast(at div 2048 % 2048 as int)").alias("lo"), F.expr("cast(at % 2048 as int)").alias("hi")]
+    members = kinds.join(buckets, "h").select("h", "u", "c", "k", *place, "kinds")
+    members = written(members, "members")
+    small = _finished(_contexts(rows, members.where(F.col("kinds") <= SMALL), length), length)
+    large = members.where(F.col("kinds") > SMALL)
+    found = small if large.isEmpty() else small.unionByName(_refined(written(_contexts(rows, large, length), "contexts"), length))
+
+    whole = each.join(full, ["h", "u"]).select("k", *place).select("k", (F.col("pos") - reach + F.col("lo")).cast("long").alias("first"), (F.col("pos") - reach + F.col("hi")).cast("long").alias("last"))
+    spans = whole.unionByName(found).groupBy("k").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("spans"))
     spans = written(spans, "spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpacker = zstandard.ZstdDecompressor()
         for batch in batches:
             sizes, removed, runs, digests, kept = [], [], [], [], []
             for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                text = unpacker.decompress(text)
                 parts, end, gone, count = [], 0, 0, 0
                 for s in spans:
                     a, b = s["first"], s["last"] + length
