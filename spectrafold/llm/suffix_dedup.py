@@ -164,7 +164,7 @@ def _texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     sent = rows.sparkSession.sparkContext.broadcast(packed.reshape(-1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = zstandard.ZstdCompressor(level=1)
+        packer = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             texts = [t.as_py().encode() for t in batch.column(1)]
             keys = np.array([key_of(n, t) for n, t in zip(batch.column(0).to_pylist(), texts, strict=True)], np.int64)
@@ -342,7 +342,10 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     whole = each.join(full, ["h", "u"]).select("k", *place).select("k", (F.col("pos") - reach + F.col("lo")).cast("long").alias("first"), (F.col("pos") - reach + F.col("hi")).cast("long").alias("last"))
     spans = whole.unionByName(found).groupBy("k").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("spans"))
-    spans = written(spans, "spans")
+    # Texts of which nothing stays need not be read again.
+    sized = passed.select("k", "n_bytes").dropDuplicates(["k"])
+    end = F.aggregate("spans", F.lit(0).cast("long"), lambda e, s: F.when((e >= 0) & (s["first"] <= e), F.greatest(e, s["last"] + length)).otherwise(F.lit(-1).cast("long")))
+    spans = written(spans.join(sized, "k").withColumn("whole", end == F.col("n_bytes")).drop("n_bytes"), "spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpacker = zstandard.ZstdDecompressor()
@@ -376,9 +379,13 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             yield pa.RecordBatch.from_arrays(columns, names)
 
     extra = ", kept binary" if with_text else ""
-    touched = _texts(rows, spans).select("doc_id", "text", "spans").mapInArrow(cut, f"doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string{extra}")
+    touched = _texts(rows, spans.where("not whole").select("k", "spans")).select("doc_id", "text", "spans").mapInArrow(cut, f"doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string{extra}")
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    gone = passed.select("doc_id", "k", "n_bytes").join(spans.where("whole").select("k"), "k")
+    kept = [F.lit("").cast("binary").alias("kept")] if with_text else []
+    gone = gone.select("doc_id", "n_bytes", F.col("n_bytes").alias("n_removed"), one.alias("n_spans"), F.lit(hashlib.sha256(b"").hexdigest()).alias("kept_sha256"), *kept)
+    touched = touched.unionByName(gone)
     rest = passed.select("doc_id", "k", "n_bytes", "sha").join(spans.select("k"), "k", "left_anti")
-    zero = F.lit(0).cast("long")
     if with_text:
         alone = rows.select("doc_id", F.col("text").cast("binary").alias("kept"), F.sha2("text", 256).alias("kept_sha256"))
         rest = alone.join(rest.select(F.col("doc_id").alias("_d"), F.col("sha").alias("kept_sha256"), "n_bytes").distinct(), "kept_sha256").where(F.col("doc_id").eqNullSafe(F.col("_d")))
