@@ -17,7 +17,7 @@ from .bpe import vocabulary
 from .common import shared_dir, text_of, written
 
 #: Ids in a shard, rounds of replacement, pairs a round, and the fewest occurrences that make a rule.
-SHARD_IDS, ROUNDS, PAIRS, LEAST = 1_000_000, 8, 1024, 24
+SHARD_IDS, ROUNDS, PAIRS, LEAST = 1_000_000, 6, 2048, 24
 #: Symbols stay below this, so that a shard's sequence fits 16 bits.
 SYMBOLS = 65536
 MAGIC = b"SFRP1"
