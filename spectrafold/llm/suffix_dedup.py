@@ -330,6 +330,9 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     each = passed.where(F.size("pos") > 0).select("k", F.explode(F.arrays_zip("pos", "h", "u", "lo", "hi")).alias("a")).select("k", "a.*")
     # A row's place in one number: the first row of an aggregate gives both columns.
     each = each.select("k", "h", "u", (F.col("pos").cast("long") * 2**22 + F.col("lo") * 2**11 + F.col("hi")).alias("at"))
+    # Most anchors stand once in the corpus; they go before anything wider is shuffled.
+    repeated = written(each.groupBy("h").agg(F.count("*").alias("rows")).where("rows > 1").select("h"), "repeated")
+    each = written(each.join(repeated, "h"), "rows")
     kinds = written(each.groupBy("h", "u").agg(F.count("*").alias("c"), F.first("k").alias("k"), F.first("at").alias("at")), "kinds")
     buckets = written(kinds.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1"), "buckets")
     full = kinds.where("c > 1").select("h", "u")
