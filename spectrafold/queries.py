@@ -36,6 +36,11 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def kept(counts: DataFrame) -> DataFrame:
+    """Counts that several branches of a plan read: made once, on disk where memory is short."""
+    return counts.persist()
+
+
 # --- counts ----------------------------------------------------------------------------------------------------------
 
 
@@ -44,7 +49,7 @@ def priorities(spark: SparkSession, d: str) -> DataFrame:
     items = table(spark, d, "lineitem").select("l_orderkey", "l_partkey")
     rows = items.join(table(spark, d, "orders").select("o_orderkey", "o_orderpriority"), F.col("l_orderkey") == F.col("o_orderkey"))
     rows = rows.join(table(spark, d, "part").select("p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
-    return kmers.column_counts(rows, F.col("o_orderpriority"), F.col("p_type"))
+    return kept(kmers.column_counts(rows, F.col("o_orderpriority"), F.col("p_type")))
 
 
 PRIORITIES = """counts as (select o_orderpriority as sample, p_type as feature, count(*) as c
@@ -54,7 +59,7 @@ PRIORITIES = """counts as (select o_orderpriority as sample, p_type as feature,
 def brands(spark: SparkSession, d: str) -> DataFrame:
     """Line items by ship month (sample) and brand (feature)."""
     rows = table(spark, d, "lineitem").select("l_partkey", "l_shipdate").join(table(spark, d, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
-    return kmers.column_counts(rows, F.month("l_shipdate").cast("string"), F.col("p_brand"))
+    return kept(kmers.column_counts(rows, F.month("l_shipdate").cast("string"), F.col("p_brand")))
 
 
 BRANDS = """counts as (select cast(month(l_shipdate) as varchar) as sample, p_brand as feature, count(*) as c
@@ -63,7 +68,7 @@ BRANDS = """counts as (select cast(month(l_shipdate) as varchar) as sample, p_br
 
 def nations(spark: SparkSession, d: str) -> DataFrame:
     """Customers by nation (sample) and market segment (feature)."""
-    return kmers.column_counts(table(spark, d, "customer"), F.col("c_nationkey").cast("string"), F.col("c_mktsegment"))
+    return kept(kmers.column_counts(table(spark, d, "customer"), F.col("c_nationkey").cast("string"), F.col("c_mktsegment")))
 
 
 NATIONS = "counts as (select cast(c_nationkey as varchar) as sample, c_mktsegment as feature, count(*) as c from customer group by 1, 2)"
@@ -71,7 +76,7 @@ NATIONS = "counts as (select cast(c_nationkey as varchar) as sample, c_mktsegmen
 
 def users(spark: SparkSession, d: str) -> DataFrame:
     """Events by a twentieth of the users (sample), and type and properties (feature)."""
-    return kmers.column_counts(table(spark, d, "events"), (F.col("user_id") % 20).cast("string"), F.concat("event_type", "props"))
+    return kept(kmers.column_counts(table(spark, d, "events"), (F.col("user_id") % 20).cast("string"), F.concat("event_type", "props")))
 
 
 USERS = "counts as (select cast(user_id % 20 as varchar) as sample, event_type || props as feature, count(*) as c from events group by 1, 2)"
@@ -79,7 +84,7 @@ USERS = "counts as (select cast(user_id % 20 as varchar) as sample, event_type |
 
 def trigrams(spark: SparkSession, d: str, sample: str = "lang") -> DataFrame:
     """Character trigrams a-z of texts by language or source."""
-    return kmers.letters_counts(table(spark, d, "documents"), "text", sample, 3, "^[a-z]{3}$").where(F.length("feature") == 3)
+    return kept(kmers.letters_counts(table(spark, d, "documents"), "text", sample, 3, "^[a-z]{3}$").where(F.length("feature") == 3))
 
 
 def TRIGRAMS(sample: str) -> str:
