@@ -24,6 +24,10 @@ START, STOP = 2, 3
 MOST_BITS = 8.0
 #: Of the trusted documents, one in so many is held out of the training and gives the quantiles.
 HELD_OUT = 5
+#: The high quantile counts as so much at least, as trusted documents may be all alike.
+LEAST_SPREAD = 0.5
+#: With so many documents to a language, its high quantile is widened by sqrt(2), and by less with more.
+FEW = 10
 
 
 def grams(text: str) -> np.ndarray:
@@ -206,16 +210,25 @@ def classify(
     text_col: str = "text",
     lang_col: str = "lang",
     high: float = 0.95,
-    spreads: float = 4.0,
-    short: int = 400,
+    spreads: float = 2.0,
+    false_rejections: float = 0.002,
+    drift: float = 0.02,
 ) -> DataFrame:
     """(doc_id, lang, n, bits_per_char, limit, keep) of each row.
 
     labels (doc_id, quality, toxic) name the trusted documents: quality 1 and toxic 0. Four fifths of them, by a hash of
-    the id, train the model; counts cover all their text. The others give each language's median and high quantile of bits
-    a character (each character counts MOST_BITS at most), and a document is rejected beyond
+    the id, train the model; counts cover all their text. The others give each language's median of bits a character (each
+    character counts MOST_BITS at most) and high quantile of what they differ from it by, in units of
 
-        limit = median + spreads x (high quantile - median) x sqrt(1 + short / characters).
+        unit = sqrt(1 / characters + drift ** 2),
+
+    as a mean over many characters varies less. A document is rejected beyond
+
+        limit = median + multiple x high quantile x unit + MOST_BITS / (characters + 1),
+
+    the last so that one character never decides about a short text. A high quantile of few documents is widened (FEW).
+    The multiple is the least that rejects no more than the share false_rejections of all trusted documents held out, and
+    spreads at least, as a few documents say nothing about so small a share.
 
     Perplexity is 2 ** bits_per_char. A language without trusted documents (a null one is a language, too) takes the
     quantiles of all. Null or empty texts have no perplexity and stay, as does everything if nothing is trusted. Equal rows
@@ -230,16 +243,39 @@ def classify(
     scored = _scored(rows, probabilities(counts, needed))
     scored = scored.withColumn("bits_per_char", F.when(F.col("n") > 0, F.col("bits") / (F.col("n") + 1)))
 
-    judges = scored.where("n > 0").join(trusted.where("held").select("doc_id"), "doc_id", "left_semi").select("lang", F.col("bits_per_char").alias("score"))
+    unit = F.sqrt(1 / F.greatest(F.col("n"), F.lit(1)) + drift**2)
+    judges = scored.where("n > 0").join(trusted.where("held").select("doc_id"), "doc_id", "left_semi").select("lang", F.col("bits_per_char").alias("score"), unit.alias("unit"))
     judges = written(judges, "judges")
-    shares = {"middle": 0.5, "high": high}
-    own = quantiles(judges, shares).withColumnRenamed("lang", "_lang")
-    every = quantiles(judges.withColumn("lang", F.lit("")), shares).select(F.col("middle").alias("middle_all"), F.col("high").alias("high_all"))
-    own, every = written(own, "quantiles"), every.agg(F.first("middle_all").alias("middle_all"), F.first("high_all").alias("high_all"))
+    everything = F.lit("").alias("lang")
+
+    def all_of(table: DataFrame, name: str) -> DataFrame:
+        """One row, null if the table of quantiles has none."""
+        return F.broadcast(written(table.agg(F.first(name).alias(f"{name}_all")), f"{name}_all"))
+
+    def with_own(rows: DataFrame, table: DataFrame, name: str) -> DataFrame:
+        """The rows with a column more: what the table has for their language."""
+        own = table.select(F.col("lang").alias("_lang"), name)
+        return rows.join(own, F.col("lang").eqNullSafe(F.col("_lang")), "left").drop("_lang")
+
+    def spreads_of(beyond: DataFrame) -> DataFrame:
+        """(lang, spread): the high quantile, wider if few documents give it."""
+        few = beyond.groupBy(F.col("lang").alias("_lang")).agg(F.count("*").alias("rows"))
+        found = quantiles(beyond, {"spread": high}).join(few, F.col("lang").eqNullSafe(F.col("_lang")))
+        return found.select("lang", (F.greatest("spread", F.lit(LEAST_SPREAD)) * F.sqrt(1 + FEW / F.col("rows"))).alias("spread"))
+
+    middles = written(quantiles(judges, {"middle": 0.5}), "middles")
+    middle_all = all_of(quantiles(judges.select(everything, "score"), {"middle": 0.5}), "middle")
+    judged = written(with_own(judges, middles, "middle").crossJoin(middle_all), "judged")
+    beyond = judged.select("lang", ((F.col("score") - F.col("middle")) / F.col("unit")).alias("score"))
+    beyond_all = judged.select(everything, ((F.col("score") - F.col("middle_all")) / F.col("unit")).alias("score"))
+    own = written(spreads_of(beyond), "spreads")
+    spread_all = all_of(spreads_of(beyond_all), "spread")
+    ratios = with_own(beyond, own, "spread").select(everything, (F.col("score") / F.col("spread")).alias("score"))
+    multiple_all = all_of(quantiles(ratios, {"multiple": 1 - false_rejections}), "multiple")
     # One row for each language, and one in all.
-    placed = scored.join(own, F.col("lang").eqNullSafe(F.col("_lang")), "left").crossJoin(F.broadcast(every))
-    middle, top = F.coalesce("middle", "middle_all"), F.coalesce("high", "high_all")
-    limit = middle + spreads * F.greatest(top - middle, F.lit(0.01)) * F.sqrt(1 + short / F.greatest(F.col("n"), F.lit(1)))
+    placed = with_own(with_own(scored, middles, "middle"), own, "spread").crossJoin(middle_all).crossJoin(spread_all).crossJoin(multiple_all)
+    multiple = F.greatest(F.col("multiple_all"), F.lit(spreads))
+    limit = F.coalesce("middle", "middle_all") + multiple * F.coalesce("spread", "spread_all") * unit + MOST_BITS / (F.col("n") + 1)
     placed = placed.withColumn("limit", limit)
     keep = F.coalesce(F.col("bits_per_char") <= F.col("limit"), F.lit(True)).alias("keep")
     return placed.select("doc_id", "lang", "n", "bits_per_char", "limit", keep)
