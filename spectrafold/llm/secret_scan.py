@@ -15,6 +15,18 @@ KINDS = (
     ("hex", r"[0-9a-f]{32,}", 32, 0),
 )
 
+#: Characters on each side of a match that tell a use of a value from a copy of that use.
+NEAR = 40
+
+
+def _near(pieces: Column, matches: Column) -> Column:
+    """A hash for each match of what stands around it, no further than the matches next to it."""
+    none = F.lit("")
+    at = lambda c, i: F.coalesce(F.get(c, i), none)
+    before = lambda i: F.right(F.concat(at(matches, i - 1), at(pieces, i)), F.lit(NEAR))
+    after = lambda i: F.left(F.concat(at(pieces, i + 1), at(matches, i + 1)), F.lit(NEAR))
+    return F.transform(matches, lambda _, i: F.xxhash64(before(i), after(i)))
+
 
 def _found(docs: DataFrame, id_col: str, text_col: str, owner_col: str, repo_col: str) -> DataFrame:
     """Each row's matches and the lengths of what lies between them, with a row key; no text is kept."""
@@ -23,20 +35,21 @@ def _found(docs: DataFrame, id_col: str, text_col: str, owner_col: str, repo_col
     for kind, pattern, _, _ in KINDS:
         rows = rows.withColumn(f"m_{kind}", F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
     gaps = [F.when(F.size(f"m_{kind}") > 0, F.transform(F.split(text, pattern, -1), F.length)).alias(f"g_{kind}") for kind, pattern, _, _ in KINDS]
-    kept = rows.select("doc_id", "owner", "repo", *(f"m_{k[0]}" for k in KINDS), *gaps)
+    near = [F.when(F.size(f"m_{kind}") > 0, _near(F.split(text, pattern, -1), F.col(f"m_{kind}"))).alias(f"a_{kind}") for kind, pattern, _, _ in KINDS]
+    kept = rows.select("doc_id", "owner", "repo", *(f"m_{k[0]}" for k in KINDS), *gaps, *near)
     return written(kept.withColumn("row", F.monotonically_increasing_id()), "found")
 
 
 def _candidates(found: DataFrame) -> DataFrame:
-    """(row, owner, repo, kind, start, end, value, value_start): matches that are long enough, in code points."""
+    """(row, owner, repo, kind, start, end, value, value_start, near): matches that are long enough, in code points."""
     out = None
     for order, (kind, pattern, least, group) in enumerate(KINDS):
-        each = found.where(F.size(f"m_{kind}") > 0).select("row", "owner", "repo", F.posexplode(F.arrays_zip(F.col(f"g_{kind}").alias("gap"), F.col(f"m_{kind}").alias("match")))).where("col.match is not null")
-        each = each.select("row", "owner", "repo", "pos", F.col("col.gap").alias("gap"), F.col("col.match").alias("match"))
+        each = found.where(F.size(f"m_{kind}") > 0).select("row", "owner", "repo", F.posexplode(F.arrays_zip(F.col(f"g_{kind}").alias("gap"), F.col(f"m_{kind}").alias("match"), F.col(f"a_{kind}").alias("near")))).where("col.match is not null")
+        each = each.select("row", "owner", "repo", "pos", F.col("col.gap").alias("gap"), F.col("col.match").alias("match"), F.col("col.near").alias("near"))
         so_far = F.sum(F.col("gap") + F.length("match")).over(Window.partitionBy("row").orderBy("pos"))
         value = F.regexp_extract("match", pattern, group) if group else F.col("match")
         each = each.withColumn("end", so_far.cast("long")).withColumn("value", value).where(F.length("value") >= least)
-        each = each.select("row", "owner", "repo", F.lit(order).alias("order"), F.lit(kind).alias("kind"), (F.col("end") - F.length("match")).alias("start"), "end", "value", (F.col("end") - F.length("value")).alias("value_start"))
+        each = each.select("row", "owner", "repo", F.lit(order).alias("order"), F.lit(kind).alias("kind"), (F.col("end") - F.length("match")).alias("start"), "end", "value", (F.col("end") - F.length("value")).alias("value_start"), "near")
         out = each if out is None else out.unionByName(each)
     return out
 
@@ -46,17 +59,43 @@ def looks_random(value: Column) -> Column:
     return value.rlike("[0-9]") & value.rlike("[A-Za-z]") & (F.size(F.array_distinct(F.split(value, ""))) >= 8)
 
 
+def _independent(uses: DataFrame, max_owners: int) -> DataFrame:
+    """(digest) of the values whose uses no max_owners owners account for.
+
+    A use is a value with what stands around it, whoever holds it: copies of a document are one use. Owners are taken one by
+    one, first those that alone hold a use, then the one that holds most of what is left, until all uses are held by one
+    that was taken. More copies never make more owners necessary. Only where each use left is held by several can that take
+    one more than the fewest.
+    """
+    sole = uses.groupBy("digest", "near").agg(F.min("owner").alias("owner"), F.max("owner").alias("last")).where("owner = last")
+    alone = sole.groupBy("digest", "owner").agg(F.lit(1)).groupBy("digest").agg(F.count("*").alias("alone"))
+    held = uses.groupBy("digest", "owner").agg(F.lit(1)).groupBy("digest").agg(F.count("*").alias("owners")).where(F.col("owners") > max_owners)
+    held = written(held.join(alone, "digest", "left").select("digest", (F.coalesce("alone", F.lit(0)) > max_owners).alias("sure")), "widely_held")
+    left = written(uses.join(held.where("not sure"), "digest", "left_semi"), "uses")
+    for _ in range(max_owners):
+        ends = left.groupBy("digest", "near").agg((F.min("owner") == F.max("owner")).alias("sole"))
+        each = left.join(ends, ["digest", "near"]).groupBy("digest", "owner").agg(F.max("sole").alias("sole"), F.count("*").alias("uses"))
+        taken = each.groupBy("digest").agg(F.max_by("owner", F.struct("sole", "uses", "owner")).alias("owner"))
+        gone = left.join(taken, ["digest", "owner"], "left_semi").select("digest", "near")
+        left = written(left.join(gone, ["digest", "near"], "left_anti"), "uses")
+    return held.where("sure").select("digest").unionByName(left.select("digest").distinct())
+
+
 def ownership(candidates: DataFrame, max_owners: int) -> DataFrame:
-    """(digest, owners, repos, verdict) for each value: 'example' beyond max_owners owners, else 'live' or 'weak' by its looks.
+    """(digest, owners, repos, verdict) for each value: 'example' if its uses need more than max_owners owners once copies count as one, else 'live' or 'weak' by its looks.
 
-    Distinct owners and repositories are counted in two steps, so a value that is copied everywhere is combined before
-    each shuffle.
+    Distinct owners, repositories and uses are counted in two steps, so a value that is copied everywhere is combined
+    before each shuffle.
     """
     owned = candidates.groupBy("digest", "owner").agg(F.max("random").alias("random"))
     owners = owned.groupBy("digest").agg(F.count("*").alias("owners"), F.max("random").alias("random"))
     repos = candidates.groupBy("digest", "repo").agg(F.lit(1)).groupBy("digest").agg(F.count("*").alias("repos"))
-    verdict = F.when(F.col("owners") > max_owners, "example").when(F.col("random"), "live").otherwise("weak")
-    return owners.join(repos, "digest").select("digest", "owners", "repos", verdict.alias("verdict"))
+    # A null owner is one, too, and sorts before all.
+    named = F.coalesce(F.concat(F.lit("="), F.col("owner")), F.lit("")).alias("owner")
+    uses = candidates.select("digest", "near", named).distinct()
+    examples = _independent(uses, max_owners).withColumn("example", F.lit(True))
+    verdict = F.when(F.col("example"), "example").when(F.col("random"), "live").otherwise("weak")
+    return owners.join(repos, "digest").join(examples, "digest", "left").select("digest", "owners", "repos", verdict.alias("verdict"))
 
 
 def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id", max_owners: int = 2) -> tuple[DataFrame, DataFrame]:
@@ -79,8 +118,8 @@ def _listed(spans: Column) -> Column:
 def report(docs: DataFrame, **options) -> DataFrame:
     """One row for each input row: counts of each kind, digest of the base spans, and all spans.
 
-    The method adds a span live:start:end over each value that belongs to few owners and looks random; those of widely
-    copied examples stay with their base span alone. n_live and n_example count the two.
+    The method adds a span live:start:end over each value that belongs to few owners and looks random; those of examples
+    that many use stay with their base span alone. n_live and n_example count the two.
     """
     rows, spans = scan(docs, **options)
     base = F.struct("start", "order", "end", "kind")
