@@ -13,13 +13,16 @@ from pyspark.sql import functions as F
 from .common import text_of, written
 from .shingles import mixed
 
-#: Characters in an n-gram, bits of a character, and probabilities that one broadcast holds.
+#: Symbols in an n-gram, bits of a symbol, and probabilities that one broadcast holds.
 ORDER, BITS, SHARD = 5, 12, 4_000_000
 #: Bits of the filter that picks the texts to train on before they are joined with their labels.
 FILTER_BITS = 1 << 24
 #: Characters of text whose n-grams are gathered at once.
 GATHER = 2_000_000
 START, STOP = 2, 3
+#: A code point from here up is two symbols: a lead, which is from here up itself, and a trail, which is below. The leads
+#: reach for all of Unicode, so each character has symbols of its own.
+LEADS = 3800
 #: Bits that one character adds at most, so that a key or an address in a clean text doesn't decide about it.
 MOST_BITS = 8.0
 #: Of the trusted documents, one in so many is held out of the training and gives the quantiles.
@@ -30,16 +33,24 @@ LEAST_SPREAD = 0.5
 FEW = 10
 
 
-def grams(text: str) -> np.ndarray:
-    """The n-grams that end at each character and at the end of the text, as integers of BITS a character.
-
-    Code points beyond the range share the last one.
-    """
+def symbols(text: str) -> np.ndarray:
+    """The symbols of a text: one for each code point below LEADS, a lead and a trail for each other one."""
     points = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
-    line = np.concatenate([np.full(ORDER - 1, START), np.minimum(points, (1 << BITS) - 1), [STOP]])
-    out = line[: len(points) + 1].copy()
+    high = points >= LEADS
+    if not high.any():
+        return points
+    lead, trail = np.divmod(points - LEADS, LEADS)
+    both = np.stack([np.where(high, LEADS + lead, points), np.where(high, trail, -1)], 1).reshape(-1)
+    return both[both >= 0]
+
+
+def grams(text: str) -> np.ndarray:
+    """The n-grams that end at each symbol and at the end of the text, as integers of BITS a symbol."""
+    own = symbols(text)
+    line = np.concatenate([np.full(ORDER - 1, START), own, [STOP]])
+    out = line[: len(own) + 1].copy()
     for i in range(1, ORDER):
-        out = (out << BITS) | line[i : i + len(points) + 1]
+        out = (out << BITS) | line[i : i + len(own) + 1]
     return out
 
 
@@ -150,14 +161,18 @@ def _scored(docs: DataFrame, p: DataFrame) -> DataFrame:
     """(doc_id, lang, n, bits) of each row: characters (the end of the text counts as one) and their surprise in bits.
 
     The probabilities are dealt into shards of a bounded number; each shard is sent out once and adds its n-grams' share.
+    The n-grams that end at a lead and at its trail are in one shard, as the character counts MOST_BITS at most.
     """
     spark = docs.sparkSession
     shards = max(1, math.ceil(p.count() / SHARD))
+    symbol, gram = F.lit((1 << BITS) - 1), F.col("gram")
+    at_lead, at_trail = gram.bitwiseAND(symbol) >= LEADS, F.shiftright(gram, BITS).bitwiseAND(symbol) >= LEADS
+    dealt = F.when(at_lead, gram.bitwiseAND(F.lit((1 << (BITS * (ORDER - 1))) - 1))).when(at_trail, F.shiftright(gram, BITS)).otherwise(gram)
     out = None
     for shard in range(shards):
-        part = p.where(F.pmod(F.xxhash64("gram"), F.lit(shards)) == shard) if shards > 1 else p
+        part = p.where(F.pmod(F.xxhash64(dealt), F.lit(shards)) == shard) if shards > 1 else p
         got = part.toArrow()
-        keys, bits = got.column("gram").to_numpy(), np.minimum(MOST_BITS, -np.log2(got.column("p").to_numpy()))
+        keys, bits = got.column("gram").to_numpy(), -np.log2(got.column("p").to_numpy())
         order = np.argsort(keys)
         sent = spark.sparkContext.broadcast((keys[order], bits[order]))
 
@@ -177,8 +192,12 @@ def _scored(docs: DataFrame, p: DataFrame) -> DataFrame:
                     kinds, where = np.unique(flat, return_inverse=True)
                     at = np.minimum(np.searchsorted(keys, kinds), len(keys) - 1)
                     value = np.where(keys[at] == kinds, bits[at], 0.0)[where]
+                    trails = np.flatnonzero(((kinds >> BITS & (1 << BITS) - 1) >= LEADS)[where])
+                    value[trails] += value[trails - 1]
+                    value[trails - 1] = 0.0
+                    value = np.minimum(MOST_BITS, value)
                     ends = np.cumsum([len(g) for g in own])
-                    sizes[first:last] = np.diff(ends, prepend=0) - 1
+                    sizes[first:last] = [len(t) for t in texts[first:last]]
                     sums[first:last] = np.add.reduceat(value, np.concatenate([[0], ends[:-1]]))
                     first = last
                 yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sizes), pa.array(sums)], ["doc_id", "lang", "mark", "n", "bits"])
