@@ -17,6 +17,8 @@ from .common import text_of
 
 #: Chunks end where the low bits of a hash of the last 8 bytes are 0: one place in 1,024 on average.
 CHUNK_BITS = 10
+#: Bytes that a chunk holds at least.
+LEAST_CHUNK = 128
 #: Bytes of chunks that a worker remembers before it forgets all.
 CACHE_BYTES = 24_000_000
 #: The splitting pattern of byte-level tokenizer files with use_regex.
@@ -73,7 +75,10 @@ class Vocabulary:
     def encode(self, text: str) -> np.ndarray:
         """Ids as the tokenizers library gives them without added special tokens."""
         if self.fast is not None and (text.isascii() or not PLAIN.search(text)):
-            return self.fast.encode_to_numpy(text, allowed_special=self.special, disallowed_special=()).astype(np.uint32, copy=False)
+            try:
+                return self.fast.encode_to_numpy(text, allowed_special=self.special, disallowed_special=()).astype(np.uint32, copy=False)
+            except ValueError:  # its splitting pattern gives up on very long runs of white space; the library doesn't
+                pass
         return np.array(self.slow.encode(text, add_special_tokens=False).ids, np.uint32)
 
     def decode(self, ids: np.ndarray) -> bytes:
@@ -92,64 +97,108 @@ def vocabulary(path: str) -> Vocabulary:
 
 
 def chunk_ends(data: bytes) -> list[int]:
-    """Where content-defined chunks end: after 8 bytes whose hash has its top bits 0, moved on to the next character."""
+    """Where content-defined chunks end: after 8 bytes whose hash has its top bits 0, moved on to the next character, and LEAST_CHUNK bytes on at least."""
     if len(data) < 8:
         return [len(data)]
     words = np.ndarray((len(data) - 7,), "<u8", data, 0, (1,))
     at = np.flatnonzero((words * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - CHUNK_BITS) == 0) + 8
-    ends = []
+    ends, last = [], 0
     for end in at.tolist():
+        if end < last + LEAST_CHUNK:
+            continue
         while end < len(data) and data[end] & 0xC0 == 0x80:
             end += 1
-        if end < len(data) and (not ends or ends[-1] < end):
+        if end < len(data):
             ends.append(end)
+            last = end
     return [*ends, len(data)]
 
 
+class Chunk:
+    """A chunk's ids when it is encoded alone, where each of them ends, and the clean places in it."""
+
+    __slots__ = ("ids", "ends", "clean")
+
+    def __init__(self, data: bytes, vocabulary: Vocabulary):
+        self.ids = vocabulary.encode(data.decode())
+        self.ends = np.cumsum(vocabulary.lengths[self.ids])
+        self.clean = [m.end() for m in CLEAN.finditer(data)]
+
+    def between(self, start: int, stop: int) -> np.ndarray:
+        """The ids of the bytes from start to stop, both of which are ends of ids."""
+        a, b = np.searchsorted(self.ends, [start, stop], "right")
+        return self.ids[a:b]
+
+
 class ChunkEncoder:
     """Encodes documents chunk by chunk; a chunk that has been seen in any document is not encoded again.
 
-    A chunk's inner part, from its first clean place to its last, has the same ids wherever the chunk stands. The join of
-    two chunks, from the last clean place before it to the first one after it, is encoded anew. A chunk without two clean
-    places offers no such part and goes into the join whole, so the join grows until both its ends agree with their
-    neighbours.
+    Where two chunks meet, their ids are wrong in general. The join is repaired by encoding anew what lies between two clean
+    places on either side of it: the ids up to the next clean place must be those that the left chunk has there, and the ids
+    from the one before the last those of the right chunk. While they are not, or a side has no such places left, the window
+    grows, over whole chunks if need be.
     """
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary, self.cache, self.held = vocabulary, {}, 0
         self.reused = self.new = 0
 
-    def inner(self, chunk: bytes) -> tuple[int, int, np.ndarray] | None:
-        """(start, end, ids) of the inner part; None if there is none."""
-        found = self.cache.get(chunk)
+    def own(self, data: bytes) -> Chunk:
+        found = self.cache.get(data)
         if found is not None:
             self.reused += 1
-            return found if found[1] else None
+            return found
         self.new += 1
-        first, last = CLEAN.search(chunk), len(chunk)
-        start = end = 0
-        if first:
-            start = first.end()
-            while (last := chunk.rfind(b" ", start, last)) > start and not 0x21 <= chunk[last - 1] <= 0x7E:
-                pass
-            end = last if last > start else 0
-        found = (start, end, self.vocabulary.encode(chunk[start:end].decode())) if end else (0, 0, None)
         if self.held > CACHE_BYTES:
             self.cache, self.held = {}, 0
-        self.cache[chunk] = found
-        self.held += 2 * len(chunk) + 200
-        return found if end else None
+        found = self.cache[data] = Chunk(data, self.vocabulary)
+        self.held += 6 * len(data) + 400
+        return found
+
+    def join(self, data: bytes, begin: int, left: Chunk, start: int, middle: int, right: Chunk) -> tuple[int, int, np.ndarray] | None:
+        """(from, to, ids) of a window over the join on whose ends its neighbours agree; None if there is none in these two.
+
+        left begins at `begin`, and its ids up to `start` are out already; right begins at `middle`.
+        """
+        places = [start - begin, *(c for c in left.clean if c > start - begin)]
+        wide = 1
+        while True:
+            a = max(0, len(places) - 1 - wide)
+            if wide >= len(right.clean):
+                return None
+            low, high = places[a], right.clean[wide]
+            ids = self.vocabulary.encode(data[begin + low : middle + high].decode())
+            ends = np.cumsum(self.vocabulary.lengths[ids]) + begin + low
+            fine = True
+            if a:  # from the start on, nothing of the left chunk is used
+                next_place = places[a + 1] if a + 1 < len(places) else low
+                fine = np.array_equal(ids[: np.searchsorted(ends, begin + next_place, "right")], left.between(low, next_place))
+            before = right.clean[wide - 1]
+            fine = fine and np.array_equal(ids[np.searchsorted(ends, middle + before, "right") :], right.between(before, high))
+            if fine:
+                return begin + low, middle + high, ids
+            wide *= 2
 
     def encode(self, text: str) -> np.ndarray:
-        data, parts, begin, join_from = text.encode(), [], 0, 0
-        for end in chunk_ends(data):
-            if end - begin > 64 and (found := self.inner(data[begin:end])):
-                start, stop, ids = found
-                parts += [self.vocabulary.encode(data[join_from : begin + start].decode()), ids]
-                join_from = begin + stop
-            begin = end
-        parts.append(self.vocabulary.encode(data[join_from:].decode()))
-        return np.concatenate(parts) if len(parts) > 1 else parts[0]
+        data = text.encode()
+        cuts = chunk_ends(data)
+        if len(cuts) == 1:
+            return self.vocabulary.encode(text)
+        parts, begin, start = [], 0, 0
+        left, middle = self.own(data[: cuts[0]]), cuts[0]
+        for end in cuts[1:]:
+            right = self.own(data[middle:end])
+            if found := self.join(data, begin, left, start, middle, right):
+                low, high, ids = found
+                parts += [left.between(start - begin, low - begin), ids]
+                begin, left, start = middle, right, high
+            middle = end
+        if begin + int(left.ends[-1]) == len(data):
+            parts.append(left.between(start - begin, len(data) - begin))
+        else:  # the last chunks joined no other: they are encoded with what comes before, back to a clean place
+            low = max([start, *(begin + c for c in left.clean)])
+            parts += [left.between(start - begin, low - begin), self.vocabulary.encode(data[low:].decode())]
+        return np.concatenate(parts)
 
 
 @lru_cache(maxsize=4)
