@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, text_of, written
+from .common import WORD, free, text_of, written
 
 
 def source_targets(sized: DataFrame, max_epochs: int) -> DataFrame:
@@ -95,7 +95,10 @@ def mix(
 
     key = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     named = sources.withColumnRenamed("source", "_source")
-    placed = sized.join(named, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    named_rows = sized.join(named, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    # Rows without words take no place in a shard, however many there are.
+    blank = named_rows.where("size = 0").select("doc_id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"), "source")
+    placed = named_rows.where("size > 0")
     placed = placed.withColumn("key", key).withColumn("shard", (F.conv(F.substring("key", 1, 8), 16, 10).cast("long") % F.col("shards")))
     order = Window.partitionBy("src", "shard").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = placed.withColumn("start", F.coalesce(F.sum("size").over(order), F.lit(0)))
@@ -116,14 +119,12 @@ def mix(
     draw = F.md5(F.concat_ws("|", F.lit(seed), "src", "shard", "block"))
     drawn = blocks.withColumn("turn", F.row_number().over(Window.partitionBy("src", "shard").orderBy(draw, "block"))).where("turn <= extra").select("src", "shard", "block")
 
-    spans = placed.where("size > 0").select("*", F.explode(F.sequence(F.expr("start div words"), F.expr("(start + size - 1) div words"))).alias("block"))
+    spans = placed.select("*", F.explode(F.sequence(F.expr("start div words"), F.expr("(start + size - 1) div words"))).alias("block"))
     overlap = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * F.col("words")) - F.greatest(F.col("start"), F.col("block") * F.col("words"))
-    rows = ["doc_id", "source", "size", "source_size", "target", "src", "shard", "start"]
     partly = spans.join(drawn.hint("merge"), ["src", "shard", "block"]).groupBy("src", "shard", "start").agg(F.sum(overlap).alias("part"))
-    sizes = placed.where("size > 0").join(partly, ["src", "shard", "start"], "left").join(cells, ["src", "shard"], "left")
+    sizes = placed.join(partly, ["src", "shard", "start"], "left").join(cells, ["src", "shard"], "left")
     taken = (F.coalesce("epochs", F.lit(0)) * F.col("size") + F.coalesce("part", F.lit(0))).cast("long").alias("taken")
-    none = placed.where("size = 0").select(*rows, F.lit(0).cast("long").alias("taken"))
-    return sizes.select(*rows, taken).unionByName(none).select("doc_id", "size", "source_size", "target", "taken", "source")
+    return sizes.select("doc_id", "size", "source_size", "target", taken, "source").unionByName(blank)
 
 
 def mixed_documents(docs: DataFrame, *, seed: str = "mix-1", **options) -> DataFrame:
@@ -132,11 +133,10 @@ def mixed_documents(docs: DataFrame, *, seed: str = "mix-1", **options) -> DataF
     A document of which the mix takes 2.3 times its words comes twice, and with a chance of 0.3, drawn by a seeded hash, a
     third time. Documents of which it takes nothing, or that have no words, go. Equal rows are taken alike.
     """
-    row = F.xxhash64("doc_id", "source", "text")
-    keyed = docs.withColumn("_row", row)
-    share = mix(keyed, id_col="_row", seed=seed, **options).where("taken > 0").groupBy(F.col("doc_id").alias("_row")).agg(F.avg(F.col("taken") / F.col("size")).alias("_times"))
-    chance = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), "_row")), 1, 8), 16, 10).cast("double") / 2.0**32
-    copies = (F.floor("_times") + F.when(chance < F.col("_times") - F.floor("_times"), 1).otherwise(0)).cast("int")
-    share = share.withColumn("_copies", copies).where("_copies > 0").select("_row", "_copies")
-    taken = keyed.join(share, "_row")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    row, times, copy, many = (free(docs, n) for n in ("_row", "_times", "_copy", "_copies"))
+    keyed = docs.withColumn(row, F.xxhash64("doc_id", "source", "text"))
+    share = mix(keyed, id_col=row, seed=seed, **options).where("taken > 0").groupBy(F.col("doc_id").alias(row)).agg(F.avg(F.col("taken") / F.col("size")).alias(times))
+    chance = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), row)), 1, 8), 16, 10).cast("double") / 2.0**32
+    copies = (F.floor(times) + F.when(chance < F.col(times) - F.floor(times), 1).otherwise(0)).cast("int")
+    share = share.withColumn(many, copies).where(F.col(many) > 0).select(row, many)
+    return keyed.join(share, row).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(many)))).select(*docs.columns)
