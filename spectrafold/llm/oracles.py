@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .secret_scan import KINDS
+from .secret_scan import KINDS, MAX_REPOS
 
 #: Upper and lower case of the letters that count as such.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -66,17 +66,17 @@ def near_vectors(cosine: float = 0.93) -> str:
     select id as vec_id, (select count(*) from links where x = id) as n_links, component as component_id, id = component as kept from reached"""
 
 
-def secrets(max_owners: int = 2) -> str:
-    """Matches lie between the pieces that splitting leaves; values are counted by distinct owners."""
+def secrets(max_owners: int = 2, max_repos: int = MAX_REPOS) -> str:
+    """Matches lie between the pieces that splitting leaves; values are counted by distinct owners and documents."""
     parts = []
     for order, (kind, pattern, least, group) in enumerate(KINDS):
         sql = pattern.replace("'", "''")
         value = f"regexp_extract(m, '{sql}', {group})" if group else "m"
-        parts.append(f"""select id, source, {order} as ord, '{kind}' as kind, stop - length(m) as start, stop, {value} as value from (select id, source, m[i] as m, list_sum([length(g[j]) + length(m[j]) for j in range(1, i + 1)])::bigint as stop
-          from (select id, source, regexp_extract_all(text, '{sql}', 0) as m, string_split_regex(text, '{sql}') as g, unnest(range(1, len(regexp_extract_all(text, '{sql}', 0)) + 1)) as i from docs)) where length({value}) >= {least}""")
+        parts.append(f"""select id, doc_id, source, {order} as ord, '{kind}' as kind, stop - length(m) as start, stop, {value} as value from (select id, doc_id, source, m[i] as m, list_sum([length(g[j]) + length(m[j]) for j in range(1, i + 1)])::bigint as stop
+          from (select id, doc_id, source, regexp_extract_all(text, '{sql}', 0) as m, string_split_regex(text, '{sql}') as g, unnest(range(1, len(regexp_extract_all(text, '{sql}', 0)) + 1)) as i from docs)) where length({value}) >= {least}""")
     return f"""with docs as (select row_number() over () as id, doc_id, source, coalesce(text, '') as text from documents), spans as ({' union all '.join(parts)}),
-    owned as (select value, count(distinct coalesce(source, chr(1))) as owners from spans group by 1),
-    judged as (select s.*, case when owners > {max_owners} then 'example' when regexp_matches(value, '[0-9]') and regexp_matches(value, '[A-Za-z]') and len(list_distinct(string_split(value, ''))) >= 8 then 'live' else 'weak' end as verdict from spans s join owned using (value)),
+    owned as (select value, count(distinct coalesce(source, chr(1))) as owners, count(distinct coalesce(doc_id, -1)) as repos from spans group by 1),
+    judged as (select s.*, case when owners > {max_owners} or repos > {max_repos} then 'example' when regexp_matches(value, '[0-9]') and regexp_matches(value, '[A-Za-z]') and len(list_distinct(string_split(value, ''))) >= 8 then 'live' else 'weak' end as verdict from spans s join owned using (value)),
     every as (select distinct id, start, ord, stop, kind from judged union select distinct id, stop - length(value), {len(KINDS)}, stop, 'live' from judged where verdict = 'live'),
     listed as (select id, string_agg(kind || ':' || start || ':' || stop, ',' order by start, ord, stop) as spans, string_agg(kind || ':' || start || ':' || stop, ',' order by start, ord, stop) filter (kind != 'live') as base from every group by 1),
     counted as (select id, {', '.join(f"count(*) filter (kind = '{k[0]}') as n_{k[0]}" for k in KINDS)}, count(*) filter (verdict = 'live') as n_live, count(*) filter (verdict = 'example') as n_example from judged group by 1)

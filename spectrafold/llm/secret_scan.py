@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_of, written
+from .common import free, text_of, written
 
 #: Kind, pattern, least length of what is measured, and the group that holds the value.
 #: Runs of hex digits and of key characters below their least length can't match, as such a run is matched whole or not at all.
@@ -17,6 +17,8 @@ KINDS = (
 
 #: Characters on each side of a match that tell a use of a value from a copy of that use.
 NEAR = 40
+#: A value that more repositories than this hold is no one's live credential.
+MAX_REPOS = 16
 
 
 def _near(pieces: Column, matches: Column) -> Column:
@@ -81,11 +83,13 @@ def _independent(uses: DataFrame, max_owners: int) -> DataFrame:
     return held.where("sure").select("digest").unionByName(left.select("digest").distinct())
 
 
-def ownership(candidates: DataFrame, max_owners: int) -> DataFrame:
-    """(digest, owners, repos, verdict) for each value: 'example' if its uses need more than max_owners owners once copies count as one, else 'live' or 'weak' by its looks.
+def ownership(candidates: DataFrame, max_owners: int, max_repos: int) -> DataFrame:
+    """(digest, owners, repos, verdict) for each value.
 
-    Distinct owners, repositories and uses are counted in two steps, so a value that is copied everywhere is combined
-    before each shuffle.
+    'example': its uses need more than max_owners owners once copies count as one, or more than max_repos repositories
+    hold it in as many different surroundings, as a value that stands all over one owner's repositories is boilerplate,
+    too. Else 'live' or 'weak' by its looks. Distinct owners, repositories and uses are counted in two steps, so a value
+    that is copied everywhere is combined before each shuffle.
     """
     owned = candidates.groupBy("digest", "owner").agg(F.max("random").alias("random"))
     owners = owned.groupBy("digest").agg(F.count("*").alias("owners"), F.max("random").alias("random"))
@@ -94,11 +98,14 @@ def ownership(candidates: DataFrame, max_owners: int) -> DataFrame:
     named = F.coalesce(F.concat(F.lit("="), F.col("owner")), F.lit("")).alias("owner")
     uses = candidates.select("digest", "near", named).distinct()
     examples = _independent(uses, max_owners).withColumn("example", F.lit(True))
-    verdict = F.when(F.col("example"), "example").when(F.col("random"), "live").otherwise("weak")
+    places = uses.groupBy("digest", "near").agg(F.lit(1)).groupBy("digest").agg(F.count("*").alias("places"))
+    repos = repos.join(places, "digest")
+    everywhere = F.least("repos", "places") > max_repos
+    verdict = F.when(F.col("example") | everywhere, "example").when(F.col("random"), "live").otherwise("weak")
     return owners.join(repos, "digest").join(examples, "digest", "left").select("digest", "owners", "repos", verdict.alias("verdict"))
 
 
-def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id", max_owners: int = 2) -> tuple[DataFrame, DataFrame]:
+def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id", max_owners: int = 2, max_repos: int = MAX_REPOS) -> tuple[DataFrame, DataFrame]:
     """(rows, spans): the rows of the input (row, doc_id) and all candidate spans with their verdicts.
 
     Null text counts as empty; null owners and repositories are one owner, one repository. Equal rows stay separate. Spans
@@ -107,7 +114,7 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", own
     found = _found(docs, id_col, text_col, owner_col, repo_col)
     cands = _candidates(found).withColumn("digest", F.sha2("value", 256)).withColumn("random", looks_random(F.col("value")))
     cands = written(cands, "candidates")
-    spans = cands.join(ownership(cands, max_owners), "digest")
+    spans = cands.join(ownership(cands, max_owners, max_repos), "digest")
     return found.select("row", "doc_id"), spans
 
 
@@ -140,14 +147,15 @@ def redact(docs: DataFrame, *, mark: str = "[SECRET]", **options) -> DataFrame:
 
     A document is found again by its id and a hash of its text. n_chars, where there is such a column, follows the text.
     """
+    row_key, row_values = free(docs, "_row_key"), free(docs, "_row_values")
     key = F.xxhash64(F.col("doc_id"), F.length(text_of()), text_of())
-    keyed = docs.withColumn("_row_key", key)
-    rows, spans = scan(keyed, repo_col="_row_key", **options)
-    values = spans.where("verdict = 'live'").groupBy(F.col("repo").cast("long").alias("_row_key")).agg(F.array_sort(F.collect_set("value")).alias("_row_values"))
-    found = keyed.join(values, "_row_key", "left")
-    longest_first = F.expr("array_sort(_row_values, (a, b) -> length(b) - length(a))")
-    text = F.when(F.col("_row_values").isNull(), F.col("text")).otherwise(F.aggregate(longest_first, F.col("text"), lambda t, v: F.replace(t, v, F.lit(mark))))
+    keyed = docs.withColumn(row_key, key)
+    rows, spans = scan(keyed, repo_col=row_key, **options)
+    values = spans.where("verdict = 'live'").groupBy(F.col("repo").cast("long").alias(row_key)).agg(F.array_sort(F.collect_set("value")).alias(row_values))
+    found = keyed.join(values, row_key, "left")
+    longest_first = F.expr(f"array_sort({row_values}, (a, b) -> length(b) - length(a))")
+    text = F.when(F.col(row_values).isNull(), F.col("text")).otherwise(F.aggregate(longest_first, F.col("text"), lambda t, v: F.replace(t, v, F.lit(mark))))
     out = found.withColumn("text", text)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_row_values").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+        out = out.withColumn("n_chars", F.when(F.col(row_values).isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
