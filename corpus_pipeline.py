@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spectrafold.llm import bpe, jaccard, mixing, quality, secret_scan
-from spectrafold.llm.common import written
+from spectrafold.llm import bpe, common, jaccard, mixing, quality, secret_scan
 from spectrafold.llm.queries import TOKENIZER, table
 
 
@@ -49,7 +48,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
+        first = len(common.TABLES)
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            docs = written(docs, f"stage{i}")
+            docs = common.written(docs, f"stage{i}")
+            common.drop_since(spark, max(0, first - (i > 0)), keep=1)  # what the stage made, and what it read
     return docs
