@@ -227,7 +227,7 @@ def test_nearest(spark):
     base = [(i, (centers[i % 40] + 0.6 * r.standard_normal(32)).astype(np.float32).tolist()) for i in range(6000)]
     base[60] = (60, base[0][1])
     base[61] = (61, base[0][1])
-    odd = [(6000, None), (6020, []), (6040, [0.0] * 32), (6060, [float("nan")] + [1.0] * 31), (6080, [None] + [1.0] * 31), (6100, [1.0] * 3), (None, base[3][1])]
+    odd = [(6000, None), (6020, []), (6040, [0.0] * 32), (6060, [float("nan")] + [1.0] * 31), (6080, [None] + [1.0] * 31), (6100, [1.0] * 3), (6101, [2.0] * 3), (None, base[3][1])]
     df = spark.createDataFrame([(i, v, 1, "clash") for i, v in base + odd], "vec_id long, embedding array<float>, rank int, vector string").repartition(3)
     got = {}
     for row in ann.search(df).collect():
@@ -235,7 +235,8 @@ def test_nearest(spark):
     x, names = np.array([v for _, v in base], np.float32).astype(float), np.arange(6000)
     hit = 0
     exact = ann.all_pairs(x, names, np.arange(0, 6000, 20), 20)
-    assert set(got) == {q for q, _ in exact}
+    assert set(got) == {q for q, _ in exact} | {6100}
+    assert got[6100] == [(1, 6101, 6.0)]
     for q, best in exact:
         own = sorted(got[q])
         assert [r for r, _, _ in own] == list(range(1, 21)) and q not in {v for _, v, _ in own}
@@ -254,7 +255,7 @@ def test_scanner_abandons():
     r = np.random.default_rng(2)
     x = r.standard_normal((2000, 64))
     rotation = np.linalg.qr(r.standard_normal((64, 64)))[0]
-    scanner = ann.Scanner(np.arange(2000), x, rotation)
+    scanner = ann.Scanner(np.arange(2000), np.arange(2000), x, rotation)
     q = x[0]
     scores = ann.exact(x, q)
     bound = np.sort(scores)[-30]
