@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, written
-from .vectors import runs, usable
+from .vectors import roots, runs, usable
 
 #: Pivots of a label at the top level of the tree, vectors in a block, and pairs of vectors compared at once.
 PIVOTS, BLOCK, AT_ONCE = 32, 2048, 65536
@@ -77,20 +77,6 @@ def close_pairs(a: np.ndarray, b: np.ndarray | None, cosine: float) -> Iterator[
         stack += [(xs[i], ys[j]) for i, j in zip(*np.nonzero(np.triu(close) if x is y else close), strict=True)]
 
 
-def roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """For each of n points the smallest that the pairs lead to."""
-    label = np.arange(n)
-    while len(i):
-        low = np.minimum(label[i], label[j])
-        before = label.copy()
-        np.minimum.at(label, i, low)
-        np.minimum.at(label, j, low)
-        label = label[label]
-        if (label == before).all():
-            break
-    return label
-
-
 def _prepared(rows: DataFrame) -> DataFrame:
     """(vec_id, label, cid, unit) of each row; cid, a fingerprint of label and vector, and unit are null where it takes no part."""
 

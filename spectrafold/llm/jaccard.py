@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from collections import Counter
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, text_of, written
+from .common import components, free, text_of, written
 from .shingles import mixed, shingle_sets
+from .vectors import roots, runs
 
 #: Counters of the sketch of shingle frequencies (a power of two), and counters that travel in one row.
 BINS, BLOCK = 1 << 20, 1 << 14
@@ -22,6 +23,8 @@ FILTER_BITS = 1 << 24
 HOT = 64
 #: Documents and shingles of one block of a large cluster.
 BLOCK_DOCS, BLOCK_SHINGLES = 400, 400_000
+#: Pairs of rows from which a column is multiplied out densely, such columns at once, and pairs added at once.
+DENSE, COLUMNS, PAIRS_AT_ONCE = 640, 4096, 4_000_000
 
 
 def _bins(marks: np.ndarray) -> np.ndarray:
@@ -34,26 +37,26 @@ def prefix_length(n, percent: int):
 
 
 def _first_pass(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, cid, n) of each row, and for each task its counters of shingles (block, counts), in one table."""
+    """(doc_id, key, cid, n) of each row, and for each task its counters of shingles (block, counts), in one table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(BINS, np.int32)
-        names = ["doc_id", "cid", "n", "block", "counts"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+        names = ["doc_id", "key", "cid", "n", "block", "counts"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
         for batch in batches:
             cids, sizes = [], []
             for own in shingle_sets(batch.column(1), size):
                 cids.append(xxhash.xxh3_64_intdigest(own.tobytes()) - 2**63)
                 sizes.append(len(own))
                 np.add.at(counts, _bins(own), 1)
-            none = [pa.nulls(len(sizes), k) for k in kinds[3:]]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cids, kinds[1]), pa.array(sizes, kinds[2]), *none], names)
+            none = [pa.nulls(len(sizes), k) for k in kinds[4:]]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(cids, kinds[2]), pa.array(sizes, kinds[3]), *none], names)
         if counts.any():
             parts = counts.reshape(-1, BLOCK)
-            none = [pa.nulls(len(parts), k) for k in kinds[:3]]
-            yield pa.RecordBatch.from_arrays([*none, pa.array(range(len(parts)), kinds[3]), pa.array([p.tobytes() for p in parts], kinds[4])], names)
+            none = [pa.nulls(len(parts), k) for k in kinds[:4]]
+            yield pa.RecordBatch.from_arrays([*none, pa.array(range(len(parts)), kinds[4]), pa.array([p.tobytes() for p in parts], kinds[5])], names)
 
-    return written(docs.mapInArrow(run, "doc_id long, cid long, n long, block int, counts binary"), "sets")
+    return written(docs.mapInArrow(run, "doc_id long, key long, cid long, n long, block int, counts binary"), "sets")
 
 
 def _sketch(passed: DataFrame) -> np.ndarray:
@@ -120,71 +123,103 @@ def _edges(rows: DataFrame, percent: int) -> DataFrame:
     return counted.where(F.col("common") >= need).select("a", "b").unionByName(hot)
 
 
-def linked(sets: list[np.ndarray], sides: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """A forest of the links between sets, by position; between sides 0 and 1 only, or within where all are on side 0.
+def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """(len(a), len(b)): how many shingles each two sets share, as the product of two sparse incidence matrices.
 
-    The sets come in order of size. Columns of the local product count what each set's prefix shares with the prefixes
-    before it; of those that the sizes leave, one is compared in full unless a link already joins the two.
+    A column (shingle) with few pairs of rows adds 1 for each of them; those of one with many are multiplied out as dense
+    columns, a few thousand at a time.
     """
-    rarity = Counter()
-    for own in sets:
-        rarity.update(own.tolist())
-    parent = list(range(len(sets)))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    across = bool(sides.any())
-    columns: dict[int, list[int]] = {}
-    out = []
-    for i, own in enumerate(sets):
-        n = len(own)
-        prefix = sorted(own.tolist(), key=lambda m: (rarity[m], m))[: prefix_length(n, percent)]
-        seen: Counter = Counter()
-        for m in prefix:
-            seen.update(columns.get(m, ()))
-        for j, common in seen.most_common():
-            m = len(sets[j])
-            if across and sides[i] == sides[j] or 100 * m < percent * n or root(i) == root(j):
-                continue
-            need = -(-percent * (n + m) // (100 + percent))
-            if common < need + 1 + (-percent * n // 100):
-                continue
-            if len(np.intersect1d(own, sets[j], assume_unique=True)) >= need:
-                parent[root(i)] = root(j)
-                out.append((j, i))
-        for m in prefix:
-            columns.setdefault(m, []).append(i)
-    return out
+    out = np.zeros(len(a) * len(b), np.int64)
+    kinds, column = np.unique(np.concatenate([*a, *b]), return_inverse=True)
+    sizes = np.array([len(x) for x in (*a, *b)])
+    row, cut = np.repeat(np.arange(len(sizes)), sizes), int(sizes[: len(a)].sum())
+    sides = (row[:cut], column[:cut]), (row[cut:] - len(a), column[cut:])
+    degree = [np.bincount(c, minlength=len(kinds)) for _, c in sides]
+    pairs = degree[0] * degree[1]
+    few = (pairs > 0) & (pairs <= DENSE)
+    r, c = (x[few[sides[0][1]]] for x in sides[0])
+    order = np.argsort(sides[1][1], kind="stable")
+    other, first = sides[1][0][order], np.cumsum(degree[1]) - degree[1]
+    ends = np.cumsum(degree[1][c])
+    at = 0
+    while at < len(c):
+        last = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS_AT_ONCE, "right")))
+        many = degree[1][c[at:last]]
+        within = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+        out += np.bincount(np.repeat(r[at:last], many) * len(b) + other[np.repeat(first[c[at:last]], many) + within], minlength=len(out))
+        at = last
+    dense = np.flatnonzero(pairs > DENSE)
+    for i in range(0, len(dense), COLUMNS):
+        place = np.full(len(kinds), -1)
+        place[dense[i : i + COLUMNS]] = np.arange(len(dense[i : i + COLUMNS]))
+        tables = [np.zeros((n, len(dense[i : i + COLUMNS])), np.float32) for n in (len(a), len(b))]
+        for table, (r, c) in zip(tables, sides, strict=True):
+            here = place[c] >= 0
+            table[r[here], place[c[here]]] = 1
+        out += np.rint(tables[0] @ tables[1].T).astype(np.int64).reshape(-1)
+    return out.reshape(len(a), len(b))
+
+
+def linked(a: list[np.ndarray], b: list[np.ndarray] | None, percent: int) -> list[tuple[int, int]]:
+    """A forest of the links between the sets of a and b, by position in both together, or within a where b is None.
+
+    The sizes give each pair the overlap that it needs; pairs with less go.
+    """
+    other = a if b is None else b
+    n, m = np.array([len(x) for x in a])[:, None], np.array([len(x) for x in other])
+    need = -(-percent * (n + m) // (100 + percent))
+    close = overlaps(a, other) >= need
+    i, j = np.nonzero(np.triu(close, 1) if b is None else close)
+    root = roots(len(a) + (0 if b is None else len(b)), i, j if b is None else j + len(a))
+    return [(int(r), k) for k, r in enumerate(root.tolist()) if r != k]
 
 
 def _compared(sets: DataFrame, percent: int) -> DataFrame:
-    """Forest of links (a, b) between the sets (cid, marks) of each cell (cluster, i, j)."""
+    """Forest of links (a, b) between the sets (cid, marks) of each cell (cluster, low, i, high, j): side 0 against side 1, or within side 0 where both are one block."""
+    kind = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, []
+        for (_, low, i, high, j), rows in runs(batches, 5):
+            sides = [[r for r in rows if r[0] == side] for side in (0, 1)]
+            within = (low, i) == (high, j)
+            if len(rows) < 2 or not (within or all(sides)):
+                continue
+            marks = [[np.frombuffer(r[2], np.uint64) for r in own] for own in sides]
+            names = [r[1] for own in sides for r in own]
+            found = linked(marks[0], None if within else marks[1], percent)
+            yield pa.RecordBatch.from_pylist([{"a": names[x], "b": names[y]} for x, y in found], kind)
 
-        def done() -> list[tuple[int, int]]:
-            held.sort(key=lambda h: (len(h[1]), h[0]))
-            found = linked([h[1] for h in held], np.array([h[2] for h in held]), percent)
-            return [(held[x][0], held[y][0]) for x, y in found]
+    cell = ["cluster", "low", "i", "high", "j"]
+    cells = sets.repartition(*cell).sortWithinPartitions(*cell)
+    return cells.select(*cell, "side", "cid", "marks").mapInArrow(run, "a long, b long")
 
-        for batch in batches:
-            out = []
-            for cluster, i, j, block, cid, marks in zip(*(batch.column(k).to_pylist() for k in range(5)), batch.column(5), strict=True):
-                if (cluster, i, j) != key:
-                    out += done() if len(held) > 1 else []
-                    key, held = (cluster, i, j), []
-                held.append((cid, np.frombuffer(marks.as_py(), np.uint64), int(i != j and block == j)))
-            yield pa.RecordBatch.from_pylist([{"a": a, "b": b} for a, b in out], pa.schema([("a", pa.int64()), ("b", pa.int64())]))
-        if len(held) > 1:
-            yield pa.RecordBatch.from_pylist([{"a": a, "b": b} for a, b in done()], pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
-    cells = sets.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
-    return cells.select("cluster", "i", "j", "block", "cid", "marks").mapInArrow(run, "a long, b long")
+def _cells(clusters: DataFrame, percent: int) -> DataFrame:
+    """(cluster, cid, side, low, i, high, j): the cells in which each set of a cluster is compared.
+
+    Sets are dealt to bands of sizes, as wide as the similarity allows two linked sets to differ, and a band's to blocks.
+    Linked sets are in one band or in two next to each other, so a block meets those of its own band and of the next.
+    """
+    width = math.log(100 / percent) * 1.0001
+    group = ["cluster", "band"]
+    banded = clusters.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.lit(width)).cast("int"))
+    sizes = banded.groupBy(*group).agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    sizes = written(sizes, "bands")
+    up = sizes.select("cluster", (F.col("band") - 1).alias("band"), F.col("blocks").alias("above"))
+    down = sizes.select("cluster", (F.col("band") + 1).alias("band"), F.col("blocks").alias("below"))
+    sizes = sizes.join(up, group, "left").join(down, group, "left")
+    dealt = banded.join(sizes, group).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+    band, block = F.col("band"), F.col("block")
+
+    def cells(many: str, cell) -> Column:
+        """One cell for each block of a band, if there are any."""
+        n = F.coalesce(F.col(many), F.lit(0))
+        return F.transform(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), lambda k: F.struct(*(x.cast("int").alias(name) for x, name in zip(cell(k), ("side", "low", "i", "high", "j"), strict=True))))
+
+    own = cells("blocks", lambda k: (F.when(k < block, 1).otherwise(0), band, F.least(k, block), band, F.greatest(k, block)))
+    above = cells("above", lambda k: (F.lit(0), band, block, band + 1, k))
+    below = cells("below", lambda k: (F.lit(1), band - 1, k, band, block))
+    return dealt.select("cluster", "cid", F.explode(F.concat(own, above, below)).alias("c")).select("cluster", "cid", "c.*")
 
 
 def _picked(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -213,7 +248,7 @@ def _picked(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
             some = np.flatnonzero(sent.value[at >> np.uint64(3)] >> (np.uint64(7) - (at & np.uint64(7))).astype(np.uint8) & 1)
             yield pa.RecordBatch.from_arrays([pa.array(cids[some]), batch.column(0).take(pa.array(some)), pa.array([sets[i].tobytes() for i in some], pa.binary())], ["cid", "doc_id", "marks"])
 
-    found = docs.mapInArrow(run, "cid long, doc_id long, marks binary").dropDuplicates(["cid", "doc_id"])
+    found = docs.select("doc_id", "text").mapInArrow(run, "cid long, doc_id long, marks binary").dropDuplicates(["cid", "doc_id"])
     return found.join(wanted.select("cid", F.col("doc_id").alias("_d")), "cid").where(F.col("doc_id").eqNullSafe(F.col("_d"))).drop("_d", "doc_id")
 
 
@@ -225,38 +260,41 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     text without words (null, empty, white space) has no set and no links: its component is its own id. An id may repeat; a
     null id is no component's smallest, unless no other is there. No input: no rows.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
+    return _judged(docs, F.lit(0), id_col, text_col, size, percent).drop("key", "component")
+
+
+def _judged(docs: DataFrame, key: Column, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
+    """The same with a key of each row and, as ids may repeat, the class that stands for its component."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"), key.cast("long").alias("key"))
     passed = _first_pass(rows, size)
-    each = passed.where("block is null").select("doc_id", "cid", "n")
+    each = passed.where("block is null").select("doc_id", "key", "cid", "n")
     kinds = written(each.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n")), "classes")
     prefixes = written(_prefixes(rows, _sketch(passed), size, percent).dropDuplicates(["cid"]), "prefixes")
     edges = written(_edges(prefixes.select("cid", "n", F.explode("marks").alias("mark")), percent), "edges")
 
     clusters = components(edges).withColumnsRenamed({"node": "cid", "component": "cluster"})
     clusters = written(clusters.join(kinds, "cid"), "clusters")
-    sizes = clusters.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    block = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
-    dealt = clusters.join(sizes, "cluster").withColumn("block", block)
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    cells = written(_picked(rows, clusters, size), "picked").join(dealt, "cid").withColumn("other", other)
-    cells = cells.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    links = _compared(cells, percent)
+    links = _compared(written(_picked(rows, clusters, size), "picked").join(_cells(clusters, percent), "cid"), percent)
 
     groups = components(links).withColumnsRenamed({"node": "cid"})
     named = kinds.join(groups, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    final = written(named.join(least, "component").select("cid", "component_id"), "components")
-    full = each.where("n > 0").join(final, "cid").select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("cid").alias("class_id"))
-    empty = each.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("class_id"))
+    final = written(named.join(least, "component").select("cid", "component_id", "component"), "components")
+    full = each.where("n > 0").join(final, "cid").select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("cid").alias("class_id"), "key", "component")
+    none = F.lit(None).cast("long")
+    empty = each.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), none.alias("class_id"), "key", none.alias("component"))
     return full.unionByName(empty)
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
+def keep_one(docs: DataFrame, *, size: int = 5, percent: int = 80) -> DataFrame:
     """One document of each component stays: the one with the smallest id, and of equal ids one. All columns stay.
 
-    Documents without words link with nothing and stay, one for each id; so do all without an id, as nothing names them.
+    Documents without words link with nothing and stay, as do all without an id, as nothing names them; of equal rows one
+    stays. An id may repeat: of the rows of one component that share its smallest id, one stays.
     """
-    judged = classes(docs.where("doc_id is not null"), **options)
-    kept = judged.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null"))
+    row = free(docs, "_row")
+    named = docs.where("doc_id is not null").withColumn(row, F.xxhash64("doc_id", text_of()))
+    judged = _judged(named, F.col(row), "doc_id", "text", size, percent)
+    first = judged.where("class_id is not null and doc_id = component_id").groupBy("component").agg(F.min(F.struct("class_id", "key")).alias("first"))
+    kept = first.select(F.col("first.key").alias(row)).unionByName(judged.where("class_id is null").select(F.col("key").alias(row)).distinct())
+    return named.join(kept, row, "left_semi").dropDuplicates([row]).select(*docs.columns).unionByName(docs.where("doc_id is null"))

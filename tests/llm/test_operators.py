@@ -338,6 +338,20 @@ def test_jaccard(spark, monkeypatch, size, percent, hot):
     assert kept.columns == df.columns
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i, (_, c) in expected.items() if i == c)
     assert jaccard.classes(empty(spark)).count() == 0
+    # An id that two unlinked texts share keeps both, and so does a text without an id.
+    shared = docs(spark, [(5, words(30)), (5, words(30)), (6, BASE), (6, BASE.upper()), (7, BASE), (None, BASE), (8, ""), (8, " ")])
+    assert sorted(str(r["doc_id"]) for r in jaccard.keep_one(shared, size=size, percent=percent).collect()) == ["5", "5", "6", "8", "8", "None"]
+
+
+def test_overlaps(monkeypatch):
+    r = np.random.default_rng(12)
+    a = [np.unique(r.integers(0, 60, r.integers(1, 50)).astype(np.uint64)) for _ in range(33)]
+    b = [np.unique(r.integers(0, 90, r.integers(1, 50)).astype(np.uint64)) for _ in range(21)]
+    for dense in (0, 100, 10**9):
+        monkeypatch.setattr(jaccard, "DENSE", dense)
+        monkeypatch.setattr(jaccard, "PAIRS_AT_ONCE", 50)
+        assert (jaccard.overlaps(a, b) == [[len(np.intersect1d(x, y)) for y in b] for x in a]).all()
+        assert (jaccard.overlaps(a, a) == [[len(np.intersect1d(x, y)) for y in a] for x in a]).all()
 
 
 @pytest.mark.parametrize("block", [2048, 40])
