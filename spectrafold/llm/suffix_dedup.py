@@ -18,14 +18,20 @@ from .vectors import runs
 
 #: Bytes of the strings that make the first buckets (a power of two).
 Q = 128
-#: Widths of the ranges of starts, one refinement after the other; the first range holds all.
+#: Bytes of the strings of the first bucket pointers and their distance, and of the longest.
+STEP, LONGEST = 16, 256
+#: Members of buckets that one task refines together, at least.
+AT_ONCE = 4096
+#: Widths of the ranges of starts of a bucket that is refined by joins; the first range holds all.
 WIDTHS = (64, 8, 1)
 #: Buckets of up to so many members are refined by one task; larger ones by joins, one after the other for all of them.
 SMALL = 16_384
 #: Bytes that are hashed at once.
 GROUP_BYTES = 262_144
-#: Bits of the filter that picks texts before they are joined.
-FILTER_BITS = 1 << 24
+#: Fewest and most bits of the filter that picks texts before they are joined: 16 for each wanted row in between.
+FILTER_BITS = 1 << 20, 1 << 27
+#: Longest period that is looked for, and bytes to an anchor from which a text isn't searched for periods.
+PERIOD, DENSE_ANCHORS = 16, 24
 
 _BYTE = np.random.default_rng(20240503).integers(1, 2**63, 256, dtype=np.uint64)
 _ODD = (np.random.default_rng(20240504).integers(1, 2**62, 8, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -54,11 +60,25 @@ def _sliding(x: np.ndarray, width: int, of: np.ufunc) -> np.ndarray:
     return of(behind[: n - width + 1], ahead[width - 1 : n])
 
 
-def anchors(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+def periodic(data: np.ndarray, length: int) -> list[tuple[int, int, int]]:
+    """(start, stop, period) of stretches that repeat themselves after up to PERIOD bytes, so that all strings of `length` bytes in them are repeats."""
+    out = []
+    for period in range(1, PERIOD + 1):
+        breaks = np.flatnonzero(data[period:] != data[:-period])
+        edges = np.concatenate([[-1], breaks, [max(0, len(data) - period)]])
+        for i in np.flatnonzero(np.diff(edges) - 1 >= length).tolist():
+            a, b = int(edges[i]) + 1, int(edges[i + 1]) + period
+            if not any(x <= a and b <= y for x, y, _ in out):  # twice a period is none of its own
+                out.append((a, b, period))
+    return out
+
+
+def anchors(data: np.ndarray, ends: np.ndarray, length: int, within: list[tuple[int, int, int]] = ()) -> tuple[np.ndarray, np.ndarray]:
     """(places, identifiers) of the strings of Q bytes that are smallest in some string of `length` bytes of one text.
 
     Equal strings of `length` bytes hold their anchors at the same places, and each holds one. ends: where the texts in
-    data end, in order, the first beginning at 0.
+    data end, in order, the first beginning at 0. Of the strings in a stretch of `within`, only those of the first period
+    count, as all others equal one of them.
     """
     width = length - Q + 1
     if len(data) < length:
@@ -67,14 +87,40 @@ def anchors(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray
     least = _sliding(ids, width, np.minimum)
     end = np.repeat(ends, np.diff(ends, prepend=0))[: len(least)]
     least[np.arange(len(least)) + length > end] = 0
+    for start, stop, period in within:
+        least[max(0, start + period) : max(0, stop - length + 1)] = 0
     least = np.concatenate([np.zeros(width - 1, np.uint64), least, np.zeros(width - 1, np.uint64)])
     most = _sliding(least, width, np.maximum)
     at = np.flatnonzero(ids == most[: len(ids)])
     return at, ids[at]
 
 
-def _text_anchors(texts: list[bytes], length: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(text number, places, identifiers) of the anchors, short texts together, very long ones piece by piece."""
+def _text_anchors(texts: list[bytes], length: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[tuple[int, int, int]]]]:
+    """(text number, places, identifiers, periodic stretches) of the texts with anchors, short texts together, very long ones piece by piece.
+
+    Texts in which anchors are dense, as strings repeat after a few bytes, are looked through again without what is periodic.
+    """
+    for i, at, ids in _all_anchors(texts, length):
+        within = periodic(np.frombuffer(texts[i], np.uint8), length) if len(at) * DENSE_ANCHORS > len(texts[i]) else []
+        if within:
+            at, ids = _long_anchors(texts[i], length, within)
+        yield i, at, ids, within
+
+
+def _long_anchors(text: bytes, length: int, within: list[tuple[int, int, int]] = ()) -> tuple[np.ndarray, np.ndarray]:
+    """(places, identifiers) of the anchors of one text, piece by piece."""
+    data, piece = np.frombuffer(text, np.uint8), 8 * GROUP_BYTES
+    parts = [(np.zeros(0, np.int64), np.zeros(0, np.uint64))]
+    for a in range(0, len(data), piece):
+        low, high = max(0, a - 2 * length), min(len(data), a + piece + 2 * length)
+        at, ids = anchors(data[low:high], np.array([high - low]), length, [(x - low, y - low, p) for x, y, p in within])
+        # Beside a cut, anchors of strings that the cut cuts are missing; those places belong to the next piece.
+        own = (at + low >= a) & (at + low < a + piece)
+        parts.append((at[own] + low, ids[own]))
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
+
+def _all_anchors(texts: list[bytes], length: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     group: list[int] = []
     size = 0
 
@@ -93,15 +139,7 @@ def _text_anchors(texts: list[bytes], length: int) -> Iterator[tuple[int, np.nda
         if len(text) < length:
             continue
         if len(text) > 16 * GROUP_BYTES:
-            data, piece = np.frombuffer(text, np.uint8), 8 * GROUP_BYTES
-            parts = []
-            for a in range(0, len(data), piece):
-                low, high = max(0, a - 2 * length), min(len(data), a + piece + 2 * length)
-                at, ids = anchors(data[low:high], np.array([high - low]), length)
-                # Beside a cut, anchors of strings that the cut cuts are missing; those places belong to the next piece.
-                own = (at + low >= a) & (at + low < a + piece)
-                parts.append((at[own] + low, ids[own]))
-            yield i, np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+            yield i, *_long_anchors(text, length)
             continue
         group.append(i)
         size += len(text)
@@ -122,7 +160,7 @@ def key_of(name, text: bytes) -> int:
 
 
 def _first_pass(rows: DataFrame, length: int) -> DataFrame:
-    """One row a document: its key, size, digest, and anchors with the identifiers of all that the strings over them cover."""
+    """One row a document: its key, size, digest, the ranges of starts in periodic stretches, and anchors with the identifiers of all that the strings over them cover."""
     reach = length - Q
     lists = {"pos": pa.int32(), "h": pa.int64(), "u": pa.int64(), "lo": pa.int32(), "hi": pa.int32()}
 
@@ -131,8 +169,10 @@ def _first_pass(rows: DataFrame, length: int) -> DataFrame:
             names = batch.column(0).to_pylist()
             texts = [t.as_py().encode() for t in batch.column(1)]
             found: list = [None] * len(texts)
-            for i, at, ids in _text_anchors(texts, length):
+            own: list = [[] for _ in texts]
+            for i, at, ids, within in _text_anchors(texts, length):
                 text, n = texts[i], len(texts[i])
+                own[i] = [{"first": a, "last": b - length} for a, b, _ in within]
                 low, high = np.maximum(0, at - reach), np.minimum(at, n - length)
                 u = [_signed(xxhash.xxh3_64_intdigest(text[a : b + length], (p - a) * 65536 + b - a)) for p, a, b in zip(at.tolist(), low.tolist(), high.tolist(), strict=True)]
                 found[i] = (at, ids.view(np.int64), np.array(u, np.int64), low - at + reach, high - at + reach)
@@ -141,24 +181,29 @@ def _first_pass(rows: DataFrame, length: int) -> DataFrame:
             columns = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.zeros(0, np.int64), *(f[c] for f in found if f)]).astype(kind.to_pandas_dtype()), kind)) for c, kind in enumerate(lists.values())]
             keys = [key_of(n, t) for n, t in zip(names, texts, strict=True)]
             digests = [hashlib.sha256(t).hexdigest() for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64()), pa.array([len(t) for t in texts], pa.int64()), pa.array(digests), *columns], ["doc_id", "k", "n_bytes", "sha", *lists])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64()), pa.array([len(t) for t in texts], pa.int64()), pa.array(digests), pa.array(own, stretches), *columns], ["doc_id", "k", "n_bytes", "sha", "own", *lists])
 
-    kinds = "doc_id long, k long, n_bytes long, sha string, pos array<int>, h array<long>, u array<long>, lo array<int>, hi array<int>"
+    stretches = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
+    kinds = "doc_id long, k long, n_bytes long, sha string, own array<struct<first:long,last:long>>, pos array<int>, h array<long>, u array<long>, lo array<int>, hi array<int>"
     return written(rows.mapInArrow(run, kinds), "anchors")
 
 
 def _texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """(k, doc_id, text, compressed) of each row with a wanted key: a fixed-size filter first, so that few other texts reach the exact join."""
 
+    size = FILTER_BITS[0]
+    while size < FILTER_BITS[1] and size < 16 * wanted.count():
+        size *= 2
+
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = np.zeros(FILTER_BITS, bool)
+        out = np.zeros(size, bool)
         for batch in batches:
-            out[mixed(batch.column(0).to_numpy().view(np.uint64)) % np.uint64(FILTER_BITS)] = True
+            out[mixed(batch.column(0).to_numpy().view(np.uint64)) % np.uint64(size)] = True
         packed = np.packbits(out).reshape(64, -1)
         held = [i for i in range(64) if packed[i].any()]
         yield pa.RecordBatch.from_arrays([pa.array(held, pa.int32()), pa.array([packed[i].tobytes() for i in held], pa.binary())], ["block", "bits"])
 
-    packed = np.zeros((64, FILTER_BITS // 512), np.uint8)
+    packed = np.zeros((64, size // 512), np.uint8)
     for row in wanted.select("k").coalesce(16).mapInArrow(bits, "block int, bits binary").toLocalIterator():
         packed[row["block"]] |= np.frombuffer(row["bits"], np.uint8)
     sent = rows.sparkSession.sparkContext.broadcast(packed.reshape(-1))
@@ -168,7 +213,7 @@ def _texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
         for batch in batches:
             texts = [t.as_py().encode() for t in batch.column(1)]
             keys = np.array([key_of(n, t) for n, t in zip(batch.column(0).to_pylist(), texts, strict=True)], np.int64)
-            at = mixed(keys.view(np.uint64)) % np.uint64(FILTER_BITS)
+            at = mixed(keys.view(np.uint64)) % np.uint64(size)
             some = np.flatnonzero(sent.value[at >> np.uint64(3)] >> (np.uint64(7) - (at & np.uint64(7))).astype(np.uint8) & 1)
             yield pa.RecordBatch.from_arrays([pa.array(keys[some]), batch.column(0).take(pa.array(some)), pa.array([packer.compress(texts[i]) for i in some], pa.binary())], ["k", "doc_id", "text"])
 
@@ -204,38 +249,116 @@ def _contexts(rows: DataFrame, members: DataFrame, length: int) -> DataFrame:
     return found.select("k", "text", "places").mapInArrow(run, "h long, u long, c long, k long, pos int, lo int, hi int, bytes binary")
 
 
-def finished(members: list[tuple[int, int, int, int, int, bytes]], length: int) -> list[tuple[int, int, int]]:
-    """(k, first, last): ranges of starts of the single members whose strings another member holds at the same place.
+def ranked(*columns: np.ndarray) -> np.ndarray:
+    """Sort on the columns; a number for each row, equal where all of them are."""
+    out = np.unique(columns[0], return_inverse=True)[1].reshape(-1)
+    for column in columns[1:]:
+        own = np.unique(column, return_inverse=True)[1].reshape(-1)
+        out = np.unique(out << 32 | own, return_inverse=True)[1].reshape(-1)
+    return out
+
+
+class Pointers:
+    """Bucket pointers: for each row of bytes and each multiple of STEP, the buckets of the strings that start there.
+
+    The first buckets are those of the strings of STEP bytes. Sorting on a place's bucket and the bucket that many bytes
+    later gives the buckets of strings twice as long, which are sorted on in turn, up to LONGEST bytes.
+    """
 
-    members: (c, k, pos, lo, hi, bytes) of one bucket; the refinement is that of _refined(), with the strings themselves
-    for identifiers.
+    def __init__(self, data: np.ndarray):
+        self.words = data.view("<u8")
+        shape = self.words.shape
+        eight = ranked(self.words.reshape(-1)).reshape(shape)
+        ids = ranked((eight[:, ::2] << 32 | eight[:, 1::2]).reshape(-1)).reshape(shape[0], -1)
+        self.levels = [ids]
+        ahead = 1
+        while STEP * ahead < LONGEST:
+            ids = ranked((ids[:, :-ahead] << 32 | ids[:, ahead:]).reshape(-1)).reshape(shape[0], -1)
+            self.levels.append(ids)
+            ahead *= 2
+
+    def of(self, rows: np.ndarray, start: np.ndarray, stop: np.ndarray) -> list[np.ndarray]:
+        """Columns that are equal where the bytes from start to stop are; both are multiples of STEP, all about as far apart."""
+        short, wide = int((stop - start).min()) // STEP, int((stop - start).max()) // STEP
+        level = min(len(self.levels) - 1, short.bit_length() - 1)
+        many = 1 << level
+        places = [np.minimum(start // STEP + i, stop // STEP - many) for i in range(0, wide - many + 1, many)]
+        if (wide - many) % many:
+            places.append(stop // STEP - many)
+        return [self.levels[level][rows, p] for p in places]
+
+    def word(self, rows: np.ndarray, place: int, low: int, high: int) -> np.ndarray | None:
+        """The 8 bytes from the place, those before low and from high on as 0; None if that is all."""
+        low, high = max(low, place), min(high, place + 8)
+        if low >= high:
+            return None
+        mask = ((1 << 8 * (high - place)) - 1) & ~((1 << 8 * (low - place)) - 1)
+        return self.words[rows, place // 8] & np.uint64(mask)
+
+
+def finished(groups: np.ndarray, members: list[tuple[int, int, int, int, int, bytes]], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(k, first, last): ranges of starts of the single members whose strings another member of their group holds at the same place.
+
+    members: (c, k, pos, lo, hi, bytes), group by group. A group is the first bucket. It is refined over ever narrower ranges
+    of starts: the strings that start in a range share its core, so the members are sorted on the bucket pointers of the
+    core's bytes, before and after the anchor. Members that agree in all that the range covers are repeats over the whole
+    range, and one of them goes on for the others' sake; a bucket of one is done. At last, the few bytes that the strings
+    from single starts hold beyond the core are sorted on.
     """
     reach = length - Q
-    alive, out = [(i, 0, m[0]) for i, m in enumerate(members)], []
-    before = first_width(length)
-    for width in (w for w in WIDTHS if w < before):
-        buckets: dict = {}
-        for i, x0, many in alive:
-            _, _, _, lo, hi, data = members[i]
-            for x in range(x0, min(x0 + before, reach + 1), width):
-                y = min(x + width - 1, reach)
-                first, last = max(x, lo), min(y, hi)
-                if first <= last:
-                    core = data[y - lo : x + length - lo]
-                    whole = first, last, data[first - lo : last + length - lo]
-                    buckets.setdefault((x, core), {}).setdefault(whole, []).append((i, many))
-        alive = []
-        for (x, _), kinds in buckets.items():
-            if len(kinds) == 1 and len(next(iter(kinds.values()))) == 1 and next(iter(kinds.values()))[0][1] == 1:
+    up = lambda x: -(-x // STEP) * STEP
+    c, k, pos, lo, hi = (np.array(x, np.int64) for x in list(zip(*members, strict=True))[:5])
+    data = np.zeros((len(members), up(reach + length) + 4 * STEP), np.uint8)
+    for row, m in zip(data, members, strict=True):
+        row[m[3] : m[3] + len(m[5])] = np.frombuffer(m[5], np.uint8)
+    pointers = Pointers(data)
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def refine(x: int, width: int, rows: np.ndarray, many: np.ndarray) -> None:
+        y = min(x + width - 1, reach)
+        first, last = np.maximum(x, lo[rows]), np.minimum(y, hi[rows])
+        fine = first <= last
+        rows, many, first, last = rows[fine], many[fine], first[fine], last[fine]
+        if not len(rows):
+            return
+        core = np.array([up(y)]), np.array([(x + length) // STEP * STEP])
+        columns = pointers.of(rows, *core) if core[1] > core[0] else []
+        bucket = ranked(groups[rows], *columns)
+        alone = np.bincount(bucket, many) < 2
+        fine = ~alone[bucket]
+        rows, many, first, last, bucket = rows[fine], many[fine], first[fine], last[fine], bucket[fine]
+        if not len(rows):
+            return
+        kind = ranked(bucket, first << 32 | last, *pointers.of(rows, first // STEP * STEP, up(last + length)))
+        copies = np.bincount(kind, many)
+        hit = (copies[kind] > 1) & (c[rows] == 1)
+        out.append((k[rows[hit]], pos[rows[hit]] - reach + first[hit], pos[rows[hit]] - reach + last[hit]))
+        lead = np.unique(kind, return_index=True)[1]
+        kinds = np.bincount(bucket[lead])
+        lead = lead[kinds[bucket[lead]] > 1]
+        if not len(lead):
+            return
+        rows, many, bucket = rows[lead], copies[kind[lead]], bucket[lead]
+        if width > STEP:
+            for part in range(x, min(x + width, reach + 1), width // 4):
+                refine(part, width // 4, rows, many)
+            return
+        for start in range(x, y + 1):
+            fine = (lo[rows] <= start) & (start <= hi[rows])
+            own, stop = rows[fine], start + length
+            words = [pointers.word(own, int(core[0][0]) - 16 + i, start, int(core[0][0])) for i in (0, 8)]
+            words += [pointers.word(own, int(core[1][0]) + i, 0, stop) for i in (0, 8, 16, 24)]
+            if not len(own):
                 continue
-            for (first, last, _), found in kinds.items():
-                many = sum(m for _, m in found)
-                if many > 1:
-                    out += [(members[i][1], members[i][2] - reach + first, members[i][2] - reach + last) for i, _ in found if members[i][0] == 1]
-                if len(kinds) > 1:
-                    alive.append((found[0][0], x, many))
-        before = width
-    return out
+            same = ranked(bucket[fine], *(w for w in words if w is not None))
+            hit = (np.bincount(same, many[fine])[same] > 1) & (c[own] == 1)
+            out.append((k[own[hit]], pos[own[hit]] - reach + start, pos[own[hit]] - reach + start))
+
+    width = STEP
+    while width < reach + 1:
+        width *= 4
+    refine(0, width, np.arange(len(members)), c.astype(np.float64))
+    return tuple(np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
 
 
 def first_width(length: int) -> int:
@@ -247,18 +370,24 @@ def first_width(length: int) -> int:
 
 
 def _finished(contexts: DataFrame, length: int) -> DataFrame:
-    """The same for all buckets of (h, c, k, pos, lo, hi, bytes)."""
+    """The same for all buckets of (h, c, k, pos, lo, hi, bytes), some thousand members at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple[int, int, int]] = []
+        held, groups = [], []
+
+        def done() -> pa.RecordBatch:
+            found = finished(np.repeat(np.arange(len(groups)), groups), held, length)
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["k", "first", "last"])
+
         for _, members in runs(batches, 1):
             if len(members) > 1:
-                out += finished(members, length)
-            if len(out) > 5000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["k", "first", "last"])
-                out = []
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["k", "first", "last"])
+                held += members
+                groups.append(len(members))
+            if len(held) >= AT_ONCE:
+                yield done()
+                held, groups = [], []
+        if held:
+            yield done()
 
     rows = contexts.select("h", "c", "k", "pos", "lo", "hi", "bytes").repartition("h").sortWithinPartitions("h")
     return rows.mapInArrow(run, "k long, first long, last long")
@@ -322,21 +451,21 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     Identifiers of 64 bits stand for strings; two strings are taken for equal if those of their anchor and of all their
     bytes both agree.
     """
-    if length < 2 * Q:
-        raise ValueError(f"length must be at least {2 * Q}")
+    if not 2 * Q <= length < 65536:
+        raise ValueError(f"length must be from {2 * Q} to 65,535")
     reach = length - Q
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     passed = _first_pass(rows, length)
     each = passed.where(F.size("pos") > 0).select("k", F.explode(F.arrays_zip("pos", "h", "u", "lo", "hi")).alias("a")).select("k", "a.*")
     # A row's place in one number: the first row of an aggregate gives both columns.
-    each = each.select("k", "h", "u", (F.col("pos").cast("long") * 2**22 + F.col("lo") * 2**11 + F.col("hi")).alias("at"))
+    each = each.select("k", "h", "u", (F.col("pos").cast("long") * 2**32 + F.col("lo").cast("long") * 2**16 + F.col("hi")).alias("at"))
     # Most anchors stand once in the corpus; they go before anything wider is shuffled.
     repeated = written(each.groupBy("h").agg(F.count("*").alias("rows")).where("rows > 1").select("h"), "repeated")
     each = written(each.join(repeated, "h"), "rows")
     kinds = written(each.groupBy("h", "u").agg(F.count("*").alias("c"), F.first("k").alias("k"), F.first("at").alias("at")), "kinds")
     buckets = written(kinds.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1"), "buckets")
     full = kinds.where("c > 1").select("h", "u")
-    place = [F.expr("cast(at div 4194304 as int)").alias("pos"), F.expr("cast(at div 2048 % 2048 as int)").alias("lo"), F.expr("cast(at % 2048 as int)").alias("hi")]
+    place = [F.expr("cast(at div 4294967296 as int)").alias("pos"), F.expr("cast(at div 65536 % 65536 as int)").alias("lo"), F.expr("cast(at % 65536 as int)").alias("hi")]
     members = kinds.join(buckets, "h").select("h", "u", "c", "k", *place, "kinds")
     members = written(members, "members")
     small = _finished(_contexts(rows, members.where(F.col("kinds") <= SMALL), length), length)
@@ -344,7 +473,8 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     found = small if large.isEmpty() else small.unionByName(_refined(written(_contexts(rows, large, length), "contexts"), length))
 
     whole = each.join(full, ["h", "u"]).select("k", *place).select("k", (F.col("pos") - reach + F.col("lo")).cast("long").alias("first"), (F.col("pos") - reach + F.col("hi")).cast("long").alias("last"))
-    spans = whole.unionByName(found).groupBy("k").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("spans"))
+    stretches = passed.where(F.size("own") > 0).select("k", F.explode("own").alias("s")).select("k", "s.first", "s.last")
+    spans = whole.unionByName(found).unionByName(stretches).groupBy("k").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("spans"))
     # Texts of which nothing stays need not be read again.
     sized = passed.select("k", "n_bytes").dropDuplicates(["k"])
     end = F.aggregate("spans", F.lit(0).cast("long"), lambda e, s: F.when((e >= 0) & (s["first"] <= e), F.greatest(e, s["last"] + length)).otherwise(F.lit(-1).cast("long")))

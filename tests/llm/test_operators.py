@@ -116,6 +116,40 @@ def test_repeats_of_random_strings(spark):
     assert got == {i: x for (i, _), x in zip(rows, B.repeats([t for _, t in rows], 400), strict=True)}
 
 
+def near_copies(n):
+    """Texts of a few hundred bytes more than `length` that differ in few places, and periodic ones."""
+    base = words(260, 900)
+    out = []
+    for _ in range(n):
+        own = base.split()
+        for _ in range(rng.randrange(0, 4)):
+            own[rng.randrange(len(own))] = f"z{rng.randrange(9)}"
+        out.append(" ".join(own)[rng.randrange(0, 60) : rng.randrange(700, 1400)])
+    return out
+
+
+@pytest.mark.parametrize("length", [400, 256, 301])
+@pytest.mark.parametrize("small", [16384, 3])
+def test_repeats_of_near_copies(spark, monkeypatch, length, small):
+    monkeypatch.setattr(suffix_dedup, "SMALL", small)
+    monkeypatch.setattr(suffix_dedup, "AT_ONCE", 50)
+    texts = near_copies(40) + ["x" * 400, "x" * 401, "y" * 399 + "z" * 700, "ab" * 400, "b" + "ab" * 150 + "c", "abc" * 133 + "d" * 500 + "abc" * 150, "q" + "abc" * 134, "ab" * 128, "w" * 256, "v" * 257]
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.remove_repeats(docs(spark, list(enumerate(texts))), length=length).collect()}
+    assert got == dict(enumerate(B.repeats(texts, length)))
+
+
+def test_repeats_of_long_runs(spark):
+    texts = ["a" * 1_000_000, " " * 500_000 + "end", "12 " * 200_000, words(5) + "a" * 399 + words(5), words(9000, 50)]
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"]) for r in suffix_dedup.remove_repeats(docs(spark, list(enumerate(texts)))).collect()}
+    assert got[0] == (1_000_000, 1_000_000, 1) and got[1] == (500_003, 500_000, 1) and got[2] == (600_000, 600_000, 1) and got[3][1] == 0
+    long = words(2500) + " "
+    some = [long + words(300), words(20) + long, words(40)]
+    got = {r["doc_id"]: r["kept_sha256"] for r in suffix_dedup.remove_repeats(docs(spark, list(enumerate(some))), length=3000).collect()}
+    assert got == {i: x[3] for i, x in enumerate(B.repeats(some, 3000))}
+    for i, at, _, within in suffix_dedup._text_anchors([t.encode() for t in texts[:3]], 400):
+        assert len(at) < 2000 and len(within) == 1, i
+
+
 def test_anchors_do_not_depend_on_pieces(monkeypatch):
     text = ("".join(rng.choice("abc d") for _ in range(30000)) + "x" * 3000).encode()
     whole = list(suffix_dedup._text_anchors([text], 400))
