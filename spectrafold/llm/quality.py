@@ -3,28 +3,32 @@
 from __future__ import annotations
 
 import math
+import re
+from collections import OrderedDict
 from collections.abc import Iterator
+from functools import lru_cache
+from urllib.parse import unquote
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs as pafs
+from pyarrow import parquet as pq
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_of, written
+from .common import free, text_of, written
 from .shingles import mixed
 
-#: Symbols in an n-gram, bits of a symbol, and probabilities that one broadcast holds.
-ORDER, BITS, SHARD = 5, 12, 4_000_000
+#: Symbols in an n-gram, bits of a symbol, probabilities in a shard, and bytes of shards that a worker keeps.
+ORDER, BITS, SHARD, HELD_BYTES = 5, 12, 4_000_000, 128_000_000
 #: Bits of the filter that picks the texts to train on before they are joined with their labels.
 FILTER_BITS = 1 << 24
 #: Characters of text whose n-grams are gathered at once.
 GATHER = 2_000_000
-START, STOP = 2, 3
+START, STOP = 4094, 4095
 #: A code point from here up is two symbols: a lead, which is from here up itself, and a trail, which is below. The leads
-#: reach for all of Unicode, so each character has symbols of its own.
+#: reach for all of Unicode and end below START, so each character has symbols of its own.
 LEADS = 3800
-#: Bits that one character adds at most, so that a key or an address in a clean text doesn't decide about it.
-MOST_BITS = 8.0
 #: Of the trusted documents, one in so many is held out of the training and gives the quantiles.
 HELD_OUT = 5
 #: The high quantile counts as so much at least, as trusted documents may be all alike.
@@ -157,57 +161,79 @@ def probabilities(counts: DataFrame, needed: DataFrame) -> DataFrame:
     return lower.select(F.col("short").alias("gram"), F.col("p_short").alias("p"))
 
 
+class Shards:
+    """Probabilities in files by ranges of n-grams, read from the shared folder as they are needed; some of them are kept."""
+
+    def __init__(self, files: list[tuple[str, int]]):
+        """files: (address, lowest n-gram) in the order of the n-grams."""
+        self.files, self.low = [f for f, _ in files], np.array([low for _, low in files], np.int64)
+        self.kept: OrderedDict[int, tuple[np.ndarray, np.ndarray]] = OrderedDict()
+
+    def shard(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """(n-grams in order, bits)."""
+        if i in self.kept:
+            self.kept.move_to_end(i)
+            return self.kept[i]
+        while self.kept and sum(k.nbytes + b.nbytes for k, b in self.kept.values()) > HELD_BYTES:
+            self.kept.popitem(last=False)
+        address = re.sub("^s3[an]:", "s3:", re.sub("^file:/+", "file:///", self.files[i]))
+        system, path = pafs.FileSystem.from_uri(address)
+        got = pq.read_table(path, filesystem=system)
+        self.kept[i] = got.column("gram").to_numpy(), -np.log2(got.column("p").to_numpy()).astype(np.float32)
+        return self.kept[i]
+
+    def bits(self, kinds: np.ndarray) -> np.ndarray:
+        """Bits of n-grams that come in order: a merge of them with each shard that holds some."""
+        out = np.zeros(len(kinds))
+        cuts = np.append(np.searchsorted(kinds, self.low[1:]), len(kinds)) if len(self.low) else np.zeros(0, np.int64)
+        at = 0
+        for i, end in enumerate(cuts.tolist()):
+            if at < end:
+                keys, bits = self.shard(i)
+                place = np.minimum(np.searchsorted(keys, kinds[at:end]), len(keys) - 1)
+                out[at:end] = np.where(keys[place] == kinds[at:end], bits[place], 0.0)
+            at = end
+        return out
+
+
+@lru_cache(maxsize=1)
+def _shards(files: tuple[tuple[str, int], ...]) -> Shards:
+    return Shards(list(files))
+
+
 def _scored(docs: DataFrame, p: DataFrame) -> DataFrame:
-    """(doc_id, lang, n, bits) of each row: characters (the end of the text counts as one) and their surprise in bits.
+    """(doc_id, key, lang, n, bits) of each row: characters (the end of the text counts as one) and their surprise in bits.
 
-    The probabilities are dealt into shards of a bounded number; each shard is sent out once and adds its n-grams' share.
-    The n-grams that end at a lead and at its trail are in one shard, as the character counts MOST_BITS at most.
+    The probabilities are dealt into shards by ranges of n-grams and written to the shared folder. Each task joins the
+    n-grams of its texts with the shards that hold them, so the texts are read once and nothing passes through the driver
+    but the shards' names.
     """
-    spark = docs.sparkSession
-    shards = max(1, math.ceil(p.count() / SHARD))
-    symbol, gram = F.lit((1 << BITS) - 1), F.col("gram")
-    at_lead, at_trail = gram.bitwiseAND(symbol) >= LEADS, F.shiftright(gram, BITS).bitwiseAND(symbol) >= LEADS
-    dealt = F.when(at_lead, gram.bitwiseAND(F.lit((1 << (BITS * (ORDER - 1))) - 1))).when(at_trail, F.shiftright(gram, BITS)).otherwise(gram)
-    out = None
-    for shard in range(shards):
-        part = p.where(F.pmod(F.xxhash64(dealt), F.lit(shards)) == shard) if shards > 1 else p
-        got = part.toArrow()
-        keys, bits = got.column("gram").to_numpy(), -np.log2(got.column("p").to_numpy())
-        order = np.argsort(keys)
-        sent = spark.sparkContext.broadcast((keys[order], bits[order]))
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            keys, bits = sent.value
-            for batch in batches:
-                sizes, sums = np.zeros(len(batch), np.int64), np.zeros(len(batch))
-                texts = [t.as_py() for t in batch.column(3)]
-                first = 0
-                while first < len(texts):
-                    last, size = first, 0
-                    while last < len(texts) and (last == first or size + len(texts[last]) < GATHER // 4):
-                        size += len(texts[last])
-                        last += 1
-                    own = [grams(t) for t in texts[first:last]]
-                    flat = np.concatenate(own)
-                    kinds, where = np.unique(flat, return_inverse=True)
-                    at = np.minimum(np.searchsorted(keys, kinds), len(keys) - 1)
-                    value = np.where(keys[at] == kinds, bits[at], 0.0)[where]
-                    trails = np.flatnonzero(((kinds >> BITS & (1 << BITS) - 1) >= LEADS)[where])
-                    value[trails] += value[trails - 1]
-                    value[trails - 1] = 0.0
-                    value = np.minimum(MOST_BITS, value)
-                    ends = np.cumsum([len(g) for g in own])
-                    sizes[first:last] = [len(t) for t in texts[first:last]]
-                    sums[first:last] = np.add.reduceat(value, np.concatenate([[0], ends[:-1]]))
-                    first = last
-                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sizes), pa.array(sums)], ["doc_id", "lang", "mark", "n", "bits"])
-
-        rows = docs.select("doc_id", "lang", F.xxhash64("text").alias("mark"), "text").mapInArrow(run, "doc_id long, lang string, mark long, n long, bits double")
-        out = rows if out is None else out.unionByName(rows)
-    if shards > 1:
-        equal = out.groupBy("doc_id", "lang", "mark").agg(F.first("n").alias("n"), (F.sum("bits") * shards / F.count("*")).alias("bits"), (F.count("*") / shards).cast("int").alias("rows"))
-        out = equal.select("doc_id", "lang", "mark", "n", "bits", F.explode(F.sequence(F.lit(1), F.col("rows")))).drop("col")
-    return written(out.select("doc_id", "lang", "n", "bits"), "scored")
+    many = max(1, math.ceil(p.count() / SHARD))
+    table = written(p.repartitionByRange(many, "gram").sortWithinPartitions("gram"), "shards")
+    files = table.groupBy(F.input_file_name().alias("file")).agg(F.min("gram").alias("low")).orderBy("low").collect()
+    files = tuple((unquote(r["file"]), r["low"]) for r in files)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shards = _shards(files)
+        for batch in batches:
+            sizes, sums = np.zeros(len(batch), np.int64), np.zeros(len(batch))
+            texts = [t.as_py() for t in batch.column(3)]
+            first = 0
+            while first < len(texts):
+                last, size = first, 0
+                while last < len(texts) and (last == first or size + len(texts[last]) < GATHER // 4):
+                    size += len(texts[last])
+                    last += 1
+                own = [grams(t) for t in texts[first:last]]
+                kinds, where = np.unique(np.concatenate(own), return_inverse=True)
+                value = shards.bits(kinds)[where]
+                ends = np.cumsum([len(g) for g in own])
+                sizes[first:last] = [len(t) for t in texts[first:last]]
+                sums[first:last] = np.add.reduceat(value, np.concatenate([[0], ends[:-1]]))
+                first = last
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sizes), pa.array(sums)], ["doc_id", "key", "lang", "n", "bits"])
+
+    return written(docs.select("doc_id", "key", "lang", "text").mapInArrow(run, "doc_id long, key long, lang string, n long, bits double"), "scored")
 
 
 def quantiles(scores: DataFrame, shares: dict[str, float], step: float = 0.002) -> DataFrame:
@@ -221,39 +247,33 @@ def quantiles(scores: DataFrame, shares: dict[str, float], step: float = 0.002)
     return share.groupBy("lang").agg(*(((F.min(F.when(F.col("share") >= v, F.col("bin"))) + 0.5) * step).alias(k) for k, v in shares.items()))
 
 
-def classify(
-    docs: DataFrame,
-    labels: DataFrame,
-    *,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    lang_col: str = "lang",
-    high: float = 0.95,
-    spreads: float = 2.0,
-    false_rejections: float = 0.002,
-    drift: float = 0.02,
-) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> DataFrame:
     """(doc_id, lang, n, bits_per_char, limit, keep) of each row.
 
     labels (doc_id, quality, toxic) name the trusted documents: quality 1 and toxic 0. Four fifths of them, by a hash of
-    the id, train the model; counts cover all their text. The others give each language's median of bits a character (each
-    character counts MOST_BITS at most) and high quantile of what they differ from it by, in units of
+    the id, train the model; counts cover all their text. The others give each language's median of bits a character and
+    two quantiles of what they differ from it by, in units of
 
         unit = sqrt(1 / characters + drift ** 2),
 
     as a mean over many characters varies less. A document is rejected beyond
 
-        limit = median + multiple x high quantile x unit + MOST_BITS / (characters + 1),
+        limit = median + quantile x unit + BITS / (characters + 1),
 
-    the last so that one character never decides about a short text. A high quantile of few documents is widened (FEW).
-    The multiple is the least that rejects no more than the share false_rejections of all trusted documents held out, and
-    spreads at least, as a few documents say nothing about so small a share.
+    the last so that one character never decides about a short text, the quantile being that of the language's own trusted documents which the share false_rejections of them exceed, and
+    at least `spreads` times their `high` quantile, as few documents say nothing about so small a share; both are widened
+    where few documents give them (FEW).
 
     Perplexity is 2 ** bits_per_char. A language without trusted documents (a null one is a language, too) takes the
     quantiles of all. Null or empty texts have no perplexity and stay, as does everything if nothing is trusted. Equal rows
-    stay separate; an id may repeat; other columns are left out. No input: no rows.
+    stay separate; an id may repeat, and its rows are judged one by one; other columns are left out. No input: no rows.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), text_of(text_col).alias("text"))
+    return _judged(docs, labels, F.lit(0), id_col, text_col, lang_col, **options).drop("key")
+
+
+def _judged(docs: DataFrame, labels: DataFrame, key: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", high: float = 0.95, spreads: float = 2.0, false_rejections: float = 0.002, drift: float = 0.02) -> DataFrame:
+    """The same with a key of each row."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), text_of(text_col).alias("text"), key.cast("long").alias("key"))
     trusted = labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     trusted = written(trusted.withColumn("held", F.pmod(F.xxhash64("doc_id"), F.lit(HELD_OUT)) == 0), "trusted")
     train = _some(rows, trusted.where("not held").select("doc_id"))
@@ -267,41 +287,33 @@ def classify(
     judges = written(judges, "judges")
     everything = F.lit("").alias("lang")
 
-    def all_of(table: DataFrame, name: str) -> DataFrame:
-        """One row, null if the table of quantiles has none."""
-        return F.broadcast(written(table.agg(F.first(name).alias(f"{name}_all")), f"{name}_all"))
-
-    def with_own(rows: DataFrame, table: DataFrame, name: str) -> DataFrame:
-        """The rows with a column more: what the table has for their language."""
-        own = table.select(F.col("lang").alias("_lang"), name)
+    def with_own(rows: DataFrame, table: DataFrame, *names: str) -> DataFrame:
+        """The rows with what the table has for their language."""
+        own = table.select(F.col("lang").alias("_lang"), *names)
         return rows.join(own, F.col("lang").eqNullSafe(F.col("_lang")), "left").drop("_lang")
 
-    def spreads_of(beyond: DataFrame) -> DataFrame:
-        """(lang, spread): the high quantile, wider if few documents give it."""
+    def limits(judges: DataFrame) -> DataFrame:
+        """(lang, middle, beyond): each language's median, and how many units beyond it a document may be."""
+        middles = written(quantiles(judges, {"middle": 0.5}), "middles")
+        beyond = with_own(judges, middles, "middle").select("lang", ((F.col("score") - F.col("middle")) / F.col("unit")).alias("score"))
+        found = quantiles(beyond, {"high": high, "last": 1 - false_rejections})
         few = beyond.groupBy(F.col("lang").alias("_lang")).agg(F.count("*").alias("rows"))
-        found = quantiles(beyond, {"spread": high}).join(few, F.col("lang").eqNullSafe(F.col("_lang")))
-        return found.select("lang", (F.greatest("spread", F.lit(LEAST_SPREAD)) * F.sqrt(1 + FEW / F.col("rows"))).alias("spread"))
-
-    middles = written(quantiles(judges, {"middle": 0.5}), "middles")
-    middle_all = all_of(quantiles(judges.select(everything, "score"), {"middle": 0.5}), "middle")
-    judged = written(with_own(judges, middles, "middle").crossJoin(middle_all), "judged")
-    beyond = judged.select("lang", ((F.col("score") - F.col("middle")) / F.col("unit")).alias("score"))
-    beyond_all = judged.select(everything, ((F.col("score") - F.col("middle_all")) / F.col("unit")).alias("score"))
-    own = written(spreads_of(beyond), "spreads")
-    spread_all = all_of(spreads_of(beyond_all), "spread")
-    ratios = with_own(beyond, own, "spread").select(everything, (F.col("score") / F.col("spread")).alias("score"))
-    multiple_all = all_of(quantiles(ratios, {"multiple": 1 - false_rejections}), "multiple")
-    # One row for each language, and one in all.
-    placed = with_own(with_own(scored, middles, "middle"), own, "spread").crossJoin(middle_all).crossJoin(spread_all).crossJoin(multiple_all)
-    multiple = F.greatest(F.col("multiple_all"), F.lit(spreads))
-    limit = F.coalesce("middle", "middle_all") + multiple * F.coalesce("spread", "spread_all") * unit + MOST_BITS / (F.col("n") + 1)
-    placed = placed.withColumn("limit", limit)
+        found = found.join(few, F.col("lang").eqNullSafe(F.col("_lang"))).drop("_lang")
+        own = F.greatest(F.col("last"), spreads * F.greatest(F.col("high"), F.lit(LEAST_SPREAD))) * F.sqrt(1 + FEW / F.col("rows"))
+        return written(with_own(found.select("lang", own.alias("beyond")), middles, "middle"), "limits")
+
+    own, all_ = limits(judges), limits(judges.select(everything, "score", "unit"))
+    # One row for each language, and one in all, null if nothing is trusted.
+    every = F.broadcast(written(all_.agg(F.first("middle").alias("middle_all"), F.first("beyond").alias("beyond_all")), "limit_all"))
+    placed = with_own(scored, own, "middle", "beyond").crossJoin(every)
+    placed = placed.withColumn("limit", F.coalesce("middle", "middle_all") + F.coalesce("beyond", "beyond_all") * unit + BITS / (F.col("n") + 1))
     keep = F.coalesce(F.col("bits_per_char") <= F.col("limit"), F.lit(True)).alias("keep")
-    return placed.select("doc_id", "lang", "n", "bits_per_char", "limit", keep)
+    return placed.select("doc_id", "key", "lang", "n", "bits_per_char", "limit", keep)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The documents that the classifier keeps, with all their columns; rows with one id go only if all of them would."""
-    judged = classify(docs, labels, **options).groupBy("doc_id").agg(F.max("keep").alias("kept"))
-    bad = judged.where("not kept and doc_id is not null").select("doc_id")
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    """The documents that the classifier keeps, with all their columns; each row is judged by its own text, whatever its id."""
+    key = free(docs, "_row")
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", "lang", text_of()))
+    bad = _judged(keyed, labels, F.col(key), **options).where("not keep").select(F.col("key").alias(key)).distinct()
+    return keyed.join(bad, key, "left_anti").select(*docs.columns)
