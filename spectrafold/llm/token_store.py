@@ -16,15 +16,14 @@ from pyspark.sql import functions as F
 from .bpe import vocabulary
 from .common import shared_dir, text_of, written
 
-#: Ids in a shard, rounds of replacement, pairs a round, and the fewest occurrences that make a rule.
-SHARD_IDS, ROUNDS, PAIRS, LEAST = 1_000_000, 6, 2048, 24
-#: Symbols stay below this, so that a shard's sequence fits 16 bits.
-SYMBOLS = 65536
+#: Ids in a shard, pairs that are replaced in one pass, and the fewest occurrences that make a rule: a rule takes 8 bytes or
+#: more, and each use of it saves one symbol of 2 or 4.
+SHARD_IDS, PAIRS, LEAST = 1_000_000, 8192, 8
 MAGIC = b"SFRP1"
 
 
-def repair(ids: np.ndarray, base: int, rounds: int = ROUNDS, pairs: int = PAIRS, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Replace the most frequent pairs of neighbours by new symbols, a batch of pairs at a time.
+def repair(ids: np.ndarray, base: int, pairs: int = PAIRS, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Replace the most frequent pairs of neighbours by new symbols, a batch of pairs at a time, until none is left that occurs often enough.
 
     Returns (sequence, left, right, lengths): symbol base + i stands for left[i], right[i] and expands to lengths[i] ids.
     Of overlapping occurrences, the first, third and so on of each run are replaced.
@@ -32,23 +31,28 @@ def repair(ids: np.ndarray, base: int, rounds: int = ROUNDS, pairs: int = PAIRS,
     seq = ids.astype(np.uint32)
     left, right, lengths = [], [], []
     size = base
-    for _ in range(rounds):
-        if len(seq) < 2 * least or size >= SYMBOLS:
-            break
+    while len(seq) >= 2 * least:
         key = seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:]
         bins = ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int32)
         counts = np.bincount(bins, minlength=1 << 20)
-        most = min(pairs, SYMBOLS - size)
         often = counts[counts >= least]
-        limit = int(np.partition(often, -most)[-most]) if len(often) > most else least
+        limit = int(np.partition(often, -pairs)[-pairs]) if len(often) > pairs else least
         at = np.flatnonzero((counts >= limit)[bins])
         if not len(at):
             break
         keys, where, each = np.unique(key[at], return_inverse=True, return_counts=True)
-        best = np.argsort(-each, kind="stable")[:most]
+        best = np.argsort(-each, kind="stable")[:pairs]
         best = best[each[best] >= least]
         if not len(best):
-            break
+            if limit == least:
+                break
+            # The most used counters hold several rarer pairs each: look at all of them.
+            at = np.flatnonzero((counts >= least)[bins])
+            keys, where, each = np.unique(key[at], return_inverse=True, return_counts=True)
+            best = np.argsort(-each, kind="stable")[:pairs]
+            best = best[each[best] >= least]
+            if not len(best):
+                break
         symbol = np.zeros(len(keys), np.uint32)
         symbol[best] = size + np.arange(len(best), dtype=np.uint32)
         new = symbol[where]
@@ -87,7 +91,7 @@ def expand(seq: np.ndarray, base: int, left: np.ndarray, right: np.ndarray) -> n
 def pack(ids: np.ndarray, base: int) -> bytes:
     """One shard: magic, base, counts, rules, expansion lengths, sequence; all little-endian."""
     seq, left, right, lengths = repair(ids, base)
-    wide = "<u2" if base + len(left) <= SYMBOLS else "<u4"
+    wide = "<u2" if base + len(left) <= 1 << 16 else "<u4"
     head = MAGIC + struct.pack("<BIII", int(wide[-1]), base, len(left), len(seq))
     return head + left.astype(wide).tobytes() + right.astype(wide).tobytes() + lengths.astype("<u4").tobytes() + seq.astype(wide).tobytes()
 
@@ -135,10 +139,11 @@ def write(docs: DataFrame, tokenizer: str, path: str, *, end_id: int = 2, id_col
     """Encode all texts, end each with end_id, and write the ids in ascending order of the documents' ids.
 
     The table at path has a row a shard: its place (part, shard), the ids and id counts of its documents, and the packed
-    grammar. Null text is empty: end_id alone. A null id comes first. Rows with one id stand in the order of their texts.
+    grammar. Null text is empty: end_id alone. A null id comes first. Rows with one id stand in the order of a hash of
+    their texts, so that many rows of one id are dealt to several tasks.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    ranged = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).withColumn("mark", F.xxhash64("text"))
+    ranged = rows.repartitionByRange("doc_id", "mark").sortWithinPartitions("doc_id", "mark", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, part = vocabulary(tokenizer), TaskContext.get().partitionId()
@@ -172,9 +177,13 @@ def write(docs: DataFrame, tokenizer: str, path: str, *, end_id: int = 2, id_col
 def read(spark, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of each stored document, from the files alone."""
     shards = spark.read.schema(STORED).parquet(path)
-    order = Window.orderBy("part", "shard").rowsBetween(Window.unboundedPreceding, -1)
-    # One small row a shard of a million ids.
-    begins = written(shards.select("part", "shard", F.coalesce(F.sum("n_ids").over(order), F.lit(0)).alias("begin")), "begins")
+    sizes = shards.select("part", "shard", "n_ids")
+    # One row a task that wrote shards; the shards of each are added up by themselves.
+    parts = sizes.groupBy("part").agg(F.sum("n_ids").alias("ids"))
+    before = F.coalesce(F.sum("ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    within = Window.partitionBy("part").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    begins = sizes.join(parts.select("part", before.alias("before")), "part")
+    begins = written(begins.select("part", "shard", (F.col("before") + F.coalesce(F.sum("n_ids").over(within), F.lit(0))).alias("begin")), "begins")
     placed = shards.join(begins, ["part", "shard"]).select("begin", "doc_ids", "counts", "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -189,7 +189,8 @@ def test_tokens_on_disk(spark, library):
     rows = [*TEXTS, (-5, "before all"), (7, BASE + "!")]
     got = sorted(token_store.store(docs(spark, rows), TOKENIZER, shard_ids=700).collect(), key=lambda r: r["start"])
     at = 0
-    for r, (i, t) in zip(got, sorted(rows, key=lambda r: (r[0], r[1] or "")), strict=True):
+    mark = {r["text"]: r["m"] for r in docs(spark, rows).select("text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("m")).collect()}
+    for r, (i, t) in zip(got, sorted(rows, key=lambda r: (r[0], mark[r[1]])), strict=True):
         ids = [*library.encode(t or "", add_special_tokens=False).ids, 2]
         assert tuple(r) == (i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         at += len(ids)
@@ -206,6 +207,14 @@ def test_grammar():
             a, b = sorted(r.integers(0, len(ids) + 1, 2).tolist())
             assert (shard.read(a, b) == ids[a:b]).all()
     assert len(token_store.Shard(token_store.pack(np.tile([1, 2, 3, 4], 1000).astype(np.uint32), 50257)).seq) < 200
+    for n, size in ((100_000, 60), (100_000, 4000), (400_000, 1000)):
+        passage = np.tile(r.integers(0, 50000, size), -(-n // size))[:n].astype(np.uint32)
+        for base in (50257, 70_000):
+            shard = token_store.Shard(token_store.pack(passage, base))
+            assert (shard.all() == passage).all() and len(shard.seq) < 400
+            assert (shard.read(n // 3, n // 3 + 500) == passage[n // 3 : n // 3 + 500]).all()
+    seq, left, right, _ = token_store.repair(r.integers(0, 300, 20_000).astype(np.uint32), 300)
+    assert np.unique(seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:], return_counts=True)[1].max() < 2 * token_store.LEAST
     with pytest.raises(ValueError):
         token_store.Shard(b"nothing")
 
