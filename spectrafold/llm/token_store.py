@@ -31,32 +31,41 @@ def repair(ids: np.ndarray, base: int, pairs: int = PAIRS, least: int = LEAST) -
     seq = ids.astype(np.uint32)
     left, right, lengths = [], [], []
     size = base
+    bits = 20
     while len(seq) >= 2 * least:
         key = seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:]
-        bins = ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int32)
-        counts = np.bincount(bins, minlength=1 << 20)
+        bins = ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).view(np.int64)
+        counts = np.bincount(bins, minlength=1 << bits)
         often = counts[counts >= least]
         limit = int(np.partition(often, -pairs)[-pairs]) if len(often) > pairs else least
         at = np.flatnonzero((counts >= limit)[bins])
         if not len(at):
             break
-        keys, where, each = np.unique(key[at], return_inverse=True, return_counts=True)
-        best = np.argsort(-each, kind="stable")[:pairs]
-        best = best[each[best] >= least]
-        if not len(best):
-            if limit == least:
-                break
-            # The most used counters hold several rarer pairs each: look at all of them.
+        if bits == 20:  # at first nearly all pairs are in question: each bin counts one of its own, the others wait
+            bits, holder = 18, np.empty(1 << 20, np.uint64)
+            where, some = bins[at], key[at]
+            holder[where] = some
+            own = holder[where] == some
+            at, where = at[own], where[own]
+            each, keys = np.bincount(where, minlength=1 << 20), holder
+            best = np.flatnonzero(each >= least)
+            if not len(best):
+                continue
+        else:
+            keys, where, each = np.unique(key[at], return_inverse=True, return_counts=True)
+            best = np.flatnonzero(each >= least)
+        if not len(best) and limit > least:  # the fullest counters hold several rarer pairs each: look at all of them
             at = np.flatnonzero((counts >= least)[bins])
             keys, where, each = np.unique(key[at], return_inverse=True, return_counts=True)
-            best = np.argsort(-each, kind="stable")[:pairs]
-            best = best[each[best] >= least]
-            if not len(best):
-                break
+            best = np.flatnonzero(each >= least)
+        if not len(best):
+            break
+        best = best[np.argsort(-each[best], kind="stable")[:pairs]]
         symbol = np.zeros(len(keys), np.uint32)
         symbol[best] = size + np.arange(len(best), dtype=np.uint32)
         new = symbol[where]
-        at, new = at[new > 0], new[new > 0]
+        used = np.flatnonzero(new)
+        at, new = at[used], new[used]
         starts = np.flatnonzero(np.diff(at, prepend=-2) != 1)
         run = np.repeat(starts, np.diff(starts, append=len(at)))
         odd = (np.arange(len(at)) - run) % 2 == 0
@@ -77,7 +86,7 @@ def repair(ids: np.ndarray, base: int, pairs: int = PAIRS, least: int = LEAST) -
 
 
 def expand(seq: np.ndarray, base: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """The ids that a sequence of symbols stands for."""
+    """The ids that a sequence of symbols stands for, all symbols opened level by level."""
     seq = seq.astype(np.uint32)
     while len(left) and len(at := np.flatnonzero(seq >= base)):
         wide = np.ones(len(seq), np.int64)
@@ -88,6 +97,19 @@ def expand(seq: np.ndarray, base: int, left: np.ndarray, right: np.ndarray) -> n
     return seq
 
 
+def expand_whole(seq: np.ndarray, base: int, left: np.ndarray, right: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The same for a long sequence: the rules are opened once, and each symbol copies what its rule stands for."""
+    ends = np.cumsum(lengths, dtype=np.int64)
+    if not len(left) or ends[-1] > 2 * len(seq):
+        return expand(seq, base, left, right)
+    table = np.concatenate([expand(np.arange(base, base + len(left)), base, left, right), seq.astype(np.uint32)])
+    rule = np.flatnonzero(seq >= base)
+    wide, start = np.ones(len(seq), np.int64), np.arange(len(seq)) + int(ends[-1])
+    which = seq[rule].astype(np.int64) - base
+    wide[rule], start[rule] = lengths[which], ends[which] - lengths[which]
+    return table[np.arange(int(wide.sum())) + np.repeat(start - np.cumsum(wide) + wide, wide)]
+
+
 def pack(ids: np.ndarray, base: int) -> bytes:
     """One shard: magic, base, counts, rules, expansion lengths, sequence; all little-endian."""
     seq, left, right, lengths = repair(ids, base)
@@ -116,7 +138,7 @@ class Shard:
         self.ends = None
 
     def all(self) -> np.ndarray:
-        return expand(self.seq, self.base, self.left, self.right)
+        return expand_whole(self.seq, self.base, self.left, self.right, self.lengths)
 
     def read(self, start: int, stop: int) -> np.ndarray:
         """Ids start to stop: expands only the symbols that cover them."""
