@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .config import PRESETS, Config
 from .operators import counts as A
+from .operators import distance as D
 from .operators import kmers
 from .plans import runs, sinks, sweep
 from .sources import fasta
@@ -25,13 +26,16 @@ def parser() -> argparse.ArgumentParser:
     out.add_argument("--out", required=True, help="folder for the results")
     out.add_argument("--preset", choices=sorted(PRESETS), help="where other options start from")
     out.add_argument("--labels", help="CSV of samples and labels; without it, names tell the class")
+    out.add_argument("--label-mode", choices=("lenient", "flexible", "strict"), default="lenient", help="lenient calls a sample without a label unknown, the others refuse")
+    out.add_argument("--cache", help="folder of counts from an earlier run, or for the next one")
+    out.add_argument("--weights-out", action="store_true", help="write the weights of features as well")
     out.add_argument("--sample-column")
     out.add_argument("--label-column")
     for name in ("k", "alpha", "beta"):
         out.add_argument(f"--{name}", nargs="+", type=int if name == "k" else float, help="one or more values, for a grid")
     kinds = {"float | None": float, "float": float, "int": int, "str": str}
     for f in fields(Config):
-        if f.name in ("k", "alpha", "beta", "extra"):
+        if f.name in ("k", "alpha", "beta"):
             continue
         flag = "--" + f.name.replace("_", "-")
         if f.type == "bool":
@@ -44,13 +48,17 @@ def parser() -> argparse.ArgumentParser:
 def configs(args: argparse.Namespace) -> list[Config]:
     """A configuration for each combination of k, alpha and beta."""
     base = PRESETS[args.preset] if args.preset else PRESETS.get(args.method.split("_")[0] if args.method.startswith("cosine") else args.method, Config())
-    given = {f.name: getattr(args, f.name, None) for f in fields(Config) if f.name not in ("k", "alpha", "beta", "extra")}
+    given = {f.name: getattr(args, f.name, None) for f in fields(Config) if f.name not in ("k", "alpha", "beta")}
     grid = {n: getattr(args, n) for n in ("k", "alpha", "beta") if getattr(args, n)}
     base = base.but(**({"beta": args.beta[0]} if args.beta else {}), **{n: v for n, v in given.items() if v is not None})
     return sweep.grid(base, **grid)
 
 
 def labelled(spark: SparkSession, samples: DataFrame, args: argparse.Namespace) -> DataFrame:
+    if args.labels and args.label_mode == "strict":
+        return L.strict(samples, L.read_table(spark, args.labels), args.sample_column or "sample", args.label_column or "group")[0]
+    if args.labels and args.label_mode == "flexible":
+        return L.flexible(samples, L.read_table(spark, args.labels), args.label_column or "label", args.sample_column)
     if args.labels:
         return L.lenient(samples, L.read_table(spark, args.labels), args.label_column, args.sample_column)
     return samples.select("sample", L.by_number(F.col("sample")).alias("label"))
@@ -58,23 +66,31 @@ def labelled(spark: SparkSession, samples: DataFrame, args: argparse.Namespace)
 
 def run(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
     """Write pairs and scores of each configuration, the overall rows and the best of them; returns the overall rows."""
-    overall, counted = None, {}
+    rows, counted = [], {}
     for i, config in enumerate(configs(args)):
         key = config.k, config.canonical, config.validity, config.boundary
         if key not in counted:
-            sequences = fasta.read_sequences(spark, args.path, config.boundary)
-            counts = kmers.fast_counts(sequences, config.k, validity=config.validity, canonical=config.canonical)
-            counted[key] = A.compressed(counts).persist(), kmers.lengths(sequences).persist()
+            counts = sinks.cached_counts(spark, f"{args.cache}/{'-'.join(map(str, key))}", lambda config=config: A.compressed(kmers.fasta_counts(spark, args.path, config))) if args.cache else A.compressed(kmers.fasta_counts(spark, args.path, config)).persist()
+            counted[key] = counts, fasta.lengths(spark, args.path).persist()
+            sinks.write_csv(counted[key][1], f"{args.out}/lengths")
+            sinks.write_csv(A.sample_stats(counts), f"{args.out}/count-stats-{'-'.join(map(str, key))}")
         counts, lengths = counted[key]
         labels = labelled(spark, lengths.select("sample"), args)
         pairs = runs.pairs(counts, args.method, config, lengths).persist()
         sinks.save_pairs(pairs, f"{args.out}/pairs-{i}")
+        sinks.write_csv(labels.select("sample", "label"), f"{args.out}/labels")
+        if args.weights_out and config.weight != "one":
+            sinks.write_csv(D.weights(counts, config.weight, config.beta, config.cap_weight, config.scale_weight), f"{args.out}/weights-{i}", {"w": "%.12e"})
+        elif args.weights_out and args.method == "kwip":
+            sinks.write_csv(D.entropy_weights(counts), f"{args.out}/weights-{i}", {"h": "%.12e"})
         sinks.write_csv(runs.scored(pairs, labels, config), f"{args.out}/samples-{i}", {"silhouette": "%.8f"})
         row = runs.overall_row(counts, pairs, labels, args.method, config)
-        overall = row if overall is None else overall.unionByName(row)
-    overall = overall.persist()
+        rows.append(row.first())  # one row a configuration
+        pairs.unpersist()
+    overall = spark.createDataFrame(rows, row.schema)
     sinks.write_csv(overall, f"{args.out}/overall")
     sinks.write_csv(sweep.best(overall), f"{args.out}/best")
+    sinks.write_csv(sweep.best(overall, "named_silhouette"), f"{args.out}/best-named")
     return overall
 
 

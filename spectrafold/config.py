@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 
 #: Defaults of the grids.
 KS = (15, 21, 31)
@@ -39,7 +39,6 @@ class Config:
     clip: str = "symmetric"
     clear_above: float = 0.10
     middle: str = "weak/ambiguous"
-    extra: dict = field(default_factory=dict, compare=False)
 
     def __post_init__(self):
         checks = (

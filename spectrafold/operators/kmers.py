@@ -42,10 +42,15 @@ def native_counts(sequences: DataFrame, k: int, *, sequence: str = "sequence", v
     return features.groupBy("sample", feature.alias("feature")).agg(F.count("*").alias("c"))
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """The rows, dealt out anew only where a table is so small that it has fewer partitions than there are cores."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+
+
 def letters_counts(rows: DataFrame, text: str, sample: str, k: int, pattern: str) -> DataFrame:
     """counts(sample, feature, c) of character n-grams of texts that match the pattern."""
-    spread = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    grams = exploded(rows.select(F.col(sample).alias("sample"), F.col(text).alias("_text")).repartition(spread), "_text", k)
+    grams = exploded(spread(rows.select(F.col(sample).alias("sample"), F.col(text).alias("_text"))), "_text", k)
     return grams.where(F.regexp_like("feature", F.lit(pattern))).groupBy("sample", "feature").agg(F.count("*").alias("c"))
 
 
@@ -118,8 +123,8 @@ def fast_counts(sequences: DataFrame, k: int, *, validity: str = "acgt", canonic
 
 
 def fasta_counts(spark: SparkSession, path: str, config: Config, glob: str = fasta.SUFFIXES) -> DataFrame:
-    """counts(sample, feature, c) of the k-mers of all sequence files at a path."""
-    sequences = fasta.read_sequences(spark, path, config.boundary, glob)
+    """counts(sample, feature, c) of the k-mers of all sequence files at a path, which may be of any size."""
+    sequences = fasta.read_pieces(spark, path, config.k, config.boundary, glob)
     return fast_counts(sequences, config.k, validity=config.validity, canonical=config.canonical)
 
 

@@ -37,22 +37,24 @@ def fit_for_silhouette(labels: DataFrame, unknown: str | None = None) -> bool:
     return 2 <= row["k"] < row["n"] and (unknown is None or row["u"] == 0)
 
 
-def silhouettes(pairs: DataFrame, labels: DataFrame, singletons: str = "zero") -> DataFrame:
+def silhouettes(pairs: DataFrame, labels: DataFrame, singletons: str = "zero", unknown: str | None = None) -> DataFrame:
     """(sample, label, silhouette): (b - a) / max(a, b).
 
     a is the mean distance to the sample's own class, b the least mean distance to another. A class of one scores 0, or is
-    left out before anything is computed ('exclude'); 0 / 0 is 0. With fewer than 2 classes, or as many as samples, every
-    score is NaN.
+    left out before anything is computed ('exclude'); 0 / 0 is 0. With fewer than 2 classes, as many as samples, or a sample
+    of the unknown class, every score is NaN.
     """
+    missing = F.count_if(F.col("label").cast("string") == F.lit(unknown)) if unknown is not None else F.lit(0)
+    blind = labels.agg(missing.alias("_u"))
     if singletons == "exclude":
         labels = without_singletons(labels)
     every = labels.agg(F.count("*").alias("_n"), F.count_distinct("label").alias("_k"))
     means = labelled_pairs(both_ways(pairs), labels).groupBy("sample_i", "label_i", "label_j").agg(F.avg("d").alias("m"))
     same = F.col("label_i") == F.col("label_j")
     own = means.groupBy(F.col("sample_i").alias("sample")).agg(F.max(F.when(same, F.col("m"))).alias("a"), F.min(F.when(~same, F.col("m"))).alias("b"))
-    out = labels.join(own, "sample", "left").crossJoin(F.broadcast(every))
+    out = labels.join(own, "sample", "left").crossJoin(F.broadcast(every)).crossJoin(F.broadcast(blind))
     s = F.when(F.col("a").isNull(), 0.0).otherwise(F.coalesce((F.col("b") - F.col("a")) / F.nullif(F.greatest("a", "b"), F.lit(0.0)), F.lit(0.0)))
-    return out.select("sample", "label", F.when((F.col("_k") < 2) | (F.col("_k") >= F.col("_n")), F.lit(float("nan"))).otherwise(s).alias("silhouette"))
+    return out.select("sample", "label", F.when((F.col("_k") < 2) | (F.col("_k") >= F.col("_n")) | (F.col("_u") > 0), F.lit(float("nan"))).otherwise(s).alias("silhouette"))
 
 
 def overall(scores: DataFrame) -> DataFrame:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.sequence import sample_name
+from ..functions.sequence import clean, sample_name
 
 #: Suffixes of sequence files, plain or gzipped.
 SUFFIXES = "*.{fa,fasta,fna,fas,fa.gz,fasta.gz,fna.gz,fas.gz}"
@@ -27,21 +31,93 @@ def read_lines(spark: SparkSession, path: str, glob: str = SUFFIXES) -> DataFram
     return lines.where(~F.startswith("line", F.lit(">"))).select("sample", "file", "record", "line_no", F.upper("line").alias("line"))
 
 
+def records(text: Column) -> Column:
+    """Array of the sequences of a text's records, in upper case and without white space.
+
+    The first is what stands before the first header, so each other one is that of a record. A header is a line whose first
+    visible letter is ">"; such a mark later in a line is no header.
+    """
+    return F.transform(F.split(text, r"(?m)^[ \t]*>[^\r\n]*"), clean)
+
+
 def read_sequences(spark: SparkSession, path: str, boundary: str = "file", glob: str = SUFFIXES) -> DataFrame:
     """(sample, record, sequence): upper case, no headers, no blank lines.
 
-    boundary "file" gives one row a file with all its records joined. "record" gives one row a record; such files are
-    split between tasks at records, so a file may be larger than any task's memory.
+    boundary "file" gives one row a file with all its records joined, "record" one row a record; what stands before the
+    first header is record 0. Either way a file is one string, so it must fit a task; read_pieces() has no such limit.
     """
+    rows = read_files(spark, path, glob).select("sample", records(F.col("text")).alias("all"))
     if boundary == "file":
-        rows = read_files(spark, path, glob)
-        bare = F.regexp_replace("text", r"(?m)^[ \t]*>[^\r\n]*", "")
-        return rows.select("sample", F.lit(0).alias("record"), F.upper(F.regexp_replace(bare, r"\s+", "")).alias("sequence"))
-    rows = spark.read.text(path, lineSep=">", pathGlobFilter=glob)
-    sample = sample_name(F.col("_metadata.file_name"))
-    body = F.regexp_replace("value", r"^[^\r\n]*[\r\n]*", "")
-    rows = rows.select(sample.alias("sample"), F.monotonically_increasing_id().alias("record"), F.upper(F.regexp_replace(body, r"\s+", "")).alias("sequence"))
-    return rows.where("sequence != ''")
+        return rows.select("sample", F.lit(0).alias("record"), F.array_join("all", "").alias("sequence"))
+    return rows.select("sample", F.posexplode("all").alias("record", "sequence")).where("sequence != ''")
+
+
+def read_pieces(spark: SparkSession, path: str, k: int, boundary: str = "file", glob: str = SUFFIXES, size: int = 1_000_000) -> DataFrame:
+    """(sample, sequence): pieces whose windows of k letters are those of the sequences, each once, of files of any size.
+
+    Files are read line by line and split between tasks. A task cuts what it reads to pieces of about `size` letters that
+    overlap by k - 1; of each block of a file, the last k - 1 letters and the first ones of the blocks after it make one
+    more piece. With boundary "record", no piece reaches over a header.
+    """
+    rows = spark.read.text(path, pathGlobFilter=glob)
+    rows = rows.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
+    white = re.compile(r"\s+")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.schema([("file", pa.string()), ("block", pa.int64()), ("sequence", pa.string()), ("head", pa.string()), ("tail", pa.string()), ("cut", pa.bool_())])
+        key, held, letters, head, cut, out = None, [], 0, "", False, []
+
+        def shut(whole: bool) -> None:
+            """Pass on what is held but for its last k - 1 letters, or all of it."""
+            nonlocal held, letters
+            run = "".join(held)
+            if len(run) >= k:
+                out.append((*key, run, None, None, None))
+            held = [] if whole or k == 1 else [run[-(k - 1) :]]
+            letters = sum(map(len, held))
+
+        def done() -> None:
+            shut(False)
+            out.append((*key, None, head, "".join(held), cut))
+
+        for batch in batches:
+            for file, block, line in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (file, block) != key:
+                    if key:
+                        done()
+                    key, held, letters, head, cut = (file, block), [], 0, "", False
+                line = white.sub("", line).upper()
+                if line.startswith(">"):
+                    if boundary == "record":
+                        shut(True)
+                        cut = True
+                elif line:
+                    if not cut and len(head) < k - 1:
+                        head = (head + line)[: k - 1]
+                    held.append(line)
+                    letters += len(line)
+                    if letters >= size + k:
+                        shut(False)
+            if out:
+                yield pa.RecordBatch.from_pylist([dict(zip(kind.names, r, strict=True)) for r in out], kind)
+                out.clear()
+        if key:
+            done()
+            yield pa.RecordBatch.from_pylist([dict(zip(kind.names, r, strict=True)) for r in out], kind)
+
+    read = rows.mapInArrow(run, "file string, block long, sequence string, head string, tail string, cut boolean")
+    inner = read.where("sequence is not null").select("file", "sequence")
+    after = Window.partitionBy("file").orderBy("block").rowsBetween(1, k)  # a row a block of a file
+    nexts = F.aggregate("nexts", F.struct(F.lit("").alias("text"), F.lit(True).alias("open")), lambda s, x: F.struct(F.when(s["open"], F.concat(s["text"], x["head"])).otherwise(s["text"]).alias("text"), (s["open"] & ~x["cut"]).alias("open")))
+    seams = read.where("head is not null").withColumn("nexts", F.collect_list(F.struct("head", "cut")).over(after))
+    seams = seams.select("file", F.concat("tail", F.substring(nexts["text"], 1, k - 1)).alias("sequence")).where(F.length("sequence") >= k)
+    return inner.unionByName(seams).select(sample_name(F.url_decode("file")).alias("sample"), "sequence")
+
+
+def lengths(spark: SparkSession, path: str, glob: str = SUFFIXES) -> DataFrame:
+    """(sample, length): letters of all sequence lines of each file, of any size; 0 for a file with headers alone."""
+    rows = spark.read.text(path, pathGlobFilter=glob).select(sample_name(F.col("_metadata.file_name")).alias("sample"), F.regexp_replace("value", r"\s+", "").alias("line"))
+    return rows.groupBy("sample").agg(F.sum(F.when(F.startswith("line", F.lit(">")), 0).otherwise(F.length("line"))).cast("long").alias("length"))
 
 
 def headers(spark: SparkSession, path: str, glob: str = SUFFIXES) -> DataFrame:

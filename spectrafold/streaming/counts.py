@@ -8,14 +8,14 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import sequence as S
 from ..operators.kmers import exploded
-from ..sources.fasta import SUFFIXES
+from ..sources.fasta import SUFFIXES, records
 
 
 def arriving(spark: SparkSession, path: str, glob: str = SUFFIXES, files_at_once: int = 100) -> DataFrame:
-    """(sample, sequence) of records as files arrive in a folder."""
-    rows = spark.readStream.option("maxFilesPerTrigger", files_at_once).text(path, lineSep=">", pathGlobFilter=glob)
-    body = F.upper(F.regexp_replace(F.regexp_replace("value", r"^[^\r\n]*[\r\n]*", ""), r"\s+", ""))
-    return rows.select(S.sample_name(F.col("_metadata.file_name")).alias("sample"), body.alias("sequence")).where("sequence != ''")
+    """(sample, sequence) of records as files arrive in a folder, one string a file."""
+    rows = spark.readStream.option("maxFilesPerTrigger", files_at_once).text(path, wholetext=True, pathGlobFilter=glob)
+    each = rows.select(S.sample_name(F.col("_metadata.file_name")).alias("sample"), F.explode(records(F.col("value"))).alias("sequence"))
+    return each.where("sequence != ''")
 
 
 def growing_counts(sequences: DataFrame, k: int, validity: str = "acgt") -> DataFrame:
