@@ -10,26 +10,31 @@ from spectrafold.llm.queries import TOKENIZER, table
 
 def keep_good_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
+    common.let_go(spark)
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays: five-word shingles, Jaccard similarity 0.8 or more."""
+    common.let_go(spark)
     return jaccard.keep_one(docs, size=5, percent=80)
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Live-looking credentials are replaced by a mark; documents stay."""
+    common.let_go(spark)
     return secret_scan.redact(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document comes as often as the mix of sources takes it."""
+    common.let_go(spark)
     return mixing.mixed_documents(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, with the digests of ids and decoded text."""
+    common.let_go(spark)
     return bpe.encoded(docs, TOKENIZER, keep=("lang", "source"), with_ids=True)
 
 
@@ -41,7 +46,7 @@ STAGES = [
     ("BPE encoding and decoding", encode),
 ]
 
-#: A language model can't be expressed in SQL; tests hold the stages against brute force.
+#: A language model can't be expressed in SQL; tests hold the stages against plain versions.
 ORACLE_SQL = None
 
 

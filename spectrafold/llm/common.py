@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -68,6 +69,12 @@ def drop_since(spark: SparkSession, first: int, keep: int = 0) -> None:
     drop(spark, TABLES[first : len(TABLES) - keep])
 
 
+def let_go(spark: SparkSession) -> None:
+    """Collect garbage here and in the driver's JVM: only then does Spark remove the shuffles and broadcasts of finished queries."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def text_of(name: str = "text") -> Column:
     """The text, a null as the empty text."""
     return F.coalesce(F.col(name), F.lit(""))
