@@ -44,15 +44,19 @@ def silhouettes(pairs: DataFrame, labels: DataFrame, singletons: str = "zero", u
     left out before anything is computed ('exclude'); 0 / 0 is 0. With fewer than 2 classes, as many as samples, or a sample
     of the unknown class, every score is NaN.
     """
+    used = without_singletons(labels) if singletons == "exclude" else labels
+    means = labelled_pairs(both_ways(pairs), used).groupBy("sample_i", "label_i", "label_j").agg(F.avg("d").alias("m"))
+    return scores(means, used, labels, unknown)
+
+
+def scores(means: DataFrame, used: DataFrame, labels: DataFrame, unknown: str | None = None) -> DataFrame:
+    """silhouettes() from mean distances (sample_i, label_i, label_j, m) of the labels in use, and from all labels."""
     missing = F.count_if(F.col("label").cast("string") == F.lit(unknown)) if unknown is not None else F.lit(0)
     blind = labels.agg(missing.alias("_u"))
-    if singletons == "exclude":
-        labels = without_singletons(labels)
-    every = labels.agg(F.count("*").alias("_n"), F.count_distinct("label").alias("_k"))
-    means = labelled_pairs(both_ways(pairs), labels).groupBy("sample_i", "label_i", "label_j").agg(F.avg("d").alias("m"))
+    every = used.agg(F.count("*").alias("_n"), F.count_distinct("label").alias("_k"))
     same = F.col("label_i") == F.col("label_j")
     own = means.groupBy(F.col("sample_i").alias("sample")).agg(F.max(F.when(same, F.col("m"))).alias("a"), F.min(F.when(~same, F.col("m"))).alias("b"))
-    out = labels.join(own, "sample", "left").crossJoin(F.broadcast(every)).crossJoin(F.broadcast(blind))
+    out = used.join(own, "sample", "left").crossJoin(F.broadcast(every)).crossJoin(F.broadcast(blind))
     s = F.when(F.col("a").isNull(), 0.0).otherwise(F.coalesce((F.col("b") - F.col("a")) / F.nullif(F.greatest("a", "b"), F.lit(0.0)), F.lit(0.0)))
     return out.select("sample", "label", F.when((F.col("_k") < 2) | (F.col("_k") >= F.col("_n")) | (F.col("_u") > 0), F.lit(float("nan"))).otherwise(s).alias("silhouette"))
 
@@ -83,6 +87,11 @@ def dunn(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     named = labelled_pairs(pairs, labels)
     same = F.col("label_i") == F.col("label_j")
     row = named.agg(F.min(F.when(~same, F.col("d"))).alias("separation"), F.max(F.when(same, F.col("d"))).alias("diameter"))
+    return dunn_of(row)
+
+
+def dunn_of(row: DataFrame) -> DataFrame:
+    """The row (separation, diameter) with `dunn`."""
     return row.withColumn("dunn", F.coalesce(F.col("separation") / F.nullif("diameter", F.lit(0.0)), F.lit(float("nan"))))
 
 

@@ -14,6 +14,7 @@ from .operators import counts as A
 from .operators import distance as D
 from .operators import kmers
 from .operators import metrics as M
+from .operators import vectors as V
 from .plans import sinks, sweep
 from .sources import labels as L
 
@@ -379,11 +380,14 @@ def kwip_distance(spark: SparkSession, d: str) -> DataFrame:
 # --- metrics ---------------------------------------------------------------------------------------------------------
 
 
-def vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Cosine distances of embeddings, with their labels."""
-    rows = table(spark, d, "embeddings").where("embedding is not null and label is not null").select(F.format_string("%08d", "vec_id").alias("sample"), F.col("label").cast("string").alias("label"), "embedding")
-    spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return D.to_distance(D.cosine_of_vectors(rows.repartition(spread), "embedding"), -1.0), rows.select("sample", "label")
+def vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Embeddings with their labels."""
+    rows = table(spark, d, "embeddings").where("embedding is not null and label is not null")
+    return rows.select(F.format_string("%08d", "vec_id").alias("sample"), F.col("label").cast("string").alias("label"), "embedding")
+
+
+def unit_vectors(spark: SparkSession, d: str) -> DataFrame:
+    return V.units(vectors(spark, d), "embedding")
 
 
 VECTORS = """e as (select printf('%08d', vec_id) as sample, cast(label as varchar) as label, embedding::double[] as v from embeddings where embedding is not null and label is not null),
@@ -394,7 +398,8 @@ VECTORS = """e as (select printf('%08d', vec_id) as sample, cast(label as varcha
 @query(f"with {VECTORS} select sample_i, sample_j, round(d, 9) as d from pairs")
 def cosine_embeddings(spark: SparkSession, d: str) -> DataFrame:
     """D10, D14."""
-    return rounded(vectors(spark, d)[0], 9)
+    rows = vectors(spark, d).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return rounded(D.to_distance(D.cosine_of_vectors(rows, "embedding"), -1.0), 9)
 
 
 SILHOUETTES = """m as (select sample_i, label_i, label_j, avg(d) as m from twice group by 1, 2, 3),
@@ -405,13 +410,13 @@ SILHOUETTES = """m as (select sample_i, label_i, label_j, avg(d) as m from twice
 @query(f"with {VECTORS}, {SILHOUETTES} select sample, label, round(s, 8) as silhouette, case when s > 0.1 then 'clear' when s >= 0 then 'weak/ambiguous' else 'possibly_misplaced' end as status from sil")
 def silhouette(spark: SparkSession, d: str) -> DataFrame:
     """M1, M6, O1, O7 (bars)."""
-    return M.statuses(M.silhouettes(*vectors(spark, d))).withColumn("silhouette", F.round("silhouette", 8))
+    return M.statuses(V.silhouettes(unit_vectors(spark, d))).withColumn("silhouette", F.round("silhouette", 8))
 
 
 @query(f"with {VECTORS}, {SILHOUETTES} select label, round(avg(s), 8) as silhouette, count(*) as samples from sil group by 1")
 def class_means(spark: SparkSession, d: str) -> DataFrame:
     """M2, M7."""
-    return M.by_class(M.silhouettes(*vectors(spark, d))).withColumn("silhouette", F.round("silhouette", 8))
+    return M.by_class(V.silhouettes(unit_vectors(spark, d))).withColumn("silhouette", F.round("silhouette", 8))
 
 
 @query(f"""with {NATIONS}, {DENSE(0.0)}, {JSD.format(base=2).replace('m as (', 'mm as (').replace('from m group', 'from mm group')}, lab as (select cast(n_nationkey as varchar) as sample, case when n_nationkey < 2 then 'solo' || n_nationkey else cast(n_regionkey as varchar) end as label from nation),
@@ -430,21 +435,21 @@ def silhouette_nonsingleton(spark: SparkSession, d: str) -> DataFrame:
     round(avg(d) filter (label_i = label_j) / avg(d) filter (label_i != label_j), 9) as ratio from pairs""")
 def within_between(spark: SparkSession, d: str) -> DataFrame:
     """M8."""
-    return M.within_between(*vectors(spark, d)).select(*(F.round(c, 9).alias(c) for c in ("within", "between", "ratio")))
+    return V.within_between(unit_vectors(spark, d)).select(*(F.round(c, 9).alias(c) for c in ("within", "between", "ratio")))
 
 
 @query(f"""with {VECTORS} select round(min(d) filter (label_i != label_j), 9) as separation, round(max(d) filter (label_i = label_j), 9) as diameter,
     round(min(d) filter (label_i != label_j) / max(d) filter (label_i = label_j), 9) as dunn from pairs""")
 def dunn(spark: SparkSession, d: str) -> DataFrame:
     """M9."""
-    return M.dunn(*vectors(spark, d)).select(*(F.round(c, 9).alias(c) for c in ("separation", "diameter", "dunn")))
+    return V.dunn(unit_vectors(spark, d)).select(*(F.round(c, 9).alias(c) for c in ("separation", "diameter", "dunn")))
 
 
 @query(f"""with {VECTORS}, r as (select *, row_number() over (partition by sample_i order by d, sample_j) as n from twice)
     select avg(case when label_i = label_j then 1.0::double else 0 end) as accuracy, count(*) as samples from r where n = 1""")
 def nn_accuracy(spark: SparkSession, d: str) -> DataFrame:
     """M10."""
-    return M.neighbour_accuracy(*vectors(spark, d))
+    return V.neighbour_accuracy(unit_vectors(spark, d))
 
 
 @query(f"""with {BRANDS}, t as (select sample, sum(c) as total from counts group by 1)
