@@ -6,9 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def smoothed(c: Column, total: Column, alpha: float, vocabulary: Column) -> Column:
+def smoothed(c: Column, total: Column, alpha: float | Column, vocabulary: Column) -> Column:
     """(c + alpha) / (total + alpha * vocabulary)."""
-    return (c + F.lit(float(alpha))) / (total + F.lit(float(alpha)) * vocabulary)
+    alpha = alpha if isinstance(alpha, Column) else F.lit(float(alpha))
+    return (c + alpha) / (total + alpha * vocabulary)
 
 
 def idf(df: Column, samples: Column, strict: bool = False) -> Column:

@@ -22,24 +22,24 @@ def _one(row: DataFrame) -> DataFrame:
     return F.broadcast(row)
 
 
-def shared_sums(values: DataFrame, terms: dict[str, Column], fields: list[str]) -> DataFrame:
-    """(i, j, one sum a term) over the features that both samples have, for i < j.
+def shared_sums(values: DataFrame, terms: dict[str, Column], fields: list[str], by: tuple[str, ...] = ()) -> DataFrame:
+    """(*by, i, j, one sum a term) over the features that both samples have, for i < j.
 
-    values: (feature, sample, *fields). A term is an expression of the fields with the suffixes _i and _j.
+    values: (*by, feature, sample, *fields). A term is an expression of the fields with the suffixes _i and _j.
     """
     entry = F.struct("sample", *fields)
-    lists = values.groupBy("feature").agg(F.array_sort(F.collect_list(entry)).alias("all"))
-    first = lists.select("all", F.posexplode("all").alias("at", "x"))
-    both = first.select("x", F.explode(F.slice("all", F.col("at") + 2, F.greatest(F.lit(0), F.size("all") - F.col("at") - 1))).alias("y"))
-    named = both.select(F.col("x.sample").alias("i"), F.col("y.sample").alias("j"), *(F.col(f"x.{f}").alias(f"{f}_i") for f in fields), *(F.col(f"y.{f}").alias(f"{f}_j") for f in fields))
-    return named.groupBy("i", "j").agg(*(F.sum(t).alias(n) for n, t in terms.items()))
+    lists = values.groupBy(*by, "feature").agg(F.array_sort(F.collect_list(entry)).alias("all"))
+    first = lists.select(*by, "all", F.posexplode("all").alias("at", "x"))
+    both = first.select(*by, "x", F.explode(F.slice("all", F.col("at") + 2, F.greatest(F.lit(0), F.size("all") - F.col("at") - 1))).alias("y"))
+    named = both.select(*by, F.col("x.sample").alias("i"), F.col("y.sample").alias("j"), *(F.col(f"x.{f}").alias(f"{f}_i") for f in fields), *(F.col(f"y.{f}").alias(f"{f}_j") for f in fields))
+    return named.groupBy(*by, "i", "j").agg(*(F.sum(t).alias(n) for n, t in terms.items()))
 
 
-def every_pair(samples: DataFrame, fields: list[str]) -> DataFrame:
-    """All pairs i < j of the samples with their fields: the output of a distance has a row for each."""
-    left = samples.select(F.col("sample").alias("i"), *(F.col(f).alias(f"{f}_i") for f in fields))
-    right = samples.select(F.col("sample").alias("j"), *(F.col(f).alias(f"{f}_j") for f in fields))
-    return left.join(right, F.col("i") < F.col("j"))
+def every_pair(samples: DataFrame, fields: list[str], by: tuple[str, ...] = ()) -> DataFrame:
+    """All pairs i < j of the samples (of one `by`) with their fields: the output of a distance has a row for each."""
+    left = samples.select(*by, F.col("sample").alias("i"), *(F.col(f).alias(f"{f}_i") for f in fields))
+    right = samples.select(*by, F.col("sample").alias("j"), *(F.col(f).alias(f"{f}_j") for f in fields))
+    return left.join(right, list(by)).where("i < j") if by else left.join(right, F.col("i") < F.col("j"))
 
 
 def weights(counts: DataFrame, kind: str = "one", beta: float | None = None, cap: float | None = None, scale: bool = False) -> DataFrame:
@@ -57,17 +57,18 @@ def weights(counts: DataFrame, kind: str = "one", beta: float | None = None, cap
     return out
 
 
-def _kl_parts(values: DataFrame, samples: DataFrame, every: DataFrame) -> DataFrame:
-    """Directed divergences (sample_i, sample_j, d) from values (feature, sample, p, w) and samples (sample, a).
+def _kl_parts(values: DataFrame, samples: DataFrame, every: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Directed divergences (*by, sample_i, sample_j, d) from values (*by, feature, sample, p, w), samples (*by, sample, a), every (*by, W).
 
     a is the probability of a feature that the sample lacks, W the sum of all weights. With d = p - a and e = ln p - ln a,
     sum w p_i ln p_j = a_i ln a_j W + a_i sum(w e_j) + ln a_j sum(w d_i) + sum over shared features of w d_i e_j.
     """
-    given = values.join(samples, "sample").withColumn("d", F.col("p") - F.col("a")).withColumn("e", F.log("p") - F.log("a"))
-    own = given.groupBy("sample").agg(F.first("a").alias("a"), F.sum(F.col("w") * F.col("d")).alias("wd"), F.sum(F.col("w") * F.col("e")).alias("we"), F.sum(F.col("w") * F.col("d") * F.col("e")).alias("wde"))
-    pairs = every_pair(own, ["a", "wd", "we", "wde"]).crossJoin(_one(every))
-    meet = shared_sums(given.select("feature", "sample", "w", "d", "e"), {"ij": F.col("w_i") * F.col("d_i") * F.col("e_j"), "ji": F.col("w_i") * F.col("d_j") * F.col("e_i")}, ["w", "d", "e"])
-    joined = pairs.join(meet, ["i", "j"], "left").withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("ij", "ji")})
+    given = values.join(samples, [*by, "sample"]).withColumn("d", F.col("p") - F.col("a")).withColumn("e", F.log("p") - F.log("a"))
+    own = given.groupBy(*by, "sample").agg(F.first("a").alias("a"), F.sum(F.col("w") * F.col("d")).alias("wd"), F.sum(F.col("w") * F.col("e")).alias("we"), F.sum(F.col("w") * F.col("d") * F.col("e")).alias("wde"))
+    pairs = every_pair(own, ["a", "wd", "we", "wde"], by)
+    pairs = pairs.join(_one(every), list(by)) if by else pairs.crossJoin(_one(every))
+    meet = shared_sums(given.select(*by, "feature", "sample", "w", "d", "e"), {"ij": F.col("w_i") * F.col("d_i") * F.col("e_j"), "ji": F.col("w_i") * F.col("d_j") * F.col("e_i")}, ["w", "d", "e"], by)
+    joined = pairs.join(meet, [*by, "i", "j"], "left").withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("ij", "ji")})
 
     def cross(x: str, y: str, both: str) -> Column:
         ax, ly = F.col(f"a_{x}"), F.log(f"a_{y}")
@@ -76,7 +77,7 @@ def _kl_parts(values: DataFrame, samples: DataFrame, every: DataFrame) -> DataFr
     forward = cross("i", "i", "wde_i") - cross("i", "j", "ij")
     back = cross("j", "j", "wde_j") - cross("j", "i", "ji")
     two = F.explode(F.array(F.struct(F.col("i").alias("sample_i"), F.col("j").alias("sample_j"), forward.alias("d")), F.struct(F.col("j").alias("sample_i"), F.col("i").alias("sample_j"), back.alias("d"))))
-    return joined.select(two.alias("p")).select("p.*")
+    return joined.select(*by, two.alias("p")).select(*by, "p.*")
 
 
 def kl_directed(counts: DataFrame, alpha: float = 1.0, weight: DataFrame | None = None) -> DataFrame:
@@ -96,11 +97,36 @@ def kl_directed(counts: DataFrame, alpha: float = 1.0, weight: DataFrame | None
     return _kl_parts(values, samples.select("sample", "a"), every.select("W"))
 
 
-def symmetric(directed: DataFrame, clip: str = "symmetric") -> DataFrame:
-    """(sample_i, sample_j, d) for i < j: the mean of both directions; negatives become 0 before ('directed'), after or never."""
+def kl_grid(counts: DataFrame, grid: DataFrame, kind: str = "one", cap: float | None = None, scale: bool = False, clip: str = "symmetric") -> DataFrame:
+    """(g, sample_i, sample_j, d) for i < j: kl_symmetric for each row (g, alpha, beta) of a grid, all in one plan.
+
+    The grid is broadcast: it has a row for each configuration. Totals and features are counted once for all of them.
+    """
+    grid = F.broadcast(grid)
+    features = feature_stats(counts)
+    every = features.agg(F.sum(F.col("c") * F.col("many")).alias("total"), F.sum("many").alias("vocabulary"))
+    per = features.crossJoin(_one(every)).crossJoin(grid.select("g", "beta"))
+    smooth = formulas.smoothed(F.col("c"), F.col("total"), F.coalesce("beta", F.lit(0.0)), F.col("vocabulary"))
+    weight = per.select("g", "feature", "many", formulas.weight(smooth, kind).alias("w"))
+    if kind != "one" and cap is not None:
+        weight = weight.withColumn("w", F.least("w", F.lit(float(cap))))
+    if kind != "one" and scale:
+        most = weight.groupBy("g").agg(F.max("w").alias("_most"))
+        weight = weight.join(_one(most), "g").withColumn("w", F.col("w") / F.col("_most")).drop("_most")
+    weight = weight.select("g", "feature", (F.col("w") * F.col("many")).alias("w"))
+    sums = weight.groupBy("g").agg(F.sum("w").alias("W"))
+    totals = sample_stats(counts).select("sample", "total").crossJoin(_one(every.select("vocabulary"))).crossJoin(grid.select("g", "alpha"))
+    p = formulas.smoothed(F.col("c"), F.col("total"), F.col("alpha"), F.col("vocabulary"))
+    samples = totals.withColumn("a", formulas.smoothed(F.lit(0), F.col("total"), F.col("alpha"), F.col("vocabulary")))
+    values = counts.select("sample", "feature", "c").join(samples, "sample").withColumn("p", p).join(weight, ["g", "feature"]).select("g", "feature", "sample", "p", "w")
+    return symmetric(_kl_parts(values, samples.select("g", "sample", "a"), sums, ("g",)), clip, ("g",))
+
+
+def symmetric(directed: DataFrame, clip: str = "symmetric", by: tuple[str, ...] = ()) -> DataFrame:
+    """(*by, sample_i, sample_j, d) for i < j: the mean of both directions; negatives become 0 before ('directed'), after or never."""
     d = F.greatest("d", F.lit(0.0)) if clip == "directed" else F.col("d")
     low, high = F.least("sample_i", "sample_j"), F.greatest("sample_i", "sample_j")
-    mean = directed.groupBy(low.alias("sample_i"), high.alias("sample_j")).agg((F.sum(d) / 2).alias("d"))
+    mean = directed.groupBy(*by, low.alias("sample_i"), high.alias("sample_j")).agg((F.sum(d) / 2).alias("d"))
     return clipped(mean) if clip == "symmetric" else mean
 
 

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import formulas
 
 
-def both_ways(pairs: DataFrame) -> DataFrame:
+def both_ways(pairs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Each pair in both directions."""
-    return pairs.select("sample_i", "sample_j", "d").unionByName(pairs.select(F.col("sample_j").alias("sample_i"), F.col("sample_i").alias("sample_j"), "d"))
+    return pairs.select(*by, "sample_i", "sample_j", "d").unionByName(pairs.select(*by, F.col("sample_j").alias("sample_i"), F.col("sample_i").alias("sample_j"), "d"))
 
 
 def labelled_pairs(pairs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -61,6 +61,20 @@ def scores(means: DataFrame, used: DataFrame, labels: DataFrame, unknown: str |
     return out.select("sample", "label", F.when((F.col("_k") < 2) | (F.col("_k") >= F.col("_n")) | (F.col("_u") > 0), F.lit(float("nan"))).otherwise(s).alias("silhouette"))
 
 
+def grid_scores(pairs: DataFrame, labels: DataFrame, by: str, singletons: str = "zero") -> DataFrame:
+    """(by, silhouette): the mean of silhouettes() of the pairs (by, sample_i, sample_j, d) of each `by`, in one plan."""
+    used = without_singletons(labels) if singletons == "exclude" else labels
+    every = used.agg(F.count("*").alias("_n"), F.count_distinct("label").alias("_k"))
+    means = labelled_pairs(both_ways(pairs, (by,)), used).groupBy(by, "sample_i", "label_i", "label_j").agg(F.avg("d").alias("m"))
+    same = F.col("label_i") == F.col("label_j")
+    own = means.groupBy(by, "sample_i").agg(F.max(F.when(same, F.col("m"))).alias("a"), F.min(F.when(~same, F.col("m"))).alias("b"))
+    s = F.when(F.col("a").isNull(), 0.0).otherwise(F.coalesce((F.col("b") - F.col("a")) / F.nullif(F.greatest("a", "b"), F.lit(0.0)), F.lit(0.0)))
+    # A sample without pairs scores 0, so it counts in the mean alone.
+    mean = own.groupBy(by).agg(F.sum(s).alias("_s")).crossJoin(F.broadcast(every))
+    fine = (F.col("_k") >= 2) & (F.col("_k") < F.col("_n"))
+    return mean.select(by, F.when(fine, F.col("_s") / F.col("_n")).otherwise(F.lit(float("nan"))).alias("silhouette"))
+
+
 def overall(scores: DataFrame) -> DataFrame:
     """One row: the mean silhouette."""
     return scores.agg(F.avg("silhouette").alias("silhouette"))

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..operators import counts as A
+from ..operators import distance as D
 from ..operators import metrics as M
-from . import runs
 
 
 def grid(config: Config, **values: Iterable) -> list[Config]:
@@ -22,16 +22,22 @@ def grid(config: Config, **values: Iterable) -> list[Config]:
 def kl_sweep(counts: DataFrame, labels: DataFrame, configs: list[Config]) -> DataFrame:
     """(k, alpha, beta, silhouette), a row for each configuration, from one table of counts.
 
-    The counts are compressed into profiles once, kept, and shared by all configurations, each of which is then a few
-    aggregates over the profiles. beta null stands for equal weights.
+    Configurations that differ in k, alpha and beta only are one plan: their grid is joined to the compressed counts.
+    beta null stands for equal weights. Of equal labels, or without pairs, the score is NaN.
     """
-    compressed = A.compressed(counts).persist()
-    out = None
+    spark, compressed = counts.sparkSession, A.compressed(counts)
+    kinds: dict[tuple, list[Config]] = {}
     for config in configs:
-        pairs = runs.pairs(compressed, "kl", config)
-        score = M.overall(M.silhouettes(pairs, labels, config.singletons))
-        row = score.select(F.lit(config.k).alias("k"), F.lit(float(config.alpha)).alias("alpha"), F.lit(config.beta).cast("double").alias("beta"), "silhouette")
-        out = row if out is None else out.unionByName(row)
+        if config.alpha <= 0:
+            raise ValueError("alpha must be positive: absent features have no logarithm")
+        kinds.setdefault((config.weight, config.cap_weight, config.scale_weight, config.clip, config.singletons), []).append(config)
+    out = None
+    for (weight, cap, scale, clip, singletons), same in kinds.items():
+        grid = spark.createDataFrame([(g, c.k, float(c.alpha), None if c.beta is None else float(c.beta)) for g, c in enumerate(same)], "g int, k int, alpha double, beta double")
+        pairs = D.kl_grid(compressed, grid.select("g", "alpha", "beta"), weight, cap, scale, clip)
+        scores = grid.join(M.grid_scores(pairs, labels, "g", singletons), "g", "left").fillna(float("nan"), ["silhouette"])
+        rows = scores.select("k", "alpha", "beta", "silhouette")
+        out = rows if out is None else out.unionByName(rows)
     return out
 
 

@@ -17,6 +17,7 @@ from .operators import metrics as M
 from .operators import vectors as V
 from .plans import sinks, sweep
 from .sources import labels as L
+from .streaming import counts as streaming
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -534,3 +535,147 @@ def natural_order(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "customer").select(F.col("c_name").alias("name"))
     place = F.row_number().over(Window.orderBy(*S.natural_key(name), name)).cast("long")
     return rows.select("name", F.regexp_extract("name", "([0-9]+)", 1).cast("long").alias("number"), place.alias("place"))
+
+
+# --- weights, labels and reports ---------------------------------------------------------------------------------------
+
+
+@query(f"with {USERS}, {KERNEL.split(', k as')[0]} select f.feature, round(f, 9) as f, round(h, 9) as h from f join h using (feature)")
+def entropy_weights(spark: SparkSession, d: str) -> DataFrame:
+    """The weights that a run writes."""
+    return D.entropy_weights(users(spark, d)).select("feature", F.round("f", 9).alias("f"), F.round("h", 9).alias("h"))
+
+
+@query(f"with {BRANDS}, {DENSE(0.5, '1 / g')} select a.sample as sample_i, b.sample as sample_j, round(sum(a.w * a.p * ln(a.p / b.p)), 8) as d from p a join p b on a.feature = b.feature and a.sample != b.sample group by 1, 2")
+def wkl_directed(spark: SparkSession, d: str) -> DataFrame:
+    """Weighted divergence in each direction."""
+    counts = brands(spark, d)
+    return rounded(D.kl_directed(counts, 0.5, D.weights(counts, "inverse", 1.0)), 8)
+
+
+@query(f"""with {NATIONS}, {DENSE(0.0)}, {JSD.format(base=2)}, e as (select round(d, 9) - 0.01::double as d from j)
+    select count(*) filter (d < 0) as negative, round(min(d), 9) as min, round(max(d), 9) as max from e""")
+def before_cleanup(spark: SparkSession, d: str) -> DataFrame:
+    """What is negative before it is set to 0."""
+    pairs = rounded(D.jsd(nations(spark, d))).withColumn("d", F.col("d") - 0.01)
+    return D.before_cleanup(pairs).select("negative", F.round("min", 9).alias("min"), F.round("max", 9).alias("max"))
+
+
+@query(f"with {BASES}, n as (select sample, sum(length(sequence)) as n from seqs group by 1) select cast(min(n) as bigint) as min, cast(max(n) as bigint) as max, round(avg(n), 9) as mean, count(*) as samples from n")
+def length_stats(spark: SparkSession, d: str) -> DataFrame:
+    """Lengths of the samples."""
+    return A.describe(kmers.lengths(bases(spark, d)), "length").select("min", "max", F.round("mean", 9).alias("mean"), (F.col("zero") + F.col("nonzero")).alias("samples"))
+
+
+@query(f"with {BRANDS} select cast(min(c) as bigint) as min, cast(max(c) as bigint) as max, round(avg(c), 9) as mean, cast(quantile_cont(c, 0.5) as double) as median from counts")
+def count_stats(spark: SparkSession, d: str) -> DataFrame:
+    """The stored counts."""
+    return A.describe(brands(spark, d), "c").select("min", "max", F.round("mean", 9).alias("mean"), F.col("median").cast("double").alias("median"))
+
+
+NAMED = "lab as (select cast(n_nationkey as varchar) as sample, case when n_nationkey < 3 then 'unknown' else cast(n_regionkey as varchar) end as label from nation)"
+
+
+def part_named(spark: SparkSession, d: str) -> DataFrame:
+    """Labels of nations by region, three of them unknown."""
+    named = F.when(F.col("n_nationkey") < 3, "unknown").otherwise(F.col("n_regionkey").cast("string"))
+    return table(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("sample"), named.alias("label"))
+
+
+@query(f"""with {NATIONS}, {DENSE(0.0)}, {JSD.format(base=2).replace('m as (', 'mm as (').replace('from m group', 'from mm group')}, {NAMED},
+    fine as (select * from lab where label != 'unknown'), kept as (select * from fine where label in (select label from fine group by 1 having count(*) > 1)),
+    twice as (select sample_i, sample_j, x.label as label_i, y.label as label_j, sqrt(greatest(0, d)) as d from (select * from j union all select sample_j, sample_i, d from j) q join kept x on x.sample = sample_i join kept y on y.sample = sample_j), {SILHOUETTES}
+    select round(avg(s), 8) as silhouette, count(*) as samples from sil""")
+def silhouette_named(spark: SparkSession, d: str) -> DataFrame:
+    """The score of named samples alone."""
+    scores = M.silhouettes(D.root(D.jsd(nations(spark, d))), M.without_class(part_named(spark, d), "unknown"))
+    return scores.agg(F.round(F.avg("silhouette"), 8).alias("silhouette"), F.count("*").alias("samples"))
+
+
+@query(f"with {NAMED} select sample, label, 'not_computed' as status from lab")
+def silhouette_unknown(spark: SparkSession, d: str) -> DataFrame:
+    """M5, M6: no score where a label is unknown."""
+    scores = M.silhouettes(D.root(D.jsd(nations(spark, d))), part_named(spark, d), unknown="unknown")
+    return M.statuses(scores).select("sample", "label", "status")
+
+
+@query(f"""with {PRIORITIES}, {DENSE(1.0)}, pairs as (select a.sample as i, b.sample as j, sum((a.p - b.p) * (ln(a.p) - ln(b.p))) / 2 as d from p a join p b on a.feature = b.feature group by 1, 2)
+    select cast(dense_rank() over (order by i) - 1 as integer) as "row", cast(dense_rank() over (order by j) - 1 as integer) as "column", round(d, 12) as d from pairs""")
+def heatmap_cells(spark: SparkSession, d: str) -> DataFrame:
+    """The cells of a heat map."""
+    return rounded(sinks.heatmap_cells(D.kl_symmetric(priorities(spark, d), 1.0)), 12)
+
+
+@query("select cast(row_number() over (order by n_regionkey desc, n_name) as integer) as place, n_name as sample, cast(n_regionkey as varchar) as label, cast(n_regionkey as double) as silhouette from nation")
+def bars(spark: SparkSession, d: str) -> DataFrame:
+    """The bars of a chart, by falling score."""
+    score = F.col("n_regionkey")
+    return sinks.bars(table(spark, d, "nation").select(F.col("n_name").alias("sample"), score.cast("string").alias("label"), score.cast("double").alias("silhouette")))
+
+
+def by_nation(spark: SparkSession, d: str) -> DataFrame:
+    """(n_name, r_name, r_regionkey) of each nation."""
+    return table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_name", "r_name", "r_regionkey")
+
+
+BY_NATION = "from nation join region on n_regionkey = r_regionkey"
+
+
+@query(f"select n_name as sample, r_name as label, r_regionkey as region {BY_NATION}")
+def labels_strict(spark: SparkSession, d: str) -> DataFrame:
+    """Each sample has one label; other columns come along."""
+    rows = by_nation(spark, d)
+    named = rows.select(F.concat(F.lit(" "), "n_name").alias("sample"), F.concat("r_name", F.lit(" ")).alias("group"), F.col("r_regionkey").alias("region"))
+    return L.strict(rows.select(F.col("n_name").alias("sample")), named)[0].select("sample", "label", "region")
+
+
+@query(f"select n_name || case when n_nationkey % 2 = 0 then '.fna' else '' end as sample, r_name as label {BY_NATION}")
+def labels_flexible(spark: SparkSession, d: str) -> DataFrame:
+    """The sample column by its name, samples with or without a suffix."""
+    key = table(spark, d, "nation").select("n_name", (F.col("n_nationkey") % 2 == 0).alias("even"))
+    samples = key.select(F.concat("n_name", F.when(F.col("even"), ".fna").otherwise("")).alias("sample"))
+    named = by_nation(spark, d).select(F.concat("n_name", F.lit(".fa.gz")).alias("Filename"), F.col("r_name").alias("kind"))
+    return L.flexible(samples, named, "kind").select("sample", "label")
+
+
+@query(f'select n_name as sample, r_name as "group", cast(r_regionkey as integer) as group_id {BY_NATION}')
+def labels_grouped(spark: SparkSession, d: str) -> DataFrame:
+    """Group and number of group."""
+    rows = by_nation(spark, d)
+    return L.grouped(rows.select(F.col("n_name").alias("sample")), rows.select(F.concat("n_name", F.lit(".fasta")).alias("sample"), F.col("r_name").alias("group"), F.col("r_regionkey").cast("string").alias("group_id")))
+
+
+@query("""select 'acc' || p_partkey || case p_partkey % 3 when 0 then '' when 1 then ' ' || p_name else ' Genus sp. ' || p_name end as header,
+    case p_partkey % 3 when 0 then 'Unknown Brucella' when 1 then p_name else 'Genus sp. ' || split_part(p_name, ' ', 1) end as label from part
+    where regexp_full_match(p_name, '[^ ]+ [^ ]+')""")
+def labels_of_headers(spark: SparkSession, d: str) -> DataFrame:
+    """Species in headers."""
+    part, kind = table(spark, d, "part").where(F.rlike("p_name", F.lit("^[^ ]+ [^ ]+$"))), F.col("p_partkey") % 3
+    rest = F.when(kind == 0, "").when(kind == 1, F.concat(F.lit(" "), "p_name")).otherwise(F.concat(F.lit(" Genus sp. "), "p_name"))
+    rows = part.select(F.concat(F.lit("acc"), "p_partkey", rest).alias("header"))
+    return rows.withColumn("label", L.by_header(F.col("header")))
+
+
+@query(f"select n_name || '_asm_1' as sample, n_name as accession, r_regionkey as group_id, r_name as \"group\" from nation left join region on n_regionkey = r_regionkey and r_name != 'ASIA'")
+def labels_by_accession(spark: SparkSession, d: str) -> DataFrame:
+    """Groups by the first two parts of a name."""
+    names = by_nation(spark, d).where("r_name != 'ASIA'").select(F.col("n_name").alias("accession"), F.col("r_regionkey").alias("group_id"), F.col("r_name").alias("group"))
+    samples = table(spark, d, "nation").select(F.concat("n_name", F.lit("_asm_1")).alias("sample"))
+    return L.by_accession(samples, names)
+
+
+@query("""select '/in.fa/' || c_name || case c_custkey % 4 when 0 then '.FNA.gz' when 1 then '.fasta' when 2 then '.fa' else '.txt' end as file,
+    c_name || case c_custkey % 4 when 3 then '.txt' else '' end as sample from customer""")
+def sample_names(spark: SparkSession, d: str) -> DataFrame:
+    """Names of samples from names of files."""
+    kind = F.col("c_custkey") % 4
+    suffix = F.when(kind == 0, ".FNA.gz").when(kind == 1, ".fasta").when(kind == 2, ".fa").otherwise(".txt")
+    rows = table(spark, d, "customer").select(F.concat(F.lit("/in.fa/"), "c_name", suffix).alias("file"))
+    return rows.withColumn("sample", S.sample_name(F.col("file")))
+
+
+@query("""select time_bucket(interval '6 hours', ts) as start, event_type as sample, props as feature, count(*) as c from events group by 1, 2, 3""")
+def windowed_counts(spark: SparkSession, d: str) -> DataFrame:
+    """2.8: counts in windows of time; on a table at rest nothing is late."""
+    out = streaming.windowed_counts(table(spark, d, "events"), "ts", "6 hours", "1 hour", F.col("event_type"), F.col("props"))
+    return out.select(F.col("window.start").alias("start"), "sample", "feature", "c")

@@ -238,3 +238,23 @@ def test_properties(spark, data):
     root = np.sqrt(np.maximum(js, 0))
     for i, j, k in itertools.permutations(range(len(names)), 3):
         assert root[i, j] <= root[i, k] + root[k, j] + 1e-9
+
+
+def test_sweep_of_several_kinds_is_each_alone(spark):
+    counts = frame(spark)
+    labels = spark.createDataFrame(list(zip(sorted(DATA), LABELS, strict=True)), "sample string, label string")
+    configs = [
+        Config(alpha=0.5), Config(alpha=2.0, singletons="exclude"), Config(alpha=0.5, beta=1.0, weight="neglog", scale_weight=True),
+        Config(alpha=1.0, beta=2.0, weight="inverse", cap_weight=3.0, clip="directed"), Config(k=21, alpha=0.5),
+    ]
+    rows = {(r["k"], r["alpha"], r["beta"]): r["silhouette"] for r in sweep.kl_sweep(counts, labels, configs).collect()}
+    assert len(rows) == 5
+    for c in configs:
+        alone = M.overall(M.silhouettes(runs.pairs(counts, "kl", c), labels, c.singletons)).first()[0]
+        found = rows[c.k, c.alpha, c.beta]
+        # Without the classes of one, one class is left here, which has no score.
+        assert math.isnan(found) and math.isnan(alone) if c.singletons == "exclude" else math.isclose(found, alone, rel_tol=1e-9)
+    one = labels.withColumn("label", F.lit("one"))
+    assert math.isnan(sweep.kl_sweep(counts, one, configs[:1]).first()["silhouette"])
+    with pytest.raises(ValueError):
+        sweep.kl_sweep(counts, labels, [Config(alpha=0.0)])
