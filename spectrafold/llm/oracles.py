@@ -66,6 +66,17 @@ def near_vectors(cosine: float = 0.93) -> str:
     select id as vec_id, (select count(*) from links where x = id) as n_links, component as component_id, id = component as kept from reached"""
 
 
+def hard_negatives(divisor: int = 100, positives: int = 5, negatives: int = 10, low: int = 30, high: int = 90) -> str:
+    """All pairs of anchors and rows, by their whole-numbered products."""
+    return f"""with fine as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as v from embeddings
+      where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+    scored as (select a.vec_id as anchor_id, b.vec_id, a.label = b.label as same, cast(list_dot_product(a.v, b.v) as bigint) as score from fine a join fine b on a.vec_id % {divisor} = 0 and a.vec_id != b.vec_id and len(a.v) = len(b.v)),
+    positives as (select * from (select *, row_number() over (partition by anchor_id order by score desc, vec_id) as n from scored where same) where n <= {positives}),
+    ranked as (select anchor_id, p.vec_id as positive_id, cast(row_number() over (partition by anchor_id, p.vec_id order by s.score desc, s.vec_id) as integer) as rank, s.vec_id as negative_id, p.score as positive_score, s.score as negative_score
+      from positives p join scored s using (anchor_id) where not s.same and {low} * p.score <= 100 * s.score and 100 * s.score <= {high} * p.score)
+    select * from ranked where rank <= {negatives}"""
+
+
 def secrets(max_owners: int = 2, max_repos: int = MAX_REPOS) -> str:
     """Matches lie between the pieces that splitting leaves; values are counted by distinct owners and documents."""
     parts = []

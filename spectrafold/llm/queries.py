@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import ann, bpe, embed_dedup, jaccard, mixing, oracles, pii, quality, secret_scan, suffix_dedup, token_store
+from . import ann, bpe, embed_dedup, jaccard, mixing, negatives, oracles, pii, quality, secret_scan, sharding, suffix_dedup, token_store
 from .common import read_table
 
 #: The tokenizer's file is a parameter of the operators; the queries use the installed public one.
@@ -58,10 +59,20 @@ def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.store(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op11_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.report(table(spark, sf_dir, "documents"))
+
+
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where vec_id is divisible by 7, the label is moved on by one first."""
+    rows = table(spark, sf_dir, "embeddings")
+    return negatives.mine(rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mix": op1_mix, "op2_repeats": op2_repeats, "op3_bpe": op3_bpe, "op4_quality": op4_quality, "op5_neighbours": op5_neighbours, "op6_pii": op6_pii, "op7_secrets": op7_secrets, "op8_jaccard": op8_jaccard, "op9_embeddings": op9_embeddings, "op10_tokens": op10_tokens}
+    return {"op1_mix": op1_mix, "op2_repeats": op2_repeats, "op3_bpe": op3_bpe, "op4_quality": op4_quality, "op5_neighbours": op5_neighbours, "op6_pii": op6_pii, "op7_secrets": op7_secrets, "op8_jaccard": op8_jaccard, "op9_embeddings": op9_embeddings, "op10_tokens": op10_tokens, "op11_shards": op11_shards, "op12_negatives": op12_negatives}
 
 
 def oracle_sql() -> dict[str, str]:
-    """SQL for the queries that it can express. Tokenizers, trained models, whole-corpus byte strings and searches that may miss a neighbour are tested against plain versions instead."""
-    return {"op1_mix": oracles.mix(), "op7_secrets": oracles.secrets(), "op8_jaccard": oracles.jaccard(), "op9_embeddings": oracles.near_vectors()}
+    """SQL for the queries that it can express. Tokenizers, trained models, whole-corpus byte strings, seeded shuffles and searches that may miss a neighbour are tested against plain versions instead."""
+    return {"op1_mix": oracles.mix(), "op7_secrets": oracles.secrets(), "op8_jaccard": oracles.jaccard(), "op9_embeddings": oracles.near_vectors(), "op12_negatives": oracles.hard_negatives()}
