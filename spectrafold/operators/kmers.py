@@ -43,13 +43,58 @@ def native_counts(sequences: DataFrame, k: int, *, sequence: str = "sequence", v
 
 
 def spread(rows: DataFrame) -> DataFrame:
-    """The rows, dealt out anew only where a table is so small that it has fewer partitions than there are cores."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+    """The rows, dealt out anew only where few partitions hold any: a file with one row group is read by one task, however it is split.
+
+    A table of many files is left as it is. For one of few files, the partitions that hold rows are counted, for which no
+    column is read.
+    """
+    wanted = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if rows.isStreaming or len(rows.inputFiles()) >= wanted:
+        return rows
+    held = rows.select(F.spark_partition_id().alias("_at")).distinct().count()
+    return rows if held >= wanted else rows.repartition(wanted)
+
+
+def letter_parts(rows: DataFrame, text: str, sample: str, k: int) -> DataFrame:
+    """(sample, feature, c): character n-grams of up to three letters, counted in numpy for about PIECE letters at a time.
+
+    A feature is one integer, 21 bits a code point, so that nothing is made for each letter of a text but that. Counts are
+    partial: a feature comes once a piece. Rows of a stream are counted alike.
+    """
+
+    def counted(sample, codes: list[np.ndarray]) -> pa.RecordBatch:
+        kinds, counts = np.unique(np.concatenate(codes), return_counts=True)
+        points = ((kinds[:, None] >> (21 * np.arange(k - 1, -1, -1))) & 0x1FFFFF).astype("<u4")
+        letters = points.tobytes().decode("utf-32-le")
+        features = [letters[i : i + k] for i in range(0, len(letters), k)]
+        return pa.RecordBatch.from_arrays([pa.array([sample] * len(kinds), pa.string()), pa.array(features, pa.string()), pa.array(counts, pa.int64())], ["sample", "feature", "c"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        size = 0
+        for batch in batches:
+            for name, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                points = np.frombuffer((value.as_py() or "").encode("utf-32-le"), "<u4").astype(np.int64)
+                if len(points) < k:
+                    continue
+                codes = points[: len(points) - k + 1].copy()
+                for i in range(1, k):
+                    codes = (codes << 21) | points[i : len(points) - k + 1 + i]
+                held.setdefault(name, []).append(codes)
+                size += len(codes)
+                if size >= PIECE:
+                    yield from (counted(*item) for item in held.items())
+                    held, size = {}, 0
+        yield from (counted(*item) for item in held.items())
+
+    return rows.select(F.col(sample).cast("string").alias("sample"), F.col(text).alias("_text")).mapInArrow(run, "sample string, feature string, c long")
 
 
 def letters_counts(rows: DataFrame, text: str, sample: str, k: int, pattern: str) -> DataFrame:
     """counts(sample, feature, c) of character n-grams of texts that match the pattern."""
+    if k <= 3:
+        parts = letter_parts(spread(rows.select(F.col(sample).alias("sample"), F.col(text).alias("_text"))), "_text", "sample", k)
+        return parts.where(F.regexp_like("feature", F.lit(pattern))).groupBy("sample", "feature").agg(F.sum("c").alias("c"))
     grams = exploded(spread(rows.select(F.col(sample).alias("sample"), F.col(text).alias("_text"))), "_text", k)
     return grams.where(F.regexp_like("feature", F.lit(pattern))).groupBy("sample", "feature").agg(F.count("*").alias("c"))
 

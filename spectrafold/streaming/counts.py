@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import sequence as S
-from ..operators.kmers import exploded
+from ..operators.kmers import exploded, letter_parts
 from ..sources.fasta import SUFFIXES, records
 
 
@@ -24,6 +24,12 @@ def growing_counts(sequences: DataFrame, k: int, validity: str = "acgt") -> Data
     return features.groupBy("sample", "feature").agg(F.count("*").alias("c"))
 
 
+def growing_letters(rows: DataFrame, text: str, sample: str, k: int, pattern: str) -> DataFrame:
+    """counts(sample, feature, c) so far of character n-grams, of up to three letters, that match the pattern; texts are counted in numpy before the state is touched."""
+    parts = letter_parts(rows, text, sample, k).where(F.regexp_like("feature", F.lit(pattern)))
+    return parts.groupBy("sample", "feature").agg(F.sum("c").alias("c"))
+
+
 def windowed_counts(events: DataFrame, time: str, width: str, late: str, sample, feature) -> DataFrame:
     """counts(window, sample, feature, c) of events in windows of time; events later than `late` are left out."""
     return events.withWatermark(time, late).groupBy(F.window(time, width), sample.alias("sample"), feature.alias("feature")).agg(F.count("*").alias("c"))
