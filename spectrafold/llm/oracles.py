@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .secret_scan import KINDS, MAX_REPOS
+from .secret_scan import KINDS, MAX_REPOS, NEAR
 
 #: Upper and lower case of the letters that count as such.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -77,17 +77,28 @@ def hard_negatives(divisor: int = 100, positives: int = 5, negatives: int = 10,
     select * from ranked where rank <= {negatives}"""
 
 
-def secrets(max_owners: int = 2, max_repos: int = MAX_REPOS) -> str:
-    """Matches lie between the pieces that splitting leaves; values are counted by distinct owners and documents."""
+def secrets(max_owners: int = 2, max_repos: int = MAX_REPOS, near: int = NEAR) -> str:
+    """Matches lie between the pieces that splitting leaves. A use of a value is what stands around it, copies once; owners are taken one by one until those taken hold all uses."""
     parts = []
     for order, (kind, pattern, least, group) in enumerate(KINDS):
         sql = pattern.replace("'", "''")
         value = f"regexp_extract(m, '{sql}', {group})" if group else "m"
-        parts.append(f"""select id, doc_id, source, {order} as ord, '{kind}' as kind, stop - length(m) as start, stop, {value} as value from (select id, doc_id, source, m[i] as m, list_sum([length(g[j]) + length(m[j]) for j in range(1, i + 1)])::bigint as stop
+        parts.append(f"""select id, doc_id, source, {order} as ord, '{kind}' as kind, stop - length(m) as start, stop, {value} as value, place from (select id, doc_id, source, m[i] as m, list_sum([length(g[j]) + length(m[j]) for j in range(1, i + 1)])::bigint as stop,
+            [right(coalesce(case when i > 1 then m[i - 1] end, '') || g[i], {near}), left(coalesce(g[i + 1], '') || coalesce(m[i + 1], ''), {near})] as place
           from (select id, doc_id, source, regexp_extract_all(text, '{sql}', 0) as m, string_split_regex(text, '{sql}') as g, unnest(range(1, len(regexp_extract_all(text, '{sql}', 0)) + 1)) as i from docs)) where length({value}) >= {least}""")
+    left = """left0 as (select uses.* from uses join held using (value) where alone <= {n})"""
+    for i in range(max_owners):
+        left += f""", each{i} as (select value, owner, max(sole) as sole, count(*) as n from left{i} join (select value, place, min(owner) = max(owner) as sole from left{i} group by 1, 2) using (value, place) group by 1, 2),
+    taken{i} as (select value, arg_max(owner, (sole, n, owner)) as owner from each{i} group by 1),
+    left{i + 1} as (select * from left{i} l where not exists (select 1 from left{i} o join taken{i} t using (value, owner) where o.value = l.value and o.place = l.place))"""
     return f"""with docs as (select row_number() over () as id, doc_id, source, coalesce(text, '') as text from documents), spans as ({' union all '.join(parts)}),
-    owned as (select value, count(distinct coalesce(source, chr(1))) as owners, count(distinct coalesce(doc_id, -1)) as repos from spans group by 1),
-    judged as (select s.*, case when owners > {max_owners} or repos > {max_repos} then 'example' when regexp_matches(value, '[0-9]') and regexp_matches(value, '[A-Za-z]') and len(list_distinct(string_split(value, ''))) >= 8 then 'live' else 'weak' end as verdict from spans s join owned using (value)),
+    uses as (select distinct value, place, coalesce('=' || source, '') as owner from spans),
+    lone as (select value, count(distinct owner) as alone from (select value, place, min(owner) as owner from uses group by 1, 2 having min(owner) = max(owner)) group by 1),
+    held as (select value, coalesce(any_value(alone), 0) as alone from uses left join lone using (value) group by 1 having count(distinct owner) > {max_owners}),
+    {left.format(n=max_owners)},
+    many as (select value from held where alone > {max_owners} union select value from left{max_owners}),
+    everywhere as (select value from spans group by 1 having least(count(distinct place), count(distinct coalesce(doc_id, -1))) > {max_repos}),
+    judged as (select s.*, case when value in (select value from many union select value from everywhere) then 'example' when regexp_matches(value, '[0-9]') and regexp_matches(value, '[A-Za-z]') and len(list_distinct(string_split(value, ''))) >= 8 then 'live' else 'weak' end as verdict from spans s),
     every as (select distinct id, start, ord, stop, kind from judged union select distinct id, stop - length(value), {len(KINDS)}, stop, 'live' from judged where verdict = 'live'),
     listed as (select id, string_agg(kind || ':' || start || ':' || stop, ',' order by start, ord, stop) as spans, string_agg(kind || ':' || start || ':' || stop, ',' order by start, ord, stop) filter (kind != 'live') as base from every group by 1),
     counted as (select id, {', '.join(f"count(*) filter (kind = '{k[0]}') as n_{k[0]}" for k in KINDS)}, count(*) filter (verdict = 'live') as n_live, count(*) filter (verdict = 'example') as n_example from judged group by 1)

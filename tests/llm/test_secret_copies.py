@@ -2,10 +2,11 @@
 
 import random
 
+import duckdb
 import pytest
 
 pytest.importorskip("public_tokenizers")
-from spectrafold.llm import secret_scan  # noqa: E402
+from spectrafold.llm import oracles, secret_scan  # noqa: E402
 
 rng = random.Random(9)
 
@@ -40,6 +41,13 @@ def test_copies_count_once(spark):
         example = used in t
         assert (got[i]["n_live"] > 0) != example and (got[i]["n_example"] > 0) == example, i
         assert ("live:" in got[i]["spans"]) != example
+    # The SQL gives the same rows.
+    duck = duckdb.connect()
+    duck.execute("create table documents (doc_id bigint, text varchar, source varchar)")
+    duck.executemany("insert into documents values (?, ?, ?)", [list(r) for r in rows])
+    sql = duck.execute(oracles.secrets())
+    columns = [d[0] for d in sql.description]
+    assert sorted(sql.fetchall()) == sorted(tuple(r[c] for c in columns) for r in got.values())
     hidden = {r["doc_id"]: r["text"] for r in secret_scan.redact(df).collect()}
     for i, t, _ in rows:
         assert ("[SECRET]" in hidden[i]) != (used in t)
