@@ -3,38 +3,29 @@
 Counts may be compressed (counts.compressed): a row then stands for `many` features with one vector of counts.
 
 Every sum over the vocabulary is split into what a feature that a sample lacks contributes, which has a closed form, and
-what its own features add to that. Pairs of samples then meet in the features that both have. These pairs are listed from
-one array a feature and summed before the shuffle, so no sample is joined with another.
+what its own features add to that. Pairs of samples then meet in the features that both have, block by block (blocks.py).
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import formulas
-from .counts import by_document_frequency, feature_stats, many, overall, presence, profiles, sample_stats
+from .blocks import Fields, grid_sums, pair_sums, product_sums
+from .counts import by_document_frequency, feature_stats, many, overall, presence, sample_stats
+
+#: Configurations of a grid that one task adds up together: a table of pairs of samples for each.
+GRID = 8
 
 
 def _one(row: DataFrame) -> DataFrame:
     return F.broadcast(row)
 
 
-def shared_sums(values: DataFrame, terms: dict[str, Column], fields: list[str], by: tuple[str, ...] = ()) -> DataFrame:
-    """(*by, i, j, one sum a term) over the features that both samples have, for i < j.
-
-    values: (*by, feature, sample, *fields). A term is an expression of the fields with the suffixes _i and _j.
-    """
-    entry = F.struct("sample", *fields)
-    lists = values.groupBy(*by, "feature").agg(F.array_sort(F.collect_list(entry)).alias("all"))
-    first = lists.select(*by, "all", F.posexplode("all").alias("at", "x"))
-    both = first.select(*by, "x", F.explode(F.slice("all", F.col("at") + 2, F.greatest(F.lit(0), F.size("all") - F.col("at") - 1))).alias("y"))
-    named = both.select(*by, F.col("x.sample").alias("i"), F.col("y.sample").alias("j"), *(F.col(f"x.{f}").alias(f"{f}_i") for f in fields), *(F.col(f"y.{f}").alias(f"{f}_j") for f in fields))
-    return named.groupBy(*by, "i", "j").agg(*(F.sum(t).alias(n) for n, t in terms.items()))
-
-
 def every_pair(samples: DataFrame, fields: list[str], by: tuple[str, ...] = ()) -> DataFrame:
     """All pairs i < j of the samples (of one `by`) with their fields: the output of a distance has a row for each."""
     left = samples.select(*by, F.col("sample").alias("i"), *(F.col(f).alias(f"{f}_i") for f in fields))
@@ -57,6 +48,12 @@ def weights(counts: DataFrame, kind: str = "one", beta: float | None = None, cap
     return out
 
 
+def _own_sums(given: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """(*by, sample, a, wd, we, wde): sums over each sample's own features."""
+    w, d, e = F.col("w"), F.col("d"), F.col("e")
+    return given.groupBy(*by, "sample").agg(F.first("a").alias("a"), F.sum(w * d).alias("wd"), F.sum(w * e).alias("we"), F.sum(w * d * e).alias("wde"))
+
+
 def _kl_parts(values: DataFrame, samples: DataFrame, every: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Directed divergences (*by, sample_i, sample_j, d) from values (*by, feature, sample, p, w), samples (*by, sample, a), every (*by, W).
 
@@ -64,10 +61,15 @@ def _kl_parts(values: DataFrame, samples: DataFrame, every: DataFrame, by: tuple
     sum w p_i ln p_j = a_i ln a_j W + a_i sum(w e_j) + ln a_j sum(w d_i) + sum over shared features of w d_i e_j.
     """
     given = values.join(samples, [*by, "sample"]).withColumn("d", F.col("p") - F.col("a")).withColumn("e", F.log("p") - F.log("a"))
-    own = given.groupBy(*by, "sample").agg(F.first("a").alias("a"), F.sum(F.col("w") * F.col("d")).alias("wd"), F.sum(F.col("w") * F.col("e")).alias("we"), F.sum(F.col("w") * F.col("d") * F.col("e")).alias("wde"))
+    own = _own_sums(given, by)
     pairs = every_pair(own, ["a", "wd", "we", "wde"], by)
     pairs = pairs.join(_one(every), list(by)) if by else pairs.crossJoin(_one(every))
-    meet = shared_sums(given.select(*by, "feature", "sample", "w", "d", "e"), {"ij": F.col("w_i") * F.col("d_i") * F.col("e_j"), "ji": F.col("w_i") * F.col("d_j") * F.col("e_i")}, ["w", "d", "e"], by)
+    meet = product_sums(given.select(*by, "feature", "sample", (F.col("w") * F.col("d")).alias("wd"), "e"), own, "wd", "e", by)
+    return _kl_joined(pairs, meet, by)
+
+
+def _kl_joined(pairs: DataFrame, meet: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """The divergences from each sample's own sums, in pairs, and the sums over what both share."""
     joined = pairs.join(meet, [*by, "i", "j"], "left").withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("ij", "ji")})
 
     def cross(x: str, y: str, both: str) -> Column:
@@ -97,29 +99,48 @@ def kl_directed(counts: DataFrame, alpha: float = 1.0, weight: DataFrame | None
     return _kl_parts(values, samples.select("sample", "a"), every.select("W"))
 
 
-def kl_grid(counts: DataFrame, grid: DataFrame, kind: str = "one", cap: float | None = None, scale: bool = False, clip: str = "symmetric") -> DataFrame:
-    """(g, sample_i, sample_j, d) for i < j: kl_symmetric for each row (g, alpha, beta) of a grid, all in one plan.
+def kl_grid(counts: DataFrame, grid: list[tuple[int, float, float | None]], kind: str = "one", cap: float | None = None, scale: bool = False, clip: str = "symmetric") -> DataFrame:
+    """(g, sample_i, sample_j, d) for i < j: kl_symmetric for each (g, alpha, beta) of a grid.
 
-    The grid is broadcast: it has a row for each configuration. Totals and features are counted once for all of them.
+    The counts are joined with an array of the weights that the betas give each feature, and dealt to cells, once for
+    GRID configurations; alpha and beta take effect within a task.
     """
-    grid = F.broadcast(grid)
+    spark = counts.sparkSession
+    betas = sorted({b or 0.0 for _, _, b in grid})
     features = feature_stats(counts)
     every = features.agg(F.sum(F.col("c") * F.col("many")).alias("total"), F.sum("many").alias("vocabulary"))
-    per = features.crossJoin(_one(every)).crossJoin(grid.select("g", "beta"))
-    smooth = formulas.smoothed(F.col("c"), F.col("total"), F.coalesce("beta", F.lit(0.0)), F.col("vocabulary"))
-    weight = per.select("g", "feature", "many", formulas.weight(smooth, kind).alias("w"))
-    if kind != "one" and cap is not None:
-        weight = weight.withColumn("w", F.least("w", F.lit(float(cap))))
+    per = features.crossJoin(_one(every))
+    of = lambda b: formulas.weight(formulas.smoothed(F.col("c"), F.col("total"), b, F.col("vocabulary")), kind)
+    capped = lambda b: F.least(of(b), F.lit(float(cap))) if kind != "one" and cap is not None else of(b)
+    weight = per.select("feature", "many", *(capped(b).alias(f"w{i}") for i, b in enumerate(betas)))
+    names = [f"w{i}" for i in range(len(betas))]
     if kind != "one" and scale:
-        most = weight.groupBy("g").agg(F.max("w").alias("_most"))
-        weight = weight.join(_one(most), "g").withColumn("w", F.col("w") / F.col("_most")).drop("_most")
-    weight = weight.select("g", "feature", (F.col("w") * F.col("many")).alias("w"))
-    sums = weight.groupBy("g").agg(F.sum("w").alias("W"))
-    totals = sample_stats(counts).select("sample", "total").crossJoin(_one(every.select("vocabulary"))).crossJoin(grid.select("g", "alpha"))
-    p = formulas.smoothed(F.col("c"), F.col("total"), F.col("alpha"), F.col("vocabulary"))
-    samples = totals.withColumn("a", formulas.smoothed(F.lit(0), F.col("total"), F.col("alpha"), F.col("vocabulary")))
-    values = counts.select("sample", "feature", "c").join(samples, "sample").withColumn("p", p).join(weight, ["g", "feature"]).select("g", "feature", "sample", "p", "w")
-    return symmetric(_kl_parts(values, samples.select("g", "sample", "a"), sums, ("g",)), clip, ("g",))
+        most = weight.agg(*(F.max(n).alias(f"most{n}") for n in names))
+        weight = weight.crossJoin(_one(most)).select("feature", "many", *((F.col(n) / F.col(f"most{n}")).alias(n) for n in names))
+    weight = weight.select("feature", F.array(*(F.col(n) * F.col("many") for n in names)).alias("ws"))
+    sums = weight.agg(F.array(*(F.sum(F.col("ws")[i]) for i in range(len(betas)))).alias("sums"))
+    totals = sample_stats(counts).select("sample", F.col("total").cast("double").alias("total")).crossJoin(_one(every.select(F.col("vocabulary").cast("double").alias("v"))))
+    values = counts.select("sample", "feature", F.col("c").cast("double").alias("c")).join(totals, "sample").join(weight, "feature")
+    out = None
+    for start in range(0, len(grid), GRID):
+        part = [(g, float(alpha), betas.index(beta or 0.0)) for g, alpha, beta in grid[start : start + GRID]]
+        here = spark.createDataFrame(part, "g int, alpha double, b int")
+        each = values.crossJoin(_one(here)).withColumn("w", F.get("ws", "b"))
+        a = formulas.smoothed(F.lit(0), F.col("total"), F.col("alpha"), F.col("v"))
+        each = each.withColumn("a", a).withColumn("p", formulas.smoothed(F.col("c"), F.col("total"), F.col("alpha"), F.col("v"))).withColumn("d", F.col("p") - F.col("a")).withColumn("e", F.log("p") - F.log("a"))
+        pairs = every_pair(_own_sums(each, ("g",)), ["a", "wd", "we", "wde"], ("g",))
+        pairs = pairs.join(_one(here.crossJoin(_one(sums)).select("g", F.get("sums", "b").alias("W"))), "g")
+
+        def factors(table: dict[str, np.ndarray], part=part) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+            found = {}
+            for g, alpha, b in part:
+                mass = table["total"] + alpha * table["v"]
+                found[g] = table["ws"][:, b] * (table["c"] / mass), np.log((table["c"] + alpha) / mass) - np.log(alpha / mass)
+            return found
+
+        one = symmetric(_kl_joined(pairs, grid_sums(values, counts, ["c", "total", "v", "ws"], factors), ("g",)), clip, ("g",))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def symmetric(directed: DataFrame, clip: str = "symmetric", by: tuple[str, ...] = ()) -> DataFrame:
@@ -164,34 +185,51 @@ def jsd(counts: DataFrame, log_base: float = 2.0, alpha: float = 0.0) -> DataFra
     """(sample_i, sample_j, d): Jensen-Shannon divergence of the samples' distributions.
 
     Without smoothing, a feature that one sample has gives half its probability times log 2; so the shared features and the
-    samples' other mass suffice. With alpha above 0, each distinct vector of counts is laid out over all pairs of samples.
+    samples' other mass suffice. With alpha above 0, what a sample's features give against another sample that lacks them
+    depends on their counts alone, so it comes from the sample's histogram of counts, and shared features correct it.
     """
     scale = 1 / math.log(log_base)
-    totals = sample_stats(counts).select("sample", "total")
+    totals = sample_stats(counts).select("sample", "total", "kinds")
     if alpha > 0:
         return _jsd_smoothed(counts, totals, scale, alpha)
-    values = counts.withColumn("m", many(counts)).join(totals, "sample").select("feature", "sample", (F.col("c") / F.col("total")).alias("p"), "m")
-    mean, m = (F.col("p_i") + F.col("p_j")) / 2, F.col("m_i")
-    term = F.col("p_i") * F.log(F.col("p_i") / mean) / 2 + F.col("p_j") * F.log(F.col("p_j") / mean) / 2
-    meet = shared_sums(values, {"s": m * term, "pi": m * F.col("p_i"), "pj": m * F.col("p_j")}, ["p", "m"])
+    values = counts.withColumn("m", many(counts).cast("double")).join(totals, "sample").select("feature", "sample", (F.col("c") / F.col("total")).alias("p"), "m")
+
+    def terms(i: Fields, j: Fields) -> Fields:
+        return {"s": i["m"] * _halves(i["p"], j["p"]), "pi": i["m"] * i["p"], "pj": j["m"] * j["p"]}
+
+    meet = pair_sums(values, counts, ["p", "m"], terms, ["s", "pi", "pj"])
     pairs = every_pair(totals, []).join(meet, ["i", "j"], "left").withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("s", "pi", "pj")})
     d = F.col("s") * scale + F.lit(0.5 * math.log(2) * scale) * ((1 - F.col("pi")) + (1 - F.col("pj")))
     return pairs.select(F.col("i").alias("sample_i"), F.col("j").alias("sample_j"), d.alias("d"))
 
 
+def _halves(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """What a feature with these two probabilities gives, in natural logarithms."""
+    mean = (p + q) / 2
+    return (p * np.log(p / mean) + q * np.log(q / mean)) / 2
+
+
 def _jsd_smoothed(counts: DataFrame, totals: DataFrame, scale: float, alpha: float) -> DataFrame:
-    every = overall(counts).select("vocabulary")
-    every = every.crossJoin(totals.agg(F.array_sort(F.collect_list(F.struct("sample", "total"))).alias("all")))
-    p = lambda c, total: formulas.smoothed(F.coalesce(c, F.lit(0)), F.col(total), alpha, F.col("vocabulary"))
-    vectors = profiles(counts) if "many" not in counts.columns else counts.groupBy("feature").agg(F.collect_list(F.struct("sample", "c")).alias("profile"), F.first("many").alias("many"))
-    vectors = vectors.select("many", F.map_from_entries("profile").alias("v"))
-    first = vectors.crossJoin(_one(every)).select("*", F.posexplode("all").alias("at", "x"))
-    laid = first.select("many", "v", "vocabulary", "x", F.explode(F.slice("all", F.col("at") + 2, F.greatest(F.lit(0), F.size("all") - F.col("at") - 1))).alias("y"))
-    laid = laid.select("many", "v", "vocabulary", F.col("x.sample").alias("i"), F.col("x.total").alias("total_i"), F.col("y.sample").alias("j"), F.col("y.total").alias("total_j"))
-    a, b = p(F.col("v")[F.col("i")], "total_i"), p(F.col("v")[F.col("j")], "total_j")
-    m = (a + b) / 2
-    term = F.col("many") * (a * F.log(a / m) + b * F.log(b / m)) / 2 * scale
-    return laid.groupBy(F.col("i").alias("sample_i"), F.col("j").alias("sample_j")).agg(F.sum(term).alias("d"))
+    every = overall(counts).select(F.col("vocabulary").cast("double").alias("v"))
+    p = lambda c, total: formulas.smoothed(c, total, alpha, F.col("v"))
+    samples = totals.crossJoin(_one(every)).withColumn("a", p(F.lit(0), F.col("total")))
+    values = counts.withColumn("m", many(counts).cast("double")).join(samples, "sample").select("feature", "sample", p(F.col("c"), F.col("total")).alias("p"), "a", "m")
+
+    def terms(i: Fields, j: Fields) -> Fields:
+        return {"s": i["m"] * (_halves(i["p"], j["p"]) - _halves(i["p"], j["a"]) - _halves(i["a"], j["p"]) + _halves(i["a"], j["a"]))}
+
+    meet = pair_sums(values, counts, ["p", "a", "m"], terms, ["s"])
+    histogram = values.groupBy("sample", "p").agg(F.sum("m").alias("m")).groupBy("sample").agg(F.collect_list(F.struct("p", "m")).alias("own"))
+    pairs = every_pair(samples.join(histogram, "sample"), ["kinds", "a", "v", "own"]).join(meet, ["i", "j"], "left")
+
+    def half(x: Column, y: Column) -> Column:
+        mean = (x + y) / 2
+        return (x * F.log(x / mean) + y * F.log(y / mean)) / 2
+
+    alone = lambda own, other: F.aggregate(own, F.lit(0.0), lambda s, e: s + e["m"] * half(e["p"], other))
+    neither = (F.col("v_i") - F.col("kinds_i") - F.col("kinds_j")) * half(F.col("a_i"), F.col("a_j"))
+    d = neither + alone(F.col("own_i"), F.col("a_j")) + alone(F.col("own_j"), F.col("a_i")) + F.coalesce("s", F.lit(0.0))
+    return pairs.select(F.col("i").alias("sample_i"), F.col("j").alias("sample_j"), (d * scale).alias("d"))
 
 
 def root(pairs: DataFrame) -> DataFrame:
@@ -215,7 +253,7 @@ def cosine_similarity(counts: DataFrame, weight: DataFrame | None = None, clamp:
     if weight is not None:
         values = values.join(weight.select("feature", "w"), "feature").withColumn("x", F.col("x") * F.col("w")).drop("w")
     own = names.join(values.groupBy("sample").agg(F.sum(F.col("m") * F.col("x") * F.col("x")).alias("n")), "sample", "left").fillna(0.0, ["n"])
-    meet = shared_sums(values, {"dot": F.col("m_i") * F.col("x_i") * F.col("x_j")}, ["x", "m"])
+    meet = product_sums(values.select("feature", "sample", (F.col("m") * F.col("x")).alias("mx"), "x"), counts, "mx", "x").withColumnRenamed("ij", "dot")
     pairs = every_pair(own, ["n"]).join(meet, ["i", "j"], "left")
     norm = F.sqrt(F.col("n_i") * F.col("n_j"))
     s = F.when(norm > 0, F.coalesce("dot", F.lit(0.0)) / F.nullif(norm, F.lit(0.0))).otherwise(0.0)
@@ -258,7 +296,7 @@ def kwip_kernel(counts: DataFrame) -> DataFrame:
     """(sample_i, sample_j, kernel) for i <= j: sum of c_i c_j h over features with entropy above 0."""
     entropy = entropy_weights(counts).where("h > 0").select("feature", (F.col("h") * F.col("many")).alias("h"))
     heavy = counts.select("sample", "feature", "c").join(entropy, "feature").select("feature", "sample", F.col("c").cast("double").alias("c"), "h")
-    meet = shared_sums(heavy, {"kernel": F.col("c_i") * F.col("c_j") * F.col("h_i")}, ["c", "h"])
+    meet = product_sums(heavy.select("feature", "sample", (F.col("c") * F.col("h")).alias("ch"), "c"), counts, "ch", "c").select("i", "j", F.col("ij").alias("kernel"))
     names = counts.select("sample").distinct()
     across = every_pair(names, []).join(meet, ["i", "j"], "left")
     own = names.join(heavy.groupBy("sample").agg(F.sum(F.col("c") * F.col("c") * F.col("h")).alias("kernel")), "sample", "left")

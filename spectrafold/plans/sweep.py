@@ -34,7 +34,7 @@ def kl_sweep(counts: DataFrame, labels: DataFrame, configs: list[Config]) -> Dat
     out = None
     for (weight, cap, scale, clip, singletons), same in kinds.items():
         grid = spark.createDataFrame([(g, c.k, float(c.alpha), None if c.beta is None else float(c.beta)) for g, c in enumerate(same)], "g int, k int, alpha double, beta double")
-        pairs = D.kl_grid(compressed, grid.select("g", "alpha", "beta"), weight, cap, scale, clip)
+        pairs = D.kl_grid(compressed, [(g, c.alpha, c.beta) for g, c in enumerate(same)], weight, cap, scale, clip)
         scores = grid.join(M.grid_scores(pairs, labels, "g", singletons), "g", "left").fillna(float("nan"), ["silhouette"])
         rows = scores.select("k", "alpha", "beta", "silhouette")
         out = rows if out is None else out.unionByName(rows)
