@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 from ..config import Config
 from ..functions import sequence as S
 from ..sources import fasta
+from . import superkmers
+from .superkmers import CODE, codes, spelled
 
-#: Windows that are counted at once in numpy, and distinct k-mers that a task holds before it passes them on.
-PIECE, HELD = 1_000_000, 2_000_000
+#: Windows that are counted at once in numpy.
+PIECE = 1_000_000
 
 
 def exploded(rows: DataFrame, sequence: str, k: int, *, size: int = 256) -> DataFrame:
@@ -99,19 +101,6 @@ def letters_counts(rows: DataFrame, text: str, sample: str, k: int, pattern: str
     return grams.where(F.regexp_like("feature", F.lit(pattern))).groupBy("sample", "feature").agg(F.count("*").alias("c"))
 
 
-_CODE = np.full(256, 4, np.uint8)
-_CODE[np.frombuffer(b"ACGT", np.uint8)] = np.arange(4)
-
-
-def _codes(digits: np.ndarray, k: int) -> np.ndarray:
-    """Integer of each window of base digits, two bits a base."""
-    n = len(digits) - k + 1
-    out = np.zeros(n, np.int64)
-    for i in range(k):
-        out = (out << 2) | digits[i : i + n]
-    return out
-
-
 def window_counts(data: bytes, k: int, validity: str, canonical: bool) -> tuple[np.ndarray, np.ndarray]:
     """(k-mers as bytes, counts) of one piece of sequence in upper case.
 
@@ -123,19 +112,18 @@ def window_counts(data: bytes, k: int, validity: str, canonical: bool) -> tuple[
     none = np.zeros(0, f"S{k}"), np.zeros(0, np.int64)
     if n < 1:
         return none
-    digits = _CODE[letters]
+    digits = CODE[letters]
     bad = np.concatenate([[0], np.cumsum(digits > 3 if validity == "acgt" else letters == ord("N"))])
     good = bad[k:] == bad[:-k]
     if not good.any():
         return none
     if k <= 31 and validity == "acgt":
-        codes = _codes(np.minimum(digits, 3).astype(np.int64), k)[good]
+        found = codes(np.minimum(digits, 3).astype(np.int64), k)[good]
         if canonical:
-            back = _codes(3 - np.minimum(digits[::-1], 3).astype(np.int64), k)[::-1][good]
-            codes = np.minimum(codes, back)
-        kinds, counts = np.unique(codes, return_counts=True)
-        places = (kinds[:, None] >> (2 * np.arange(k - 1, -1, -1))) & 3
-        return np.frombuffer(b"ACGT", np.uint8)[places].view(f"S{k}")[:, 0], counts
+            back = codes(3 - np.minimum(digits[::-1], 3).astype(np.int64), k)[::-1][good]
+            found = np.minimum(found, back)
+        kinds, counts = np.unique(found, return_counts=True)
+        return spelled(kinds, k), counts
     table = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(letters, k)[good]).view(f"S{k}")[:, 0]
     if canonical:
         other = np.arange(256, dtype=np.uint8)
@@ -145,32 +133,60 @@ def window_counts(data: bytes, k: int, validity: str, canonical: bool) -> tuple[
     return np.unique(table, return_counts=True)
 
 
-def pieces(text: str, k: int) -> Iterator[bytes]:
-    """The sequence in pieces that overlap by k - 1 letters; letters beyond ASCII become '?', which no k-mer of bases holds."""
-    data = text.encode("ascii", "replace")
-    for at in range(0, max(1, len(data) - k + 1), PIECE):
-        yield data[at : at + PIECE + k - 1]
+def pieces_of(row: tuple, ks: list[int]) -> Iterator[tuple[int, bytes]]:
+    """(k, piece) of a row (sample, sequence, seen, only) for each k, in pieces that overlap by k - 1 letters.
+
+    Letters beyond ASCII become '?', which no k-mer of bases holds.
+    """
+    _, sequence, seen, only = row
+    data = (sequence.as_py() or "").encode("ascii", "replace")
+    for k in ks:
+        if only is None or only == k:
+            for at in range(max(0, seen - k + 1), max(1, len(data) - k + 1), PIECE):
+                yield k, data[at : at + PIECE + k - 1]
 
 
 def fast_counts(sequences: DataFrame, k: int, *, validity: str = "acgt", canonical: bool = False) -> DataFrame:
     """counts(sample, feature, c) from (sample, sequence): counted piece by piece in numpy, then added up by Spark."""
+    return grid_counts(sequences, [k], validity=validity, canonical=canonical).select("sample", "feature", "c")
+
+
+def grid_counts(sequences: DataFrame, ks: list[int], *, validity: str = "acgt", canonical: bool = False) -> DataFrame:
+    """counts(k, sample, feature, c) of all lengths in one scan of (sample, sequence[, seen, only]), as read_pieces_for gives it.
+
+    K-mers of PACKED to 31 bases are shuffled as super-k-mers; shorter ones, of which there are few kinds, and others as
+    partial counts.
+    """
+    if "seen" not in sequences.columns:
+        sequences = sequences.select("sample", "sequence", F.lit(0).alias("seen"), F.lit(None).cast("int").alias("only"))
+    rows = sequences.select(F.col("sample").cast("string").alias("sample"), "sequence", "seen", "only")
+    packed = [k for k in ks if validity == "acgt" and superkmers.PACKED <= k <= 31]
+    plain = [k for k in ks if k not in packed]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for sample, sequence in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                for piece in pieces(sequence.as_py() or "", k):
+            for row in zip(batch.column(0).to_pylist(), batch.column(1), *(c.to_pylist() for c in batch.columns[2:]), strict=True):
+                for k, piece in pieces_of(row, plain):
                     kinds, counts = window_counts(piece, k, validity, canonical)
                     if len(kinds):
-                        yield pa.RecordBatch.from_arrays([pa.array([sample] * len(kinds), pa.string()), pa.array(kinds.astype(str), pa.string()), pa.array(counts, pa.int64())], ["sample", "feature", "c"])
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(kinds), k, np.int32)), pa.array([row[0]] * len(kinds), pa.string()), pa.array(kinds.astype(str), pa.string()), pa.array(counts, pa.int64())], ["k", "sample", "feature", "c"])
 
-    parts = sequences.select(F.col("sample").cast("string").alias("sample"), "sequence").mapInArrow(run, "sample string, feature string, c long")
-    return parts.groupBy("sample", "feature").agg(F.sum("c").alias("c"))
+    out = superkmers.counts(rows, packed, canonical) if packed else None
+    if plain:
+        parts = rows.mapInArrow(run, "k int, sample string, feature string, c long").groupBy("k", "sample", "feature").agg(F.sum("c").alias("c"))
+        out = parts if out is None else out.unionByName(parts)
+    return out
 
 
 def fasta_counts(spark: SparkSession, path: str, config: Config, glob: str = fasta.SUFFIXES) -> DataFrame:
     """counts(sample, feature, c) of the k-mers of all sequence files at a path, which may be of any size."""
-    sequences = fasta.read_pieces(spark, path, config.k, config.boundary, glob)
-    return fast_counts(sequences, config.k, validity=config.validity, canonical=config.canonical)
+    return fasta_grid_counts(spark, path, [config.k], config, glob).select("sample", "feature", "c")
+
+
+def fasta_grid_counts(spark: SparkSession, path: str, ks: list[int], config: Config, glob: str = fasta.SUFFIXES) -> DataFrame:
+    """counts(k, sample, feature, c) for several k in one scan of the files; what else matters is in the configuration."""
+    sequences = fasta.read_pieces_for(spark, path, ks, config.boundary, glob)
+    return grid_counts(sequences, ks, validity=config.validity, canonical=config.canonical)
 
 
 def lengths(sequences: DataFrame) -> DataFrame:

@@ -53,50 +53,61 @@ def read_sequences(spark: SparkSession, path: str, boundary: str = "file", glob:
 
 
 def read_pieces(spark: SparkSession, path: str, k: int, boundary: str = "file", glob: str = SUFFIXES, size: int = 1_000_000) -> DataFrame:
-    """(sample, sequence): pieces whose windows of k letters are those of the sequences, each once, of files of any size.
+    """(sample, sequence): pieces whose windows of k letters are those of the sequences, each once, of files of any size."""
+    return read_pieces_for(spark, path, [k], boundary, glob, size).select("sample", "sequence")
+
+
+def read_pieces_for(spark: SparkSession, path: str, ks: list[int], boundary: str = "file", glob: str = SUFFIXES, size: int = 1_000_000) -> DataFrame:
+    """(sample, sequence, seen, only): pieces that hold the windows of the sequences for several lengths of window, of files of any size.
+
+    The windows of length k that a piece stands for are those that reach beyond its first `seen` letters; a piece with `only`
+    has windows of that length alone. Over all pieces, each window of each length comes once.
 
     Files are read line by line and split between tasks. A task cuts what it reads to pieces of about `size` letters that
-    overlap by k - 1; of each block of a file, the last k - 1 letters and the first ones of the blocks after it make one
-    more piece. With boundary "record", no piece reaches over a header.
+    overlap by one less than the longest window; of each block of a file, its last letters and the first ones of the blocks
+    after it make one more piece for each length. With boundary "record", no piece reaches over a header.
     """
+    most, least = max(ks), min(ks)
     rows = spark.read.text(path, pathGlobFilter=glob)
     rows = rows.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
     white = re.compile(r"\s+")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.schema([("file", pa.string()), ("block", pa.int64()), ("sequence", pa.string()), ("head", pa.string()), ("tail", pa.string()), ("cut", pa.bool_())])
-        key, held, letters, head, cut, out = None, [], 0, "", False, []
+        kind = pa.schema([("file", pa.string()), ("block", pa.int64()), ("sequence", pa.string()), ("seen", pa.int32()), ("head", pa.string()), ("tail", pa.string()), ("cut", pa.bool_())])
+        key, held, letters, seen, head, cut, out = None, [], 0, 0, "", False, []
 
         def shut(whole: bool) -> None:
-            """Pass on what is held but for its last k - 1 letters, or all of it."""
-            nonlocal held, letters
+            """Pass on what is held, and keep its last most - 1 letters unless it is whole."""
+            nonlocal held, letters, seen
             run = "".join(held)
-            if len(run) >= k:
-                out.append((*key, run, None, None, None))
-            held = [] if whole or k == 1 else [run[-(k - 1) :]]
+            new = len(run) >= least and len(run) > seen
+            if new:
+                out.append((*key, run, seen, None, None, None))
+            held = [] if whole or most == 1 else [run[-(most - 1) :]]
             letters = sum(map(len, held))
+            seen = letters if new else min(seen, letters)
 
         def done() -> None:
             shut(False)
-            out.append((*key, None, head, "".join(held), cut))
+            out.append((*key, None, None, head, "".join(held), cut))
 
         for batch in batches:
             for file, block, line in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (file, block) != key:
                     if key:
                         done()
-                    key, held, letters, head, cut = (file, block), [], 0, "", False
+                    key, held, letters, seen, head, cut = (file, block), [], 0, 0, "", False
                 line = white.sub("", line).upper()
                 if line.startswith(">"):
                     if boundary == "record":
                         shut(True)
                         cut = True
                 elif line:
-                    if not cut and len(head) < k - 1:
-                        head = (head + line)[: k - 1]
+                    if not cut and len(head) < most - 1:
+                        head = (head + line)[: most - 1]
                     held.append(line)
                     letters += len(line)
-                    if letters >= size + k:
+                    if letters >= size + most:
                         shut(False)
             if out:
                 yield pa.RecordBatch.from_pylist([dict(zip(kind.names, r, strict=True)) for r in out], kind)
@@ -105,13 +116,15 @@ def read_pieces(spark: SparkSession, path: str, k: int, boundary: str = "file",
             done()
             yield pa.RecordBatch.from_pylist([dict(zip(kind.names, r, strict=True)) for r in out], kind)
 
-    read = rows.mapInArrow(run, "file string, block long, sequence string, head string, tail string, cut boolean")
-    inner = read.where("sequence is not null").select("file", "sequence")
-    after = Window.partitionBy("file").orderBy("block").rowsBetween(1, k)  # a row a block of a file
+    read = rows.mapInArrow(run, "file string, block long, sequence string, seen int, head string, tail string, cut boolean")
+    inner = read.where("sequence is not null").select("file", "sequence", "seen", F.lit(None).cast("int").alias("only"))
+    after = Window.partitionBy("file").orderBy("block").rowsBetween(1, most)  # a row a block of a file
     nexts = F.aggregate("nexts", F.struct(F.lit("").alias("text"), F.lit(True).alias("open")), lambda s, x: F.struct(F.when(s["open"], F.concat(s["text"], x["head"])).otherwise(s["text"]).alias("text"), (s["open"] & ~x["cut"]).alias("open")))
     seams = read.where("head is not null").withColumn("nexts", F.collect_list(F.struct("head", "cut")).over(after))
-    seams = seams.select("file", F.concat("tail", F.substring(nexts["text"], 1, k - 1)).alias("sequence")).where(F.length("sequence") >= k)
-    return inner.unionByName(seams).select(sample_name(F.url_decode("file")).alias("sample"), "sequence")
+    seams = seams.select("file", "tail", nexts["text"].alias("text"), F.explode(F.array(*map(F.lit, ks))).alias("only"))
+    short = F.col("only") - 1
+    seams = seams.select("file", F.concat(F.right("tail", short), F.left("text", short)).alias("sequence"), F.lit(0).alias("seen"), "only").where(F.length("sequence") >= F.col("only"))
+    return inner.unionByName(seams).select(sample_name(F.url_decode("file")).alias("sample"), "sequence", "seen", "only")
 
 
 def lengths(spark: SparkSession, path: str, glob: str = SUFFIXES) -> DataFrame:

@@ -10,6 +10,7 @@ from spectrafold.plans import runs
 from spectrafold.sources import fasta
 
 from .fixtures import FILES, counted
+from .fixtures import canonical as canonical_of
 
 rng = random.Random(4)
 LETTERS = "".join(rng.choice("ACGTN") for _ in range(9000))
@@ -41,7 +42,7 @@ def plain(text: str) -> list[str]:
 
 
 @pytest.mark.parametrize("boundary", ["file", "record"])
-@pytest.mark.parametrize("k", [1, 4, 33])
+@pytest.mark.parametrize("k", [1, 4, 15, 33])
 @pytest.mark.parametrize("split", [None, 64])
 def test_counts(spark, folder, boundary, k, split):
     kept = {n: spark.conf.get(n) for n in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
@@ -69,6 +70,31 @@ def test_counts(spark, folder, boundary, k, split):
     assert {(r["sample"], r["feature"]): r["c"] for r in whole.collect()} == expected
 
 
+@pytest.mark.parametrize("boundary", ["file", "record"])
+@pytest.mark.parametrize("split", [None, 200])
+def test_all_lengths_in_one_scan(spark, folder, boundary, split):
+    kept = {n: spark.conf.get(n) for n in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    if split:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    ks = [3, 14, 21, 33]
+    try:
+        for canonical in (False, True):
+            small = fasta.read_pieces_for(spark, folder, ks, boundary, size=50)
+            rows = kmers.fasta_grid_counts(spark, folder, ks, Config(boundary=boundary, canonical=canonical)).collect()
+            assert sorted(map(tuple, rows)) == sorted(map(tuple, kmers.grid_counts(small, ks, canonical=canonical).collect()))
+            expected = {}
+            for name, text in (FILES | MORE).items():
+                own = plain(text)
+                for k in ks:
+                    for w, c in counted(own if boundary == "record" else ["".join(own)], k, change=canonical_of if canonical else lambda w: w).items():
+                        expected[k, name.rsplit(".", 1)[0], w] = c
+            assert {(r["k"], r["sample"], r["feature"]): r["c"] for r in rows} == expected
+    finally:
+        for n, v in kept.items():
+            spark.conf.set(n, v)
+
+
 def test_unknown_labels_are_not_scored(spark):
     pairs = spark.createDataFrame([("a", "b", 0.1), ("a", "c", 0.9), ("a", "d", 0.8), ("b", "c", 0.7), ("b", "d", 0.9), ("c", "d", -0.2)], "sample_i string, sample_j string, d double")
     counts = spark.createDataFrame([(s, f, 1) for s in "abcd" for f in "xy"], "sample string, feature string, c long")
