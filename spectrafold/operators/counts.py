@@ -100,6 +100,14 @@ def compressed(counts: DataFrame) -> DataFrame:
     return from_profiles(profiles(counts))
 
 
+def compressed_by(counts: DataFrame, by: str) -> DataFrame:
+    """(by, sample, feature, c, many): the same for each value of a column, such as k, in one plan."""
+    vector = F.array_sort(F.collect_list(F.struct("sample", "c")))
+    vectors = counts.groupBy(by, "feature").agg(vector.alias("profile")).groupBy(by, "profile").agg(F.count("*").alias("many"))
+    numbered = vectors.withColumn("feature", F.xxhash64("profile").cast("string"))
+    return numbered.select(by, "feature", "many", F.explode("profile").alias("p")).select(by, "p.sample", "feature", "p.c", "many")
+
+
 def from_profiles(vectors: DataFrame) -> DataFrame:
     """counts (sample, feature, c, many) with a feature for each distinct vector."""
     numbered = vectors.withColumn("feature", F.xxhash64("profile").cast("string"))

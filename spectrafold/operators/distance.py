@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import formulas
+from . import checks
 from .blocks import Fields, grid_sums, pair_sums, product_sums
 from .counts import by_document_frequency, feature_stats, many, overall, presence, sample_stats
 
@@ -39,7 +40,7 @@ def weights(counts: DataFrame, kind: str = "one", beta: float | None = None, cap
     if kind == "one":
         return per.select("feature", F.lit(1.0).alias("w"), "many")
     every = per.agg(F.sum(F.col("c") * F.col("many")).alias("total"), F.sum("many").alias("vocabulary"))
-    g = formulas.smoothed(F.col("c"), F.col("total"), beta or 0.0, F.col("vocabulary"))
+    g = checks.positive(formulas.smoothed(F.col("c"), F.col("total"), beta or 0.0, F.col("vocabulary")), "a feature's global probability is not above 0")
     out = per.crossJoin(_one(every)).select("feature", formulas.weight(g, kind).alias("w"), "many")
     if cap is not None:
         out = out.withColumn("w", F.least("w", F.lit(float(cap))))
@@ -94,7 +95,7 @@ def kl_directed(counts: DataFrame, alpha: float = 1.0, weight: DataFrame | None
     every = overall(counts).select("vocabulary").crossJoin(weight.agg(F.sum("w").alias("W")))
     totals = sample_stats(counts).select("sample", "total").crossJoin(_one(every.select("vocabulary")))
     samples = totals.select("sample", "total", "vocabulary", formulas.smoothed(F.lit(0), F.col("total"), alpha, F.col("vocabulary")).alias("a"))
-    p = formulas.smoothed(F.col("c"), F.col("total"), alpha, F.col("vocabulary"))
+    p = checks.positive(formulas.smoothed(F.col("c"), F.col("total"), alpha, F.col("vocabulary")), "a sample's probability is not above 0")
     values = counts.select("sample", "feature", "c").join(samples, "sample").withColumn("p", p).join(weight, "feature").select("feature", "sample", "p", "w")
     return _kl_parts(values, samples.select("sample", "a"), every.select("W"))
 

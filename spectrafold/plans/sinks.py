@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,14 +37,56 @@ def write_matrix(pairs: DataFrame, path: str, form: str = "%.8e", separator: str
     table.coalesce(1).sortWithinPartitions("sample").select(F.concat_ws(separator, *numbers).alias("value")).write.mode("overwrite").text(path)
 
 
-def append(rows: DataFrame, path: str) -> None:
-    rows.write.mode("append").parquet(path)
+def upsert(rows: DataFrame, path: str, key: list[str], buckets: int = 16) -> None:
+    """Add rows to a table, in place of those that have their keys; a table that isn't there is made.
+
+    The table is partitioned by a hash of the key. Only the partitions that new rows fall into are written again, by one
+    dynamic overwrite: Spark puts them in place when all tasks have ended, so a run that fails leaves the table as it was.
+    rows have each key once; a null is a key like others. The number of buckets of a table must stay the same.
+    """
+    placed = rows.withColumn("_bucket", F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int"))
+    old = _read(rows.sparkSession, path)
+    if old is not None:
+        touched = placed.select("_bucket").distinct()
+        same = [F.col(f"o.{c}").eqNullSafe(F.col(f"n.{c}")) for c in ["_bucket", *key]]
+        kept = old.join(F.broadcast(touched), "_bucket", "left_semi").alias("o").join(placed.select("_bucket", *key).alias("n"), same, "left_anti")
+        placed = kept.select(*placed.columns).unionByName(placed)
+    placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(path)
+
+
+def read_upserted(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).drop("_bucket")
+
+
+def _read(spark: SparkSession, path: str) -> DataFrame | None:
+    """A Parquet table, or none if nothing is there."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
 
 
 def save_pairs(pairs: DataFrame, path: str) -> None:
     pairs.write.mode("overwrite").parquet(path)
 
 
+def save_text(spark: SparkSession, text: str, path: str) -> None:
+    """A text of one line, such as a run's parameters, as a file beside its results."""
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def saved_text(spark: SparkSession, path: str) -> str | None:
+    try:
+        rows = spark.read.text(path).take(1)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    return rows[0]["value"] if rows else None
+
+
 def load_pairs(spark: SparkSession, path: str, samples: int, square_root: bool = False) -> DataFrame:
     """Saved pairs again: their number is checked, both directions become one mean, negatives 0; d squared too, if asked for."""
     rows = spark.read.parquet(path)
@@ -51,15 +97,31 @@ def load_pairs(spark: SparkSession, path: str, samples: int, square_root: bool =
     return half.withColumn("squared", F.col("d") * F.col("d")) if square_root else half
 
 
-def cached_counts(spark: SparkSession, path: str, make) -> DataFrame:
-    """The counts saved at path, or those that make() gives, saved there first."""
-    try:
-        return spark.read.parquet(path)
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
-    make().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+def manifest(spark: SparkSession, path: str, glob: str, **settings) -> DataFrame:
+    """(path, length, modified, settings): a row for each input file; files are listed, not read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
+    return files.select("path", "length", F.col("modificationTime").alias("modified"), F.lit(json.dumps(settings, sort_keys=True)).alias("settings"))
+
+
+def digest(rows: DataFrame) -> str:
+    """A short name for the rows, whatever their order."""
+    row = F.xxhash64(*rows.columns)
+    found = rows.agg(F.count("*"), F.coalesce(F.bit_xor(row), F.lit(0)), F.coalesce(F.sum(F.pmod(row, F.lit(2**31 - 1))), F.lit(0))).first()
+    return "-".join(f"{v & (2**64 - 1):x}" for v in found)
+
+
+def cached(spark: SparkSession, folder: str, inputs: DataFrame, make: Callable[[], DataFrame]) -> DataFrame:
+    """What make() gives, from the folder if it was saved there for the same manifest of inputs, and saved there otherwise.
+
+    The folder has a subfolder for each digest of a manifest. Its manifest is written after its rows, so one that was cut
+    short counts as none; all of the manifest is compared, not its digest alone.
+    """
+    place = f"{folder}/{digest(inputs)}"
+    saved = _read(spark, f"{place}/manifest")
+    if saved is None or saved.exceptAll(inputs).count() or inputs.exceptAll(saved).count():
+        make().write.mode("overwrite").parquet(f"{place}/rows")
+        inputs.write.mode("overwrite").parquet(f"{place}/manifest")
+    return spark.read.parquet(f"{place}/rows")
 
 
 def heatmap_cells(pairs: DataFrame) -> DataFrame:
