@@ -5,7 +5,6 @@ from __future__ import annotations
 import argparse
 import json
 import logging
-import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
@@ -43,17 +42,6 @@ def replace_partitions(rows: DataFrame, path: str, by: str) -> None:
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
 
 
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A folder of a new name in the shared one that spark.checkpoint.dir names."""
-    sc = spark.sparkContext
-    shared = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if shared is None:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        shared = f"{sc.getConf().get('spark.sql.warehouse.dir') or spark.conf.get('spark.sql.warehouse.dir')}/jobs"
-    return f"{shared}/{name}-{uuid.uuid4().hex}"
-
-
 def command(run: Callable[..., dict], description: str, inputs: list[str], default: str, argv: list[str] | None = None) -> None:
     """Start a session, run the job over the given paths, and stop the session."""
     parser = argparse.ArgumentParser(description=description)

@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobs import common, compare_samples, grow_profiles
+from jobs import compare_samples, grow_profiles
+from spectrafold.plans.shared import new_folder
 from spectrafold.queries import COSINE, DENSE, JSD, KERNEL, SILHOUETTES, SYMMETRIC
 
 COMPARE, GROW = (json.load(open(m.DEFAULT)) for m in (compare_samples, grow_profiles))
@@ -21,7 +22,7 @@ COUNTS = """docs as (select coalesce(lang, '?') || '|' || coalesce(source, '?')
 
 def job1_compare_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Silhouettes of samples by five distances between their profiles."""
-    out = common.new_folder(spark, "job1")
+    out = new_folder(spark, "job1")
     for _ in range(2):
         compare_samples.compare(spark, f"{sf_dir}/documents.parquet", out, COMPARE)
     rows = spark.read.parquet(f"{out}/scores")
@@ -30,7 +31,7 @@ def job1_compare_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def job2_grow_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Profiles kept up to date by a stream; the second run finds nothing new."""
-    out = common.new_folder(spark, "job2")
+    out = new_folder(spark, "job2")
     for _ in range(2):
         grow_profiles.grow(spark, f"{sf_dir}/documents.parquet", out, f"{out}/checkpoint", GROW)
     return spark.read.parquet(f"{out}/counts").select("sample", "feature", "c")

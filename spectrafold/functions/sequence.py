@@ -57,13 +57,11 @@ def two_bit(value: Column) -> Column:
     return F.when(only_of(value, "ACGT"), code).otherwise(F.lit(-1).cast("long"))
 
 
-def natural_key(name: Column, runs: int = 4) -> list[Column]:
-    """Sort keys under which the digit runs of names count as numbers."""
-    text, keys = name, []
-    for _ in range(runs):
-        keys += [F.regexp_extract(text, r"^[^0-9]*", 0), F.coalesce(F.try_to_number(F.regexp_extract(text, r"^[^0-9]*([0-9]{1,18})", 1), F.lit("9" * 18)), F.lit(-1))]
-        text = F.regexp_replace(text, r"^[^0-9]*[0-9]*", "")
-    return [*keys, text]
+def natural_key(name: Column) -> list[Column]:
+    """Sort keys under which the digit runs of names count as numbers, however many and long they are."""
+    number = lambda digits: F.when(digits != "", F.concat(F.lpad(F.length(F.regexp_replace(digits, "^0+", "")).cast("string"), 9, "0"), F.regexp_replace(digits, "^0+", ""))).otherwise("")
+    parts = F.regexp_extract_all(name, F.lit(r"[^0-9]*[0-9]*"), F.lit(0))
+    return [F.transform(parts, lambda p: F.struct(F.regexp_extract(p, r"^[^0-9]*", 0).alias("text"), number(F.regexp_extract(p, r"[0-9]*$", 0)).alias("number")))]
 
 
 def sample_name(file: Column) -> Column:

@@ -65,7 +65,7 @@ def _kl_parts(values: DataFrame, samples: DataFrame, every: DataFrame, by: tuple
     own = _own_sums(given, by)
     pairs = every_pair(own, ["a", "wd", "we", "wde"], by)
     pairs = pairs.join(_one(every), list(by)) if by else pairs.crossJoin(_one(every))
-    meet = product_sums(given.select(*by, "feature", "sample", (F.col("w") * F.col("d")).alias("wd"), "e"), own, "wd", "e", by)
+    meet = product_sums(given.select(*by, "feature", "sample", (F.col("w") * F.col("d")).alias("wd"), "e"), samples, "wd", "e", by)
     return _kl_joined(pairs, meet, by)
 
 
@@ -91,11 +91,11 @@ def kl_directed(counts: DataFrame, alpha: float = 1.0, weight: DataFrame | None
     if alpha <= 0:
         raise ValueError("alpha must be positive: absent features have no logarithm")
     weight = weights(counts) if weight is None else weight
-    weight = weight.select("feature", (F.col("w") * F.col("many")).alias("w"))
-    every = overall(counts).select("vocabulary").crossJoin(weight.agg(F.sum("w").alias("W")))
+    every = weight.agg(F.sum("many").alias("vocabulary"), F.sum(F.col("w") * F.col("many")).alias("W"))
     totals = sample_stats(counts).select("sample", "total").crossJoin(_one(every.select("vocabulary")))
     samples = totals.select("sample", "total", "vocabulary", formulas.smoothed(F.lit(0), F.col("total"), alpha, F.col("vocabulary")).alias("a"))
     p = checks.positive(formulas.smoothed(F.col("c"), F.col("total"), alpha, F.col("vocabulary")), "a sample's probability is not above 0")
+    weight = weight.select("feature", (F.col("w") * F.col("many")).alias("w"))
     values = counts.select("sample", "feature", "c").join(samples, "sample").withColumn("p", p).join(weight, "feature").select("feature", "sample", "p", "w")
     return _kl_parts(values, samples.select("sample", "a"), every.select("W"))
 

@@ -41,6 +41,15 @@ def kl_sweep(counts: DataFrame, labels: DataFrame, configs: list[Config]) -> Dat
     return out
 
 
+def kl_sweep_by_k(counts: DataFrame, labels: DataFrame, configs: list[Config]) -> DataFrame:
+    """(k, alpha, beta, silhouette) like kl_sweep, from counts(k, sample, feature, c) of all k together."""
+    out = None
+    for k in dict.fromkeys(c.k for c in configs):
+        rows = kl_sweep(counts.where(F.col("k") == k).drop("k"), labels, [c for c in configs if c.k == k])
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def best(results: DataFrame, score: str = "silhouette", order: tuple[str, ...] = ("k", "alpha", "beta")) -> DataFrame:
     """The row with the largest score; of equal ones the first in the given order. NaN and null never win."""
     fine = results.where(F.col(score).isNotNull() & ~F.isnan(score))
@@ -60,4 +69,4 @@ def latest(rows: DataFrame, key: list[str], order: str) -> DataFrame:
     return rows.withColumn("_n", rank).where("_n = 1").drop("_n")
 
 
-__all__ = ["best", "best_per", "grid", "kl_sweep", "latest"]
+__all__ = ["best", "best_per", "grid", "kl_sweep", "kl_sweep_by_k", "latest"]

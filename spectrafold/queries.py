@@ -12,11 +12,13 @@ from .functions import formulas
 from .functions import sequence as S
 from .operators import counts as A
 from .operators import distance as D
-from .operators import kmers
+from .operators import kmers, order
 from .operators import metrics as M
 from .operators import vectors as V
 from .plans import sinks, sweep
+from .plans.shared import new_folder
 from .sources import labels as L
+from .streaming import blocks
 from .streaming import counts as streaming
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -530,11 +532,131 @@ def label_join_missing(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""with n as (select c_name as name from customer) select name, cast(regexp_extract(name, '([0-9]+)', 1) as bigint) as number, cast(row_number() over (order by regexp_extract(name, '^[^0-9]*', 0), cast(regexp_extract(name, '([0-9]+)', 1) as bigint), name) as bigint) as place from n""")
 def natural_order(spark: SparkSession, d: str) -> DataFrame:
-    """Names in the order of their numbers."""
+    """S7, sort: names in the order of their numbers, by ranges."""
     name = F.col("name")
     rows = table(spark, d, "customer").select(F.col("c_name").alias("name"))
-    place = F.row_number().over(Window.orderBy(*S.natural_key(name), name)).cast("long")
-    return rows.select("name", F.regexp_extract("name", "([0-9]+)", 1).cast("long").alias("number"), place.alias("place"))
+    rows = order.ranked(rows, [*S.natural_key(name), name], size=1000)
+    return rows.select("name", F.regexp_extract("name", "([0-9]+)", 1).cast("long").alias("number"), "place")
+
+
+# --- files, streams and tables that are written first --------------------------------------------------------------------
+
+
+LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+#: Letters as bases, in turn.
+TURNS = ("ACGT" * 7)[:26] * 2
+
+
+def letter_bases(spark: SparkSession, d: str) -> DataFrame:
+    """(sample, sequence): the letters of all texts as bases, by source; whatever stands between words ends a sequence."""
+    docs = table(spark, d, "documents").where("text is not null and source is not null")
+    return docs.select(F.col("source").alias("sample"), F.translate("text", LETTERS, TURNS).alias("sequence"))
+
+
+@query(f"""with seqs as (select source as sample, translate(text, '{LETTERS}', '{TURNS}') as sequence from documents where text is not null and source is not null),
+    windows as (select sample, substr(sequence, i, 13) as kmer from (select sample, sequence, unnest(range(1, length(sequence) - 11)) as i from seqs where length(sequence) >= 13)),
+    counts as (select sample, least(kmer, reverse(translate(kmer, 'ACGT', 'TGCA'))) as feature, count(*) as c from windows where regexp_full_match(kmer, '[ACGT]+') group by 1, 2)
+    select sample, cast(sum(c) as bigint) as total, count(*) as kinds, sum(c::double * c) as squares, min(feature) as first, max(feature) as last from counts group by 1""")
+def superkmers_docs(spark: SparkSession, d: str) -> DataFrame:
+    """A1, A2, K6: canonical 13-mers of all texts, counted as packed super-k-mers."""
+    counts = kmers.fast_counts(kmers.spread(letter_bases(spark, d)), 13, canonical=True)
+    c = F.col("c")
+    return counts.groupBy("sample").agg(F.sum(c).alias("total"), F.count("*").alias("kinds"), F.sum(c.cast("double") * c).alias("squares"), F.min("feature").alias("first"), F.max("feature").alias("last"))
+
+
+def part_records(spark: SparkSession, d: str) -> DataFrame:
+    """(sample, record, sequence): the sequence of each part, by brand."""
+    part = table(spark, d, "part").select("p_partkey", "p_brand", "p_name", "p_type")
+    letters = F.translate(F.upper(F.concat("p_name", "p_brand", "p_type")), "EIOUSLMDBRHPKNWYVFJQXZ#0123456789 ", "ACGTACGTACGTACGTACGTACGTACGTACGTACG")
+    return part.select(F.col("p_brand").alias("sample"), F.col("p_partkey").alias("record"), letters.alias("sequence"))
+
+
+BY_K = f"""seqs as (select p_brand as sample, translate(upper(p_name || p_brand || p_type), 'EIOUSLMDBRHPKNWYVFJQXZ#0123456789 ', 'ACGTACGTACGTACGTACGTACGTACGTACGTACG') as sequence from part),
+    windows as (select k, sample, substr(sequence, i, k) as feature from (select k, sample, sequence, unnest(range(1, length(sequence) - k + 2)) as i from seqs, (values (3), (5), (14)) t(k) where length(sequence) >= k)),
+    kcounts as (select k, sample, feature, cast(count(*) as bigint) as c from windows where regexp_full_match(feature, '[ACGT]+') group by 1, 2, 3)"""
+
+
+def parts_by_k(spark: SparkSession, d: str) -> DataFrame:
+    return kmers.grid_counts(part_records(spark, d).select("sample", "sequence"), [3, 5, 14])
+
+
+@query(f"with {BY_K} select cast(k as integer) as k, sample, feature, c from kcounts")
+def kmer_counts_all_k(spark: SparkSession, d: str) -> DataFrame:
+    """Counts of three k in one scan."""
+    return parts_by_k(spark, d)
+
+
+def SWEEP_K() -> str:
+    parts = []
+    for k in (3, 5, 14):
+        for alpha in (0.1, 1.0):
+            parts.append(f"""select {k} as k, {alpha}::double as alpha, (with counts as (select sample, feature, c from kcounts where k = {k}), {DENSE(alpha)}, pairs as (select a.sample as sample_i, b.sample as sample_j, greatest(0, sum((a.p - b.p) * (ln(a.p) - ln(b.p))) / 2) as d from p a join p b on a.feature = b.feature and a.sample < b.sample group by 1, 2),
+        twice as (select sample_i, sample_j, x.label as label_i, y.label as label_j, d from (select * from pairs union all select sample_j, sample_i, d from pairs) q join lab x on x.sample = sample_i join lab y on y.sample = sample_j), {SILHOUETTES}
+        select avg(s) from sil) as silhouette""")
+    return f"with {BY_K}, lab as (select distinct p_brand as sample, left(p_brand, 7) as label from part), sweep as ({' union all '.join(parts)})"
+
+
+@query(f"{SWEEP_K()} select k, alpha, round(silhouette, 8) as silhouette from sweep")
+def sweep_over_k(spark: SparkSession, d: str) -> DataFrame:
+    """A grid of k and alpha from one scan of the sequences."""
+    labels = table(spark, d, "part").select(F.col("p_brand").alias("sample"), F.left("p_brand", F.lit(7)).alias("label")).distinct()
+    counts = kept(parts_by_k(spark, d))
+    return sweep.kl_sweep_by_k(counts, labels, sweep.grid(Config(), k=(3, 5, 14), alpha=(0.1, 1.0))).select("k", "alpha", F.round("silhouette", 8).alias("silhouette"))
+
+
+@query(f"with {BASES} select kmer as feature, cast(count(*) as bigint) as c from valid group by 1")
+def kmers_of_files(spark: SparkSession, d: str) -> DataFrame:
+    """Sequence files, gzipped, found by their suffix, read line by line in pieces."""
+    folder = new_folder(spark, "fasta")
+    lines = F.concat(F.lit(">"), "record", F.lit(" "), "sample", F.lit("\n"), F.left("sequence", F.lit(20)), F.lit("\n\n"), F.lower(F.substring("sequence", 21, 100)))
+    part_records(spark, d).select(lines.alias("value")).write.option("compression", "gzip").text(folder)
+    counts = kmers.fasta_grid_counts(spark, folder, [5], Config(boundary="record"), "*.txt.gz")
+    return counts.groupBy("feature").agg(F.sum("c").alias("c"))
+
+
+@query(f"with {BASES} select sample, kmer as feature, cast(count(*) as bigint) as c from valid group by 1, 2")
+def streamed_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """S2, S3, 2.8: sequences that arrive in blocks of 9 letters, joined by the state of each record."""
+    folder = new_folder(spark, "blocks")
+    blocks.numbered_blocks(part_records(spark, d), 9).repartition(4, "block_no").write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(spark.read.parquet(f"{folder}/in").schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
+    blocks.count_blocks(stream, 5, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    return blocks.counts_so_far(spark, f"{folder}/out")
+
+
+@query(f"with {PRIORITIES}, {DENSE(1.0)}, d as ({SYMMETRIC.format(digits=15)}) select sample_i, sample_j, round(d, 9) as d, round(d * d, 9) as squared from d")
+def saved_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs that a run saved, loaded and checked."""
+    folder = new_folder(spark, "pairs")
+    sinks.save_pairs(D.kl_symmetric(priorities(spark, d), 1.0), folder)
+    return rounded(rounded(sinks.load_pairs(spark, folder, 5, square_root=True)), 9, "squared")
+
+
+@query(f"with {PRIORITIES}, {DENSE(1.0)}, d as ({SYMMETRIC.format(digits=15)}) select sample_i, sample_j, printf('%.6f', d) as d from d")
+def pairs_as_csv(spark: SparkSession, d: str) -> DataFrame:
+    """O1: a CSV file with fixed decimals."""
+    folder = new_folder(spark, "csv")
+    sinks.write_csv(D.kl_symmetric(priorities(spark, d), 1.0), folder, {"d": "%.6f"})
+    return spark.read.csv(folder, header=True)
+
+
+@query(f"""with {PRIORITIES}, {DENSE(1.0)}, d as ({SYMMETRIC.format(digits=15)}), every as (select * from d union all select sample_j, sample_i, d from d union all select distinct sample, sample, 0.0::double from p)
+    select string_agg(printf('%.6f', d), ' ' order by sample_j) as line from every group by sample_i""")
+def matrix_lines(spark: SparkSession, d: str) -> DataFrame:
+    """O2: a matrix as lines of numbers."""
+    folder = new_folder(spark, "matrix")
+    sinks.write_matrix(D.kl_symmetric(priorities(spark, d), 1.0), folder, "%.6f")
+    return spark.read.text(folder).withColumnRenamed("value", "line")
+
+
+@query("select user_id, event_type, count(*) as events, max(event_id) as last from events group by 1, 2")
+def upserted(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of an earlier run, replaced by key."""
+    folder = new_folder(spark, "summary")
+    events = table(spark, d, "events")
+    for rows in (events.where("event_id % 3 = 0"), events):
+        sinks.upsert(rows.groupBy("user_id", "event_type").agg(F.count("*").alias("events"), F.max("event_id").alias("last")), folder, ["user_id", "event_type"])
+    return sinks.read_upserted(spark, folder)
 
 
 # --- weights, labels and reports ---------------------------------------------------------------------------------------
@@ -592,6 +714,13 @@ def silhouette_named(spark: SparkSession, d: str) -> DataFrame:
     return scores.agg(F.round(F.avg("silhouette"), 8).alias("silhouette"), F.count("*").alias("samples"))
 
 
+@query("select round(quantile_cont(l_extendedprice, 0.25), 6) as q25, round(quantile_cont(l_extendedprice, 0.5), 6) as q50, round(quantile_cont(l_extendedprice, 0.999), 6) as q999 from lineitem")
+def price_quantiles(spark: SparkSession, d: str) -> DataFrame:
+    """Exact quantiles by counting in ever narrower bins."""
+    q = order.quantiles(table(spark, d, "lineitem"), "l_extendedprice", [0.25, 0.5, 0.999])
+    return spark.range(1).select(*(F.round(F.lit(v).cast("double"), 6).alias(n) for n, v in zip(("q25", "q50", "q999"), q, strict=True)))
+
+
 @query(f"with {NAMED} select sample, label, 'not_computed' as status from lab")
 def silhouette_unknown(spark: SparkSession, d: str) -> DataFrame:
     """M5, M6: no score where a label is unknown."""

@@ -1,5 +1,6 @@
 import gzip
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,7 +69,10 @@ def test_validity_and_strand(spark, folder):
 def test_pieces_overlap(monkeypatch):
     monkeypatch.setattr(kmers, "PIECE", 7)
     text = "ACGTTGCATGACCTGAAC"
-    assert sum((counted([p.decode()], 4) for p in kmers.pieces(text, 4)), start=counted([], 4)) == counted([text], 4)
+    for seen in (0, 3, 9):
+        found = [p.decode() for _, p in kmers.pieces_of(("s", pa.scalar(text), seen, None), [4])]
+        assert sum((counted([p], 4) for p in found), start=counted([], 4)) == counted([text[max(0, seen - 3) :]], 4)
+    assert not list(kmers.pieces_of(("s", pa.scalar(text), 0, 5), [4]))
 
 
 def test_line_blocks_hold_every_window(spark):
