@@ -204,10 +204,13 @@ def test_sinks(spark, tmp_path):
         sinks.load_pairs(spark, str(tmp_path / "p"), 6)
     sinks.write_csv(pairs, str(tmp_path / "c"), {"d": "%.8f"})
     assert spark.read.csv(str(tmp_path / "c"), header=True).count() == 10
-    made = []
+    made, inputs = [], spark.createDataFrame([("f", 1, "now")], "path string, length long, settings string")
     for _ in range(2):
-        assert sinks.cached_counts(spark, str(tmp_path / "k"), lambda: made.append(1) or frame(spark)).count() == 16
+        assert sinks.cached(spark, str(tmp_path / "k"), inputs, lambda: made.append(1) or frame(spark)).count() == 16
     assert len(made) == 1
+    longer = inputs.withColumn("length", F.lit(2).cast("long"))
+    assert sinks.cached(spark, str(tmp_path / "k"), longer, lambda: made.append(2) or frame(spark).limit(3)).count() == 3
+    assert sinks.cached(spark, str(tmp_path / "k"), inputs, lambda: made.append(3)).count() == 16 and made == [1, 2]
     assert sinks.heatmap_cells(pairs).count() == 25
 
 
@@ -220,7 +223,7 @@ def test_trees_and_maps(spark):
     x, stress = cluster.scaling(line)
     assert stress < 1e-2 * (line**2).sum()
     pairs = D.kl_symmetric(frame(spark), 1.0)
-    assert cluster.tree_table(spark, pairs).count() == 4 and cluster.map_table(spark, pairs).count() == 5
+    assert cluster.linkage(pairs)[1].count() == 4 and cluster.scaled(pairs)[0].count() == 5
     with pytest.raises(ValueError):
         cluster.matrix(pairs.limit(3))
 
