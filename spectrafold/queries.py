@@ -12,7 +12,7 @@ from .functions import formulas
 from .functions import sequence as S
 from .operators import counts as A
 from .operators import distance as D
-from .operators import kmers, order
+from .operators import cluster, kmers, order
 from .operators import metrics as M
 from .operators import vectors as V
 from .plans import sinks, sweep
@@ -659,6 +659,31 @@ def upserted(spark: SparkSession, d: str) -> DataFrame:
     return sinks.read_upserted(spark, folder)
 
 
+# --- trees and maps ----------------------------------------------------------------------------------------------------
+
+
+TREE = f"""with recursive {NATIONS}, {DENSE(0.0)}, {JSD.format(base=2)}, ids as (select sample, row_number() over (order by sample) - 1 as id from t),
+    start as (select x.id as a, y.id as b, 1 as na, 1 as nb, sqrt(greatest(0, d)) as total from j join ids x on x.sample = sample_i join ids y on y.sample = sample_j),
+    walk as (select 0 as step, * from start union all
+      select step, least(x, y), greatest(x, y), any_value(case when x < y then nx else ny end), any_value(case when x < y then ny else nx end), sum(total) from (
+        select s.step + 1 as step, case when a in (m.p, m.q) then m.fresh else a end as x, case when b in (m.p, m.q) then m.fresh else b end as y, case when a in (m.p, m.q) then m.n else na end as nx, case when b in (m.p, m.q) then m.n else nb end as ny, total
+        from walk s, (select arg_min(a, (total / (na * nb), a, b)) as p, arg_min(b, (total / (na * nb), a, b)) as q, arg_min(na + nb, (total / (na * nb), a, b)) as n, any_value(step) + (select count(*) from ids) as fresh from walk) m) where x != y group by 1, 2, 3)
+    select cast(step as bigint) as step, cast(arg_min(a, (total / (na * nb), a, b)) as bigint) as a, cast(arg_min(b, (total / (na * nb), a, b)) as bigint) as b, round(min(total / (na * nb)), 9) as height, cast(arg_min(na + nb, (total / (na * nb), a, b)) as bigint) as size from walk group by step"""
+
+
+@query(TREE)
+def linkage_tree(spark: SparkSession, d: str) -> DataFrame:
+    """The tree of average linkage."""
+    _, merges = cluster.linkage(D.root(D.jsd(nations(spark, d))))
+    return merges.withColumn("height", F.round("height", 9))
+
+
+@query()
+def sample_map(spark: SparkSession, d: str) -> DataFrame:
+    """Samples in two dimensions. Coordinates have no SQL; their stress is tested against that of a whole matrix."""
+    return cluster.scaled(D.root(D.jsd(nations(spark, d))))[0]
+
+
 # --- weights, labels and reports ---------------------------------------------------------------------------------------
 
 
@@ -721,11 +746,18 @@ def price_quantiles(spark: SparkSession, d: str) -> DataFrame:
     return spark.range(1).select(*(F.round(F.lit(v).cast("double"), 6).alias(n) for n, v in zip(("q25", "q50", "q999"), q, strict=True)))
 
 
-@query(f"with {NAMED} select sample, label, 'not_computed' as status from lab")
+@query(f"""with {NAMED}, {NATIONS}, {DENSE(0.0)}, {JSD.format(base=2).replace('m as (', 'mm as (').replace('from m group', 'from mm group')}, whole as (select sample, cast(n_regionkey as varchar) as label from lab join nation on sample = cast(n_nationkey as varchar)),
+    twice as (select sample_i, sample_j, x.label as label_i, y.label as label_j, sqrt(greatest(0, d)) as d from (select * from j union all select sample_j, sample_i, d from j) q join whole x on x.sample = sample_i join whole y on y.sample = sample_j), {SILHOUETTES}
+    select 'some unknown' as labels, sample, label, 'not_computed' as status from lab union all
+    select 'all known', sample, label, case when s > 0.1 then 'clear' when s >= 0 then 'weak/ambiguous' else 'possibly_misplaced' end from sil union all
+    select 'one class', sample, 'one', 'not_computed' from lab""")
 def silhouette_unknown(spark: SparkSession, d: str) -> DataFrame:
-    """M5, M6: no score where a label is unknown."""
-    scores = M.silhouettes(D.root(D.jsd(nations(spark, d))), part_named(spark, d), unknown="unknown")
-    return M.statuses(scores).select("sample", "label", "status")
+    """M5, M6: no score where a label is unknown, or where there is one class; the same samples have scores where all labels are known."""
+    pairs, named = D.root(D.jsd(nations(spark, d))), part_named(spark, d)
+    regions = table(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("sample"), F.col("n_regionkey").cast("string").alias("label"))
+    cases = {"some unknown": named, "all known": regions, "one class": named.select("sample", F.lit("one").alias("label"))}
+    parts = [M.statuses(M.silhouettes(pairs, labels, unknown="unknown")).select(F.lit(case).alias("labels"), "sample", "label", "status") for case, labels in cases.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @query(f"""with {PRIORITIES}, {DENSE(1.0)}, pairs as (select a.sample as i, b.sample as j, sum((a.p - b.p) * (ln(a.p) - ln(b.p))) / 2 as d from p a join p b on a.feature = b.feature group by 1, 2)

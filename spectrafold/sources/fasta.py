@@ -134,6 +134,11 @@ def lengths(spark: SparkSession, path: str, glob: str = SUFFIXES) -> DataFrame:
 
 
 def headers(spark: SparkSession, path: str, glob: str = SUFFIXES) -> DataFrame:
-    """(sample, header): the first header line of each file, without its mark."""
-    rows = read_files(spark, path, glob)
-    return rows.select("sample", F.trim(F.regexp_extract("text", r"(?m)^[ \t]*>([^\r\n]*)", 1)).alias("header"))
+    """(sample, header): the first header line of each file, without its mark; '' where there is none.
+
+    Files are read line by line, and split: the header is the first of its block, in the first block that has one.
+    """
+    rows = spark.read.text(path, pathGlobFilter=glob)
+    line = rows.select(sample_name(F.col("_metadata.file_name")).alias("sample"), F.col("_metadata.file_block_start").alias("block"), F.trim(F.col("value"), F.lit(" \t\r")).alias("line"), F.monotonically_increasing_id().alias("at"))
+    marked = F.when(F.startswith("line", F.lit(">")), F.struct("block", "at", F.trim(F.substr("line", F.lit(2))).alias("header")))
+    return line.groupBy("sample").agg(F.coalesce(F.min(marked)["header"], F.lit("")).alias("header"))
