@@ -35,7 +35,7 @@ def test_sequences_by_file_and_record(spark, folder):
     assert [s for n, s in records if n == "beta.pathological"] == ["ACGTACGTTT", "TTTACGRYACGT"]
     lines = fasta.read_lines(spark, folder).where("sample = 'beta.pathological'").orderBy("line_no").collect()
     assert [(r["record"], r["line"]) for r in lines] == [(1, "ACGTACGTTT"), (2, "TTTACGRYACGT")]
-    assert {r["sample"]: r["header"] for r in fasta.headers(spark, folder).collect()} == {"alpha.functional": "a one", "beta.pathological": "b1", "gamma": "only a header", "short": "s"}
+    assert {r["sample"]: r["header"] for r in fasta.headers(spark, folder).collect()} == {"alpha.functional": "a one", "beta.pathological": "b1", "gamma": "only a header", "short": "s", "zipped": "z"}
 
 
 @pytest.mark.parametrize("k", [1, 3, 5, 33])
