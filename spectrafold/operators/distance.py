@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import formulas
-from . import checks
+from . import checks, vectors
 from .blocks import Fields, grid_sums, pair_sums, product_sums
 from .counts import by_document_frequency, feature_stats, many, overall, presence, sample_stats
 
@@ -264,13 +264,9 @@ def cosine_similarity(counts: DataFrame, weight: DataFrame | None = None, clamp:
 
 
 def cosine_of_vectors(rows: DataFrame, vector: str, clamp: tuple[float, float] = (-1.0, 1.0)) -> DataFrame:
-    """(sample_i, sample_j, s) for i < j of rows (sample, vector) with arrays of one length: a product a pair, no features."""
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)
-    wide = rows.select("sample", F.col(vector).cast("array<double>").alias("v"))
-    norm = wide.withColumn("n", F.sqrt(dot(F.col("v"), F.col("v"))))
-    unit = norm.select("sample", F.transform("v", lambda x: F.when(F.col("n") > 0, x / F.col("n")).otherwise(0.0)).alias("u"))
-    s = dot(F.col("u_i"), F.col("u_j"))
-    return every_pair(unit, ["u"]).select(F.col("i").alias("sample_i"), F.col("j").alias("sample_j"), F.greatest(F.lit(clamp[0]), F.least(F.lit(clamp[1]), s)).alias("s"))
+    """(sample_i, sample_j, s) for i < j of rows (sample, vector) with arrays of one length, from products of blocks."""
+    named = rows.withColumn("sample", F.col("sample").cast("string")).withColumn("_none", F.lit(""))
+    return vectors.similarities(vectors.units(named, vector, "_none"), *clamp)
 
 
 def length_weighted(similarity: DataFrame, lengths: DataFrame) -> DataFrame:

@@ -401,8 +401,7 @@ VECTORS = """e as (select printf('%08d', vec_id) as sample, cast(label as varcha
 @query(f"with {VECTORS} select sample_i, sample_j, round(d, 9) as d from pairs")
 def cosine_embeddings(spark: SparkSession, d: str) -> DataFrame:
     """D10, D14."""
-    rows = vectors(spark, d).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return rounded(D.to_distance(D.cosine_of_vectors(rows, "embedding"), -1.0), 9)
+    return rounded(D.to_distance(D.cosine_of_vectors(vectors(spark, d), "embedding"), -1.0), 9)
 
 
 SILHOUETTES = """m as (select sample_i, label_i, label_j, avg(d) as m from twice group by 1, 2, 3),
