@@ -6,14 +6,14 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
-from functools import cached_property, lru_cache
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import held, text_of
 
 #: Chunks end where the low bits of a hash of the last 8 bytes are 0: one place in 1,024 on average.
 CHUNK_BITS = 10
@@ -91,9 +91,8 @@ class Vocabulary:
             return raw.decode("utf-8", "replace").encode()
 
 
-@lru_cache(maxsize=4)
 def vocabulary(path: str) -> Vocabulary:
-    return Vocabulary(path)
+    return held(("vocabulary", path), lambda: Vocabulary(path))
 
 
 def chunk_ends(data: bytes) -> list[int]:
@@ -201,9 +200,8 @@ class ChunkEncoder:
         return np.concatenate(parts)
 
 
-@lru_cache(maxsize=4)
 def chunk_encoder(path: str) -> ChunkEncoder:
-    return ChunkEncoder(vocabulary(path))
+    return held(("chunks", path), lambda: ChunkEncoder(Vocabulary(path)))
 
 
 def encoded(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:

@@ -5,7 +5,9 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,6 +77,22 @@ def let_go(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+_HELD: dict = {}
+
+
+def held(name, make: Callable):
+    """What make() gave when it was first asked for under this name in this Python worker, as long as no other name is.
+
+    A worker outlives its tasks and serves one operator after the other, so only one thing stays in it at a time.
+    """
+    if name not in _HELD:
+        _HELD.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        _HELD[name] = make()
+    return _HELD[name]
+
+
 def text_of(name: str = "text") -> Column:
     """The text, a null as the empty text."""
     return F.coalesce(F.col(name), F.lit(""))

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, free, text_of, written
+from .common import components, free, held, text_of, written
 from .shingles import mixed, shingle_sets
 from .vectors import roots, runs
 
@@ -40,6 +40,7 @@ def _first_pass(docs: DataFrame, size: int) -> DataFrame:
     """(doc_id, key, cid, n) of each row, and for each task its counters of shingles (block, counts), in one table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("shingles", object)
         counts = np.zeros(BINS, np.int32)
         names = ["doc_id", "key", "cid", "n", "block", "counts"]
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]

@@ -6,7 +6,6 @@ import math
 import re
 from collections import OrderedDict
 from collections.abc import Iterator
-from functools import lru_cache
 from urllib.parse import unquote
 
 import numpy as np
@@ -16,7 +15,7 @@ from pyarrow import parquet as pq
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import free, text_of, written
+from .common import free, held, text_of, written
 from .shingles import mixed
 
 #: Symbols in an n-gram, bits of a symbol, probabilities in a shard, and bytes of shards that a worker keeps.
@@ -62,25 +61,26 @@ def _counted(rows: DataFrame) -> DataFrame:
     """(gram, c): counts over the texts of the first column, added up in each task before they are shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held("grams", object)
+        waiting, size = [], 0
         total = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
         def add() -> None:
-            nonlocal total, held, size
-            keys, counts = np.unique(np.concatenate(held), return_counts=True)
+            nonlocal total, waiting, size
+            keys, counts = np.unique(np.concatenate(waiting), return_counts=True)
             both, where = np.unique(np.concatenate([total[0], keys]), return_inverse=True)
-            total, held, size = (both, np.bincount(where, np.concatenate([total[1], counts]), len(both)).astype(np.int64)), [], 0
+            total, waiting, size = (both, np.bincount(where, np.concatenate([total[1], counts]), len(both)).astype(np.int64)), [], 0
 
         for batch in batches:
             for text in batch.column(0):
-                held.append(grams(text.as_py()))
-                size += len(held[-1])
+                waiting.append(grams(text.as_py()))
+                size += len(waiting[-1])
                 if size >= GATHER:
                     add()
             if len(total[0]) > GATHER:
                 yield pa.RecordBatch.from_arrays([pa.array(total[0]), pa.array(total[1])], ["gram", "c"])
                 total = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        if held:
+        if waiting:
             add()
         if len(total[0]):
             yield pa.RecordBatch.from_arrays([pa.array(total[0]), pa.array(total[1])], ["gram", "c"])
@@ -186,19 +186,19 @@ class Shards:
         """Bits of n-grams that come in order: a merge of them with each shard that holds some."""
         out = np.zeros(len(kinds))
         cuts = np.append(np.searchsorted(kinds, self.low[1:]), len(kinds)) if len(self.low) else np.zeros(0, np.int64)
-        at = 0
-        for i, end in enumerate(cuts.tolist()):
+        starts = [0, *cuts.tolist()]
+        # Shards at hand first, so that of many shards only those are read again that don't fit.
+        for i in sorted(range(len(cuts)), key=lambda i: i not in self.kept):
+            at, end = starts[i], starts[i + 1]
             if at < end:
                 keys, bits = self.shard(i)
                 place = np.minimum(np.searchsorted(keys, kinds[at:end]), len(keys) - 1)
                 out[at:end] = np.where(keys[place] == kinds[at:end], bits[place], 0.0)
-            at = end
         return out
 
 
-@lru_cache(maxsize=1)
 def _shards(files: tuple[tuple[str, int], ...]) -> Shards:
-    return Shards(list(files))
+    return held(("shards", files), lambda: Shards(list(files)))
 
 
 def _scored(docs: DataFrame, p: DataFrame) -> DataFrame:
@@ -221,7 +221,7 @@ def _scored(docs: DataFrame, p: DataFrame) -> DataFrame:
             first = 0
             while first < len(texts):
                 last, size = first, 0
-                while last < len(texts) and (last == first or size + len(texts[last]) < GATHER // 4):
+                while last < len(texts) and (last == first or size + len(texts[last]) < GATHER // 2):
                     size += len(texts[last])
                     last += 1
                 own = [grams(t) for t in texts[first:last]]
