@@ -43,10 +43,10 @@ def plain(text: str) -> list[str]:
 
 @pytest.mark.parametrize("boundary", ["file", "record"])
 @pytest.mark.parametrize("k", [1, 4, 15, 33])
-@pytest.mark.parametrize("split", [None, 64])
+@pytest.mark.parametrize("split", [None, 200])
 def test_counts(spark, folder, boundary, k, split):
     kept = {n: spark.conf.get(n) for n in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
-    if split:  # blocks of a few lines, so that most windows of 33 letters reach over their ends
+    if split:  # blocks of a few lines, so that many windows of 33 letters reach over their ends
         spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
         spark.conf.set("spark.sql.files.openCostInBytes", "1")
     try:
