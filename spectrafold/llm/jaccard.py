@@ -24,7 +24,7 @@ HOT = 64
 #: Documents and shingles of one block of a large cluster.
 BLOCK_DOCS, BLOCK_SHINGLES = 400, 400_000
 #: Pairs of rows from which a column is multiplied out densely, such columns at once, and pairs added at once.
-DENSE, COLUMNS, PAIRS_AT_ONCE = 640, 4096, 4_000_000
+DENSE, COLUMNS, PAIRS_AT_ONCE = 640, 4096, 1_000_000
 
 
 def _bins(marks: np.ndarray) -> np.ndarray:

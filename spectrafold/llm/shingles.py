@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are fingerprinted together; a longer text goes alone.
-GROUP_BYTES = 1_000_000
+GROUP_BYTES = 250_000
 _STEP, _MIX, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: One number for each shingle length.
 _SALT = np.random.default_rng(20240502).integers(1, 2**62, 64, dtype=np.uint64)
