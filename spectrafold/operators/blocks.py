@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 BLOCK, ENTRIES = 1_024, 200_000
 #: Features that fewer samples of a cell have are added up pair by pair, others by a matrix product of about so many numbers.
 DENSE, NUMBERS = 64, 2_000_000
+#: Distinct weights of features, up to which products are added up before they are weighted: sums of counts are exact until then.
+WEIGHTS = 32
 
 Fields = dict[str, np.ndarray]
 
@@ -78,8 +80,17 @@ class Cell:
         else:
             room += np.bincount(i * len(room) + j, values, room.size).reshape(room.shape)
 
-    def multiply(self, term: str, features: np.ndarray, places: np.ndarray, left: np.ndarray, right: np.ndarray) -> None:
-        """Add the products left x right of all ordered pairs of entries that share a feature; features come in order, from 0."""
+    def weighted(self, term: str, features: np.ndarray, places: np.ndarray, left: np.ndarray, right: np.ndarray, weight: np.ndarray) -> None:
+        """Add the products left x right x weight, which is the same for all entries of a feature."""
+        kinds = np.unique(weight)
+        if len(kinds) > WEIGHTS:
+            return self.multiply(term, features, places, left * weight, right)
+        for kind in kinds:
+            own = weight == kind
+            self.multiply(term, features[own], places[own], left[own], right[own], float(kind))
+
+    def multiply(self, term: str, features: np.ndarray, places: np.ndarray, left: np.ndarray, right: np.ndarray, scale: float = 1.0) -> None:
+        """Add the products left x right, times the scale, of all ordered pairs of entries that share a feature; features come in order."""
         count = np.bincount(features)
         wide = count[features] >= DENSE if len(self.names) > DENSE else count[features] > 1
         if wide.any():
@@ -92,10 +103,10 @@ class Cell:
                 one, two = np.zeros((step, n)), np.zeros((step, n))
                 one[at[low:high] - start, where[low:high]] = a[low:high]
                 two[at[low:high] - start, where[low:high]] = b[low:high]
-                room[:n, :n] += one.T @ two
+                room[:n, :n] += scale * (one.T @ two)
         for i, j in _pairs(np.where(wide | (count[features] < 2), -1, features)):
-            self.add(term, places[i], places[j], left[i] * right[j])
-            self.add(term, places[j], places[i], left[j] * right[i])
+            self.add(term, places[i], places[j], left[i] * right[j] * scale)
+            self.add(term, places[j], places[i], left[j] * right[i] * scale)
 
     def rows(self) -> tuple[list[str], np.ndarray, np.ndarray]:
         """(names in order, places in it, pairs of places i < j that the cell is for)."""
@@ -184,17 +195,20 @@ def _sums(values: DataFrame, samples: DataFrame, fields: list[str], by: tuple[st
     return parts.groupBy(*names[: -len(terms)]).agg(*(F.sum(t).alias(t) for t in terms))
 
 
-def product_sums(values: DataFrame, samples: DataFrame, left: str, right: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """(*by, i, j, ij, ji) for i < j: sums of left of i times right of j, and of right of i times left of j.
+def product_sums(values: DataFrame, samples: DataFrame, left: str, right: str, by: tuple[str, ...] = (), weight: str | None = None) -> DataFrame:
+    """(*by, i, j, ij, ji) for i < j: sums of left of i times right of j, and of right of i times left of j, times the feature's weight if one is named.
 
-    values: (*by, feature, sample, left, right), one row for a sample and feature. samples: any rows whose `sample` is each of
+    values: (*by, feature, sample, left, right[, weight]), one row for a sample and feature. samples: any rows whose `sample` is each of
     theirs; they are only counted.
     """
 
     def add(cell: Cell, features: np.ndarray, places: np.ndarray, own: dict[str, pa.Array]) -> None:
-        cell.multiply("s", features, places, own[left].to_numpy(), own[right].to_numpy())
+        if weight:
+            cell.weighted("s", features, places, own[left].to_numpy(), own[right].to_numpy(), own[weight].to_numpy())
+        else:
+            cell.multiply("s", features, places, own[left].to_numpy(), own[right].to_numpy())
 
-    return _sums(values, samples, [left, right] if left != right else [left], by, add, lambda cell, t: cell.room("s") if t == "ij" else cell.room("s").T, ["ij", "ji"])
+    return _sums(values, samples, list(dict.fromkeys([left, right] + ([weight] if weight else []))), by, add, lambda cell, t: cell.room("s") if t == "ij" else cell.room("s").T, ["ij", "ji"])
 
 
 def pair_sums(values: DataFrame, samples: DataFrame, fields: list[str], terms: Callable[[Fields, Fields], Fields], names: list[str]) -> DataFrame:

@@ -293,7 +293,7 @@ def kwip_kernel(counts: DataFrame) -> DataFrame:
     """(sample_i, sample_j, kernel) for i <= j: sum of c_i c_j h over features with entropy above 0."""
     entropy = entropy_weights(counts).where("h > 0").select("feature", (F.col("h") * F.col("many")).alias("h"))
     heavy = counts.select("sample", "feature", "c").join(entropy, "feature").select("feature", "sample", F.col("c").cast("double").alias("c"), "h")
-    meet = product_sums(heavy.select("feature", "sample", (F.col("c") * F.col("h")).alias("ch"), "c"), counts, "ch", "c").select("i", "j", F.col("ij").alias("kernel"))
+    meet = product_sums(heavy, counts, "c", "c", weight="h").select("i", "j", F.col("ij").alias("kernel"))
     names = counts.select("sample").distinct()
     across = every_pair(names, []).join(meet, ["i", "j"], "left")
     own = names.join(heavy.groupBy("sample").agg(F.sum(F.col("c") * F.col("c") * F.col("h")).alias("kernel")), "sample", "left")
@@ -301,19 +301,19 @@ def kwip_kernel(counts: DataFrame) -> DataFrame:
     return both.select(F.col("i").alias("sample_i"), F.col("j").alias("sample_j"), F.coalesce("kernel", F.lit(0.0)).alias("kernel"))
 
 
-def normalised_kernel(kernel: DataFrame) -> DataFrame:
-    """(sample_i, sample_j, s) for i < j: kernel over the root of both samples' own, 0 where that is 0, within [-1, 1]."""
+def normalised_kernel(kernel: DataFrame, empty: float = 0.0) -> DataFrame:
+    """(sample_i, sample_j, s) for i < j: kernel over the root of both samples' own, `empty` where that is 0, within [-1, 1]."""
     own = kernel.where("sample_i = sample_j")
     i, j = own.select("sample_i", F.col("kernel").alias("_a")), own.select("sample_j", F.col("kernel").alias("_b"))
     both = kernel.where("sample_i < sample_j").join(i, "sample_i").join(j, "sample_j")
     norm = F.sqrt(F.col("_a") * F.col("_b"))
-    s = F.when(norm > 0, F.col("kernel") / F.nullif(norm, F.lit(0.0))).otherwise(0.0)
+    s = F.when(norm > 0, F.col("kernel") / F.nullif(norm, F.lit(0.0))).otherwise(float(empty))
     return both.select("sample_i", "sample_j", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), s)).alias("s"))
 
 
-def kwip_distance(kernel: DataFrame) -> DataFrame:
-    """sqrt(2 - 2 s) of the normalised kernel."""
-    return normalised_kernel(kernel).select("sample_i", "sample_j", F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("s"))).alias("d"))
+def kwip_distance(kernel: DataFrame, empty: float = 0.0) -> DataFrame:
+    """sqrt(2 - 2 s) of the normalised kernel; `empty` is the s of a pair of which a sample has no weighted feature."""
+    return normalised_kernel(kernel, empty).select("sample_i", "sample_j", F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("s"))).alias("d"))
 
 
 def nearest(pairs: DataFrame, n: int = 1) -> DataFrame:

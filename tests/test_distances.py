@@ -261,3 +261,15 @@ def test_sweep_of_several_kinds_is_each_alone(spark):
     assert math.isnan(sweep.kl_sweep(counts, one, configs[:1]).first()["silhouette"])
     with pytest.raises(ValueError):
         sweep.kl_sweep(counts, labels, [Config(alpha=0.0)])
+
+
+def test_kwip_of_one_weighted_feature(spark):
+    n = {"a": 10_007, "b": 10_009, "c": 20_011, "d": 0}
+    rows = [(s, "all", 5) for s in n] + [(s, "one", c) for s, c in n.items() if c]
+    counts = spark.createDataFrame(rows, "sample string, feature string, c long")
+    h = -0.75 * math.log2(0.75) - 0.25 * math.log2(0.25)
+    kernel = {(r["sample_i"], r["sample_j"]): r["kernel"] for r in D.kwip_kernel(counts).collect()}
+    assert all(v == n[i] * n[j] * kernel["a", "a"] / n["a"] ** 2 or math.isclose(v, n[i] * n[j] * h, rel_tol=1e-15) for (i, j), v in kernel.items())
+    for empty, far in ((0.0, math.sqrt(2)), (1.0, 0.0)):
+        d = {(r["sample_i"], r["sample_j"]): r["d"] for r in D.kwip_distance(D.kwip_kernel(counts), empty).collect()}
+        assert all(d[p, "d"] == far for p in "abc")
