@@ -15,8 +15,8 @@ from ..sources import fasta
 from . import superkmers
 from .superkmers import CODE, codes, spelled
 
-#: Windows that are counted at once in numpy.
-PIECE = 1_000_000
+#: Windows that are counted at once in numpy, and pieces whose counts are passed on together.
+PIECE, TOGETHER = 1_000_000, 64
 
 
 def exploded(rows: DataFrame, sequence: str, k: int, *, size: int = 256) -> DataFrame:
@@ -146,6 +146,34 @@ def pieces_of(row: tuple, ks: list[int]) -> Iterator[tuple[int, bytes]]:
                 yield k, data[at : at + PIECE + k - 1]
 
 
+def pieces(batches: Iterator[pa.RecordBatch], ks: list[int]) -> Iterator[tuple[str | None, int, bytes]]:
+    """(sample, k, piece) of rows (sample, sequence, seen, only): short sequences of a sample are joined to pieces of up to PIECE letters.
+
+    What joins them is an N, which no k-mer holds, so that no window reaches from one sequence into another.
+    """
+    held: dict[str | None, list[bytes]] = {}
+    size = 0
+
+    def told() -> Iterator[tuple[str | None, int, bytes]]:
+        for sample, parts in held.items():
+            data = b"N".join(parts)
+            yield from ((sample, k, data) for k in ks)
+
+    for batch in batches:
+        for row in zip(batch.column(0).to_pylist(), batch.column(1), *(c.to_pylist() for c in batch.columns[2:]), strict=True):
+            sample, sequence, seen, only = row
+            data = (sequence.as_py() or "").encode("ascii", "replace")
+            if seen or only is not None or len(data) > PIECE:
+                yield from ((sample, k, piece) for k, piece in pieces_of(row, ks))
+                continue
+            held.setdefault(sample, []).append(data)
+            size += len(data) + 1
+            if size >= PIECE:
+                yield from told()
+                held, size = {}, 0
+    yield from told()
+
+
 def fast_counts(sequences: DataFrame, k: int, *, validity: str = "acgt", canonical: bool = False) -> DataFrame:
     """counts(sample, feature, c) from (sample, sequence): counted piece by piece in numpy, then added up by Spark."""
     return grid_counts(sequences, [k], validity=validity, canonical=canonical).select("sample", "feature", "c")
@@ -164,12 +192,16 @@ def grid_counts(sequences: DataFrame, ks: list[int], *, validity: str = "acgt",
     plain = [k for k in ks if k not in packed]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in zip(batch.column(0).to_pylist(), batch.column(1), *(c.to_pylist() for c in batch.columns[2:]), strict=True):
-                for k, piece in pieces_of(row, plain):
-                    kinds, counts = window_counts(piece, k, validity, canonical)
-                    if len(kinds):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(kinds), k, np.int32)), pa.array([row[0]] * len(kinds), pa.string()), pa.array(kinds.astype(str), pa.string()), pa.array(counts, pa.int64())], ["k", "sample", "feature", "c"])
+        held: list[pa.RecordBatch] = []
+        for sample, k, piece in pieces(batches, plain):
+            kinds, counts = window_counts(piece, k, validity, canonical)
+            if len(kinds):
+                held.append(pa.RecordBatch.from_arrays([pa.array(np.full(len(kinds), k, np.int32)), pa.array([sample] * len(kinds), pa.string()), pa.array(kinds.astype(str), pa.string()), pa.array(counts, pa.int64())], ["k", "sample", "feature", "c"]))
+            if len(held) >= TOGETHER:
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                held = []
+        if held:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
     out = superkmers.counts(rows, packed, canonical) if packed else None
     if plain:

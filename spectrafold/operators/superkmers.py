@@ -101,19 +101,17 @@ def unpacked(lengths: bytes, bases: bytes, k: int, canonical: bool) -> np.ndarra
 
 def shuffled(rows: DataFrame, ks: list[int], canonical: bool) -> DataFrame:
     """(k, bucket, sample, lengths, bases): the super-k-mers of (sample, sequence, seen, only)."""
-    from .kmers import pieces_of
+    from .kmers import pieces
 
     buckets = BUCKETS * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in zip(batch.column(0).to_pylist(), batch.column(1), *(c.to_pylist() for c in batch.columns[2:]), strict=True):
-                for k, piece in pieces_of(row, ks):
-                    found = list(packed(piece, k, buckets, canonical))
-                    if found:
-                        bucket, lengths, bases = zip(*found, strict=True)
-                        n = len(found)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, k, np.int32)), pa.array(bucket, pa.int32()), pa.array([row[0]] * n, pa.string()), pa.array(lengths, pa.binary()), pa.array(bases, pa.binary())], ["k", "bucket", "sample", "lengths", "bases"])
+        for sample, k, piece in pieces(batches, ks):
+            found = list(packed(piece, k, buckets, canonical))
+            if found:
+                bucket, lengths, bases = zip(*found, strict=True)
+                n = len(found)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, k, np.int32)), pa.array(bucket, pa.int32()), pa.array([sample] * n, pa.string()), pa.array(lengths, pa.binary()), pa.array(bases, pa.binary())], ["k", "bucket", "sample", "lengths", "bases"])
 
     return rows.mapInArrow(run, "k int, bucket int, sample string, lengths binary, bases binary")
 

@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 
 from spectrafold.config import Config
@@ -105,3 +106,14 @@ def test_unknown_labels_are_not_scored(spark):
         row = runs.overall_row(counts, pairs, labels, "kl", Config()).first()
         assert (row["silhouette"] != row["silhouette"]) == unknown and row["negative"] == 1
         assert unknown or row["named_silhouette"] == row["silhouette"] > 0.5
+
+
+def test_short_sequences_are_counted_together():
+    rows = [("ab"[i % 2], "ACGTA" * 3, 0, None) for i in range(1000)]
+    kinds = pa.schema([("sample", pa.string()), ("sequence", pa.string()), ("seen", pa.int32()), ("only", pa.int32())])
+    batch = pa.RecordBatch.from_pylist([dict(zip(kinds.names, r, strict=True)) for r in rows], kinds)
+    found = list(kmers.pieces(iter([batch]), [3, 5]))
+    assert [(s, k) for s, k, _ in found] == [("a", 3), ("a", 5), ("b", 3), ("b", 5)]
+    for validity in ("acgt", "no_n"):
+        for _, k, piece in found:
+            assert kmers.window_counts(piece, k, validity, False)[1].sum() == 500 * (15 - k + 1)
