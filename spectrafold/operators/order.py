@@ -7,29 +7,25 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a range, keys that are looked at for each border, ranges at most, and bins of one pass over the values.
-RANGE, LOOKED_AT, RANGES, BINS = 100_000, 16, 4_096, 1_024
+from ..plans.shared import written
+
+#: Rows of a range, ranges at most, and bins of one pass over the values.
+RANGE, RANGES, BINS = 100_000, 4_096, 1_024
 
 
 def ranked(rows: DataFrame, keys: list[Column], name: str = "place", size: int = RANGE) -> DataFrame:
     """The rows with their place, from 1, in the order of the keys; rows with equal keys follow in any order.
 
-    Borders of ranges are taken from a sample of the keys, by hash, so that they are the same each time. A row's place is
-    its place in its range, plus the rows of the ranges before it. Nulls come first. The sample, and a row for each range,
-    are what reaches the driver: at most RANGES x LOOKED_AT x 2 keys.
+    Spark deals the rows to ranges of the keys, which are written once, so that a row stays in its range. A row's place is
+    its place in its range, plus the rows of the ranges before it. Nulls come first. A row for each range is what reaches the
+    driver. Ranges of fewer than RANGE rows are made only as far as they keep tasks busy.
     """
     keyed = rows.withColumn("_key", F.struct(*(k.alias(f"k{i}") for i, k in enumerate(keys))))
     total = rows.count()
-    ranges = min(RANGES, max(1, math.ceil(total / size)))
+    tasks = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = min(RANGES, max(1, math.ceil(total / size)), max(tasks, math.ceil(total / RANGE)))
     if ranges > 1:
-        every = max(1, total // (ranges * LOOKED_AT))
-        seen = keyed.select("_key").where(F.pmod(F.xxhash64("_key"), F.lit(every)) == 0).distinct()
-        borders = seen.orderBy("_key").limit(2 * RANGES * LOOKED_AT).withColumn("_n", F.monotonically_increasing_id())
-        found = borders.select("_key").collect()
-        step = max(1, len(found) // ranges)
-        picked = rows.sparkSession.createDataFrame(found[step::step], borders.select("_key").schema)
-        listed = picked.agg(F.array_sort(F.collect_list("_key")).alias("_borders"))
-        keyed = keyed.crossJoin(F.broadcast(listed)).withColumn("_range", _upto(F.col("_borders"), F.col("_key"))).drop("_borders")
+        keyed = written(keyed.repartitionByRange(ranges, "_key").withColumn("_range", F.spark_partition_id()), "ranges")
     else:
         keyed = keyed.withColumn("_range", F.lit(0))
     before, starts = 0, []
@@ -42,19 +38,6 @@ def ranked(rows: DataFrame, keys: list[Column], name: str = "place", size: int =
     return placed.select(*rows.columns, name)
 
 
-def _upto(borders: Column, key: Column) -> Column:
-    """How many of the sorted borders are not above the key, found by halving."""
-    at = F.struct(F.lit(0).alias("low"), F.size(borders).alias("high"))
-
-    def halve(s: Column, _: Column) -> Column:
-        mid = F.floor((s["low"] + s["high"]) / 2).cast("int")
-        above = (s["low"] >= s["high"]) | (F.get(borders, mid) > key)
-        return F.struct(F.when(above, s["low"]).otherwise(mid + 1).alias("low"), F.when(above, F.when(s["low"] >= s["high"], s["high"]).otherwise(mid)).otherwise(s["high"]).alias("high"))
-
-    steps = math.ceil(math.log2(RANGES)) + 1
-    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), at, halve)["low"]
-
-
 def quantiles(rows: DataFrame, value: str, shares: list[float]) -> list[float | None]:
     """Exact quantiles of a number, by linear interpolation between the two values around each; null and NaN don't count.
 

@@ -57,3 +57,8 @@ def test_quantiles(spark, kind, monkeypatch):
         assert v == (a if a == b else a + (b - a) * (at - math.floor(at)))
     assert O.quantiles(df.limit(0), "x", [0.5]) == [None]
     assert A.describe(df.where("not isnan(x)"), "x").first()["median"] == got[2]
+
+
+def test_no_row_carries_the_borders(spark):
+    ranked = O.ranked(spark.range(3000).select((F.col("id") * 7 % 3001).alias("x")), [F.col("x")], size=100)
+    assert "NestedLoop" not in ranked._jdf.queryExecution().executedPlan().toString()
