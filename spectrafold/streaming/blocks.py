@@ -14,6 +14,8 @@ from ..operators.kmers import fast_counts
 
 #: What a block holds that came too late, or a second time: it is told apart, not dropped unseen.
 LATE = "late"
+#: States that records are dealt to; it must stay the same for a checkpoint.
+BUCKETS = 4_096
 
 
 def joined_blocks(blocks: DataFrame, k: int) -> DataFrame:
@@ -24,28 +26,38 @@ def joined_blocks(blocks: DataFrame, k: int) -> DataFrame:
     passed on with the letters before it that windows of length k reach back to, so that over all pieces each window of a
     record comes once; its status is 'joined'. A block whose number was joined before has the status 'late' and an empty
     piece: repeated blocks count once.
+
+    Records are dealt to BUCKETS by hash; the records of a bucket are one state, as a call for each record takes far longer
+    than its work.
     """
 
-    def join(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        tail, turn, numbers, texts = state.get if state.exists else ("", 0, [], [])
-        waiting = dict(zip(numbers, texts, strict=True))
-        late = []
+    def join(_: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        samples, records, tails, turns, owners, numbers, texts = state.get if state.exists else ([],) * 7
+        known = {key: [tail, turn, {}] for *key, tail, turn in zip(samples, records, tails, turns, strict=True) for key in [tuple(key)]}
+        listed = list(known)
+        for owner, number, text in zip(owners, numbers, texts, strict=True):
+            known[listed[owner]][2][number] = text
+        touched, out = {}, []
         for frame in frames:
-            for number, letters in zip(frame["block_no"], frame["letters"], strict=True):
-                if number < turn or number in waiting:
-                    late.append(int(number))
+            for sample, record, number, letters in zip(frame["sample"], frame["record"], frame["block_no"], frame["letters"], strict=True):
+                key = (sample, None if pd.isna(record) else int(record))
+                own = touched[key] = known.setdefault(key, ["", 0, {}])
+                if number < own[1] or number in own[2]:
+                    out.append((*key, int(number), "", LATE))
                 else:
-                    waiting[int(number)] = letters or ""
-        out = [(*key, n, "", LATE) for n in late]
-        while turn in waiting:
-            piece = tail + waiting.pop(turn)
-            out.append((*key, turn, piece, "joined"))
-            tail, turn = piece[-(k - 1) :] if k > 1 else "", turn + 1
-        state.update((tail, turn, list(waiting), list(waiting.values())))
+                    own[2][int(number)] = letters or ""
+        for key, own in touched.items():
+            while own[1] in own[2]:
+                piece = own[0] + own[2].pop(own[1])
+                out.append((*key, own[1], piece, "joined"))
+                own[0], own[1] = piece[-(k - 1) :] if k > 1 else "", own[1] + 1
+        waiting = [(i, n, text) for i, own in enumerate(known.values()) for n, text in own[2].items()]
+        state.update(([key[0] for key in known], [key[1] for key in known], [own[0] for own in known.values()], [own[1] for own in known.values()], *([w[i] for w in waiting] for i in range(3))))
         yield pd.DataFrame(out, columns=["sample", "record", "block_no", "piece", "status"])
 
-    state = "tail string, turn long, numbers array<long>, texts array<string>"
-    return blocks.select("sample", "record", "block_no", "letters").groupBy("sample", "record").applyInPandasWithState(join, "sample string, record long, block_no long, piece string, status string", state, "append", GroupStateTimeout.NoTimeout)
+    state = "samples array<string>, records array<long>, tails array<string>, turns array<long>, owners array<int>, numbers array<long>, texts array<string>"
+    dealt = blocks.select("sample", "record", "block_no", "letters", F.pmod(F.xxhash64("sample", "record"), F.lit(BUCKETS)).alias("bucket"))
+    return dealt.groupBy("bucket").applyInPandasWithState(join, "sample string, record long, block_no long, piece string, status string", state, "append", GroupStateTimeout.NoTimeout)
 
 
 def numbered_blocks(files: DataFrame, size: int) -> DataFrame:

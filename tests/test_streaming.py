@@ -62,3 +62,8 @@ def test_events_beyond_the_watermark_are_left_out(spark, tmp_path):
     got = {(r["window"]["start"].hour, r["sample"], r["feature"], r["c"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     # The event of 2 o'clock came when its window had been closed; that of half past eleven came in time.
     assert got == {(0, "u", "x", 1), (6, "u", "x", 1), (12, "u", "x", 1), (12, "v", "y", 1)}
+
+
+def test_records_share_states(spark):
+    rows = spark.range(8).select(F.lit("s").alias("sample"), "id", F.lit(0).alias("block_no"), F.lit("ACGT").alias("letters")).withColumnRenamed("id", "record")
+    assert "bucket" in B.joined_blocks(rows, 3)._jdf.queryExecution().analyzed().toString()
