@@ -32,9 +32,11 @@ def write_csv(rows: DataFrame, path: str, decimals: dict[str, str] | None = None
 
 def write_matrix(pairs: DataFrame, path: str, form: str = "%.8e", separator: str = " ") -> None:
     """A matrix as lines of numbers, one file, samples in order of names."""
+    pairs = pairs.persist()  # the matrix reads them several times, and its columns are found first
     table = wide(pairs)
     numbers = [F.format_string(form, F.col(f"`{c}`")) for c in table.columns[1:]]
     table.coalesce(1).sortWithinPartitions("sample").select(F.concat_ws(separator, *numbers).alias("value")).write.mode("overwrite").text(path)
+    pairs.unpersist()
 
 
 def upsert(rows: DataFrame, path: str, key: list[str], buckets: int = 16) -> None:

@@ -93,3 +93,17 @@ def test_options():
     assert [(c.beta, c.cap_weight) for c in cli.configs(args)] == [(1.0, 5.0), (2.0, 5.0)]
     with pytest.raises(ValueError):
         cli.configs(cli.parser().parse_args(["kl", "x", "--out", "y", "--weight", "inverse"]))
+
+
+def test_matrix_makes_its_pairs_once(spark, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    pairs = spark.createDataFrame([("a", "b", 1.0), ("a", "c", 2.0), ("b", "c", 3.0)], "sample_i string, sample_j string, d double").mapInArrow(run, "sample_i string, sample_j string, d double")
+    sinks.write_matrix(pairs, f"{tmp_path}/m", "%.1f")
+    assert [r[0] for r in spark.read.text(f"{tmp_path}/m").collect()] == ["0.0 1.0 2.0", "1.0 0.0 3.0", "2.0 3.0 0.0"]
+    assert made.value == 3
