@@ -87,3 +87,22 @@ def test_tables_of_numbers_take_little_memory():
     _, peak = tracemalloc.get_traced_memory()
     tracemalloc.stop()
     assert peak < 150_000_000
+
+
+def test_both_directions_take_one_step_together(monkeypatch):
+    """A place takes two calls for all its gates and cells, and scores are those of the plain model."""
+    model = pii.trained(60)
+    rows = np.random.default_rng(3).integers(0, pii.CLASSES - 1, (40, 70)).astype(np.uint8)
+    calls = []
+    for name in ("exp", "tanh"):
+        monkeypatch.setattr(np, name, lambda *a, f=getattr(np, name), **b: (calls.append(1), f(*a, **b))[1])
+    total, above = pii.Reader(model).scores(rows)
+    assert len(calls) == 2 * len(rows)
+    monkeypatch.undo()
+    right, _ = model.scores(rows.T.astype(np.int64))
+    assert np.abs(total - right).max() < 1e-3
+    assert np.abs(above - (right[:, :, 1:].max(2) - right[:, :, 0])).max() < 1e-3
+    rows[20] = pii.CLASSES - 1  # where a window ends, both directions start afresh
+    parts = [pii.Reader(model).scores(np.ascontiguousarray(x))[0] for x in (rows[:20], rows[21:])]
+    cut = pii.Reader(model).scores(rows)[0]
+    assert np.abs(cut[:, :20] - parts[0]).max() < 1e-4 and np.abs(cut[:, 21:] - parts[1]).max() < 1e-4
