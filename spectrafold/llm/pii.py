@@ -262,7 +262,6 @@ class Reader:
             step[: 3 * h, -1], step[3 * h :, -1] = SHUT, 0
         self.out = np.ascontiguousarray(np.concatenate([p["out"], p["bias"][None]]).T.astype(np.float32))
         self.move = p["move"]
-        self.room = np.zeros(0, np.float32)  # for the states of all places, taken once
         m = self.move
         # The most that the moves of a stretch of other tags gain over staying outside: each step in it, on entering, on leaving.
         self.inside, self.enter, self.leave = m[1:, 1:].max() - m[0, 0], m[0, 1:].max() - m[0, 0], m[1:, 0].max() - m[0, 0]
@@ -281,10 +280,7 @@ class Reader:
         # The two directions stand side by side, so that one call does a step of each: places from the first on, and from the last back.
         sides = np.full((t, 2 * n), CLASSES - 1, np.uint8)
         sides[:, :many], sides[:, n : n + many] = rows, rows[::-1]
-        room = t * (2 * h + 1) * n
-        if len(self.room) < room:
-            self.room = np.empty(room, np.float32)
-        seen = self.room[:room].reshape(t, 2 * h + 1, n)
+        seen = np.empty((t, 2 * h + 1, n), np.float32)
         seen[:, 2 * h] = 1  # for the bias
         state, cell, part = np.zeros((h + CLASSES, 2 * n), np.float32), np.zeros((h, 2 * n), np.float32), np.empty((h, 2 * n), np.float32)
         z = np.empty((4 * h, 2 * n), np.float32)
