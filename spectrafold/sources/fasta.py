@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,6 +15,11 @@ from ..functions.sequence import clean, sample_name
 #: Suffixes of sequence files, plain or gzipped.
 SUFFIXES = "*.{fa,fasta,fna,fas,fa.gz,fasta.gz,fna.gz,fas.gz}"
 
+#: White space, and of ASCII: which letters are that, and all in upper case.
+WHITE = re.compile(r"\s+")
+BLANK = np.array([chr(i).isspace() for i in range(128)])
+UPPER = np.frombuffer(bytes(range(128)).upper(), np.uint8)
+
 
 def read_files(spark: SparkSession, path: str, glob: str = SUFFIXES) -> DataFrame:
     """(sample, file, text): one row a file, for sequences whose records are joined. Gzipped files are read alike; an empty file has no row."""
@@ -57,71 +63,111 @@ def read_pieces(spark: SparkSession, path: str, k: int, boundary: str = "file",
     return read_pieces_for(spark, path, [k], boundary, glob, size).select("sample", "sequence")
 
 
+def letters_of(lines: pa.Array, boundary: str) -> str:
+    """The letters of lines in upper case, without white space and headers; with boundary "record", each header is an N.
+
+    Lines of ASCII are taken together in numpy, others one by one.
+    """
+    wide = lines.cast(pa.large_string())
+    at = np.frombuffer(wide.buffers()[1], np.int64)[wide.offset : wide.offset + len(wide) + 1]
+    if not len(wide) or at[-1] == at[0]:
+        return ""
+    data, at = np.frombuffer(wide.buffers()[2], np.uint8)[at[0] : at[-1]], at - at[0]
+    mark = "N" if boundary == "record" else ""
+    if data.max() > 127:
+        plain = (WHITE.sub("", line).upper() for line in lines.to_pylist())
+        return "".join(mark if line.startswith(">") else line for line in plain)
+    dark = ~BLANK[data]
+    if not dark.all():
+        data, at = data[dark], np.concatenate([[0], np.cumsum(dark)])[at]
+    data, first, size = UPPER[data], at[:-1], np.diff(at)
+    first, size = first[size > 0], size[size > 0]
+    header = data[first] == ord(">")
+    if header.any():
+        kept = np.repeat(~header, size)
+        if mark:
+            data[first[header]], kept[first[header]] = ord(mark), True
+        data = data[kept]
+    return data.tobytes().decode("ascii")
+
+
 def read_pieces_for(spark: SparkSession, path: str, ks: list[int], boundary: str = "file", glob: str = SUFFIXES, size: int = 1_000_000) -> DataFrame:
     """(sample, sequence, seen, only): pieces that hold the windows of the sequences for several lengths of window, of files of any size.
 
     The windows of length k that a piece stands for are those that reach beyond its first `seen` letters; a piece with `only`
-    has windows of that length alone. Over all pieces, each window of each length comes once.
+    has windows of that length alone. Over all pieces, each window of each length comes once. With boundary "record", an N
+    stands for each header: no k-mer holds one, so none reaches over it, and short records share a piece.
 
     Files are read line by line and split between tasks. A task cuts what it reads to pieces of about `size` letters that
     overlap by one less than the longest window; of each block of a file, its last letters and the first ones of the blocks
-    after it make one more piece for each length. With boundary "record", no piece reaches over a header.
+    after it make one more piece for each length. For these, files that can be split are read a second time.
     """
     most, least = max(ks), min(ks)
     rows = spark.read.text(path, pathGlobFilter=glob)
     rows = rows.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
-    white = re.compile(r"\s+")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.schema([("file", pa.string()), ("block", pa.int64()), ("sequence", pa.string()), ("seen", pa.int32()), ("head", pa.string()), ("tail", pa.string()), ("cut", pa.bool_())])
-        key, held, letters, seen, head, cut, out = None, [], 0, 0, "", False, []
-
-        def shut(whole: bool) -> None:
-            """Pass on what is held, and keep its last most - 1 letters unless it is whole."""
-            nonlocal held, letters, seen
-            run = "".join(held)
-            new = len(run) >= least and len(run) > seen
-            if new:
-                out.append((*key, run, seen, None, None, None))
-            held = [] if whole or most == 1 else [run[-(most - 1) :]]
-            letters = sum(map(len, held))
-            seen = letters if new else min(seen, letters)
-
-        def done() -> None:
-            shut(False)
-            out.append((*key, None, None, head, "".join(held), cut))
-
-        for batch in batches:
-            for file, block, line in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (file, block) != key:
-                    if key:
-                        done()
-                    key, held, letters, seen, head, cut = (file, block), [], 0, 0, "", False
-                line = white.sub("", line).upper()
-                if line.startswith(">"):
-                    if boundary == "record":
-                        shut(True)
-                        cut = True
-                elif line:
-                    if not cut and len(head) < most - 1:
-                        head = (head + line)[: most - 1]
-                    held.append(line)
-                    letters += len(line)
-                    if letters >= size + most:
-                        shut(False)
-            if out:
-                yield pa.RecordBatch.from_pylist([dict(zip(kind.names, r, strict=True)) for r in out], kind)
+    names = ["file", "block", "sequence", "seen", "head", "tail"]
+
+    def reader(edges: bool):
+        """Tells the pieces of each block of a file, or its edges."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            key, held, letters, seen, head, out = None, [], 0, 0, "", []
+
+            def take(text: str) -> None:
+                nonlocal held, letters, seen, head
+                head += text[: most - 1 - len(head)]
+                held.append(text)
+                letters += len(text)
+                if letters < size + most:
+                    return
+                run, at = "".join(held), 0
+                while len(run) - at >= size + most:
+                    if not edges:
+                        out.append((*key, run[at : at + size + most - 1], seen, None, None))
+                    at, seen = at + size, most - 1
+                held, letters = [run[at:]], len(run) - at
+
+            def done() -> None:
+                run = "".join(held)
+                if edges:
+                    out.append((*key, None, None, head, run[len(run) - min(len(run), most - 1) :]))
+                elif len(run) >= least and len(run) > seen:
+                    out.append((*key, run, seen, None, None))
+
+            def told() -> pa.RecordBatch:
+                columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.int64(), pa.string(), pa.int32(), pa.string(), pa.string()), strict=True)]
                 out.clear()
-        if key:
-            done()
-            yield pa.RecordBatch.from_pylist([dict(zip(kind.names, r, strict=True)) for r in out], kind)
-
-    read = rows.mapInArrow(run, "file string, block long, sequence string, seen int, head string, tail string, cut boolean")
-    inner = read.where("sequence is not null").select("file", "sequence", "seen", F.lit(None).cast("int").alias("only"))
+                return pa.RecordBatch.from_arrays(columns, names)
+
+            for batch in batches:
+                if not len(batch):
+                    continue
+                files = batch.column(0).dictionary_encode()
+                which, block = files.indices.to_numpy(), batch.column(1).to_numpy()
+                cuts = np.flatnonzero((np.diff(which) != 0) | (np.diff(block) != 0)) + 1
+                for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(batch)], strict=True):
+                    own = files.dictionary[int(which[a])].as_py(), int(block[a])
+                    if own != key:
+                        if key:
+                            done()
+                        key, held, letters, seen, head = own, [], 0, 0, ""
+                    take(letters_of(batch.column(2).slice(a, b - a), boundary))
+                if out:
+                    yield told()
+            if key:
+                done()
+                if out:
+                    yield told()
+
+        return run
+
+    schema = "file string, block long, sequence string, seen int, head string, tail string"
+    inner = rows.mapInArrow(reader(False), schema).select("file", "sequence", "seen", F.lit(None).cast("int").alias("only"))
+    # A gzipped file is one block, which has no seam: these files are left out before they are read.
+    split = rows.where(~F.col("file").endswith(".gz")).mapInArrow(reader(True), schema)
     after = Window.partitionBy("file").orderBy("block").rowsBetween(1, most)  # a row a block of a file
-    nexts = F.aggregate("nexts", F.struct(F.lit("").alias("text"), F.lit(True).alias("open")), lambda s, x: F.struct(F.when(s["open"], F.concat(s["text"], x["head"])).otherwise(s["text"]).alias("text"), (s["open"] & ~x["cut"]).alias("open")))
-    seams = read.where("head is not null").withColumn("nexts", F.collect_list(F.struct("head", "cut")).over(after))
-    seams = seams.select("file", "tail", nexts["text"].alias("text"), F.explode(F.array(*map(F.lit, ks))).alias("only"))
+    seams = split.withColumn("text", F.array_join(F.collect_list("head").over(after), ""))
+    seams = seams.select("file", "tail", "text", F.explode(F.array(*map(F.lit, ks))).alias("only"))
     short = F.col("only") - 1
     seams = seams.select("file", F.concat(F.right("tail", short), F.left("text", short)).alias("sequence"), F.lit(0).alias("seen"), "only").where(F.length("sequence") >= F.col("only"))
     return inner.unionByName(seams).select(sample_name(F.url_decode("file")).alias("sample"), "sequence", "seen", "only")

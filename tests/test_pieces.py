@@ -1,6 +1,8 @@
 """Sequence files are read alike whole and in pieces, with and without headers."""
 
+import gzip
 import random
+import re
 
 import pyarrow as pa
 import pytest
@@ -96,6 +98,21 @@ def test_all_lengths_in_one_scan(spark, folder, boundary, split):
             spark.conf.set(n, v)
 
 
+@pytest.mark.parametrize("packed", [False, True])
+def test_short_records_share_a_piece(spark, tmp_path, packed):
+    text = "".join(f">r{i}\nacgTN\n\nAC GT\u00e4{'T' * (i % 3)}\n" for i in range(1000)) + ">last\nACGTACGT"
+    data = text.encode()
+    (tmp_path / ("a.fa.gz" if packed else "a.fa")).write_bytes(gzip.compress(data) if packed else data)
+    pieces = fasta.read_pieces_for(spark, str(tmp_path), [3, 5], "record")
+    assert pieces.count() == 1
+    got = {(r["k"], r["feature"]): r["c"] for r in kmers.grid_counts(pieces, [3, 5], validity="no_n").collect()}
+    own = [r.replace("\u00c4", "?") for r in plain(text)]
+    assert got == {(k, w): c for k in (3, 5) for w, c in counted(own, k, lambda w: "N" not in w).items()}
+    # A gzipped file has no seams: it is read once.
+    scans = re.findall("PushedFilters|EndsWith", pieces._jdf.queryExecution().executedPlan().toString())
+    assert "EndsWith" in scans
+
+
 def test_unknown_labels_are_not_scored(spark):
     pairs = spark.createDataFrame([("a", "b", 0.1), ("a", "c", 0.9), ("a", "d", 0.8), ("b", "c", 0.7), ("b", "d", 0.9), ("c", "d", -0.2)], "sample_i string, sample_j string, d double")
     counts = spark.createDataFrame([(s, f, 1) for s in "abcd" for f in "xy"], "sample string, feature string, c long")
