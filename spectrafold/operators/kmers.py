@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -146,6 +147,17 @@ def pieces_of(row: tuple, ks: list[int]) -> Iterator[tuple[int, bytes]]:
                 yield k, data[at : at + PIECE + k - 1]
 
 
+def joined(samples: pa.Array, sequences: pa.Array) -> Iterator[tuple[str | None, bytes]]:
+    """(sample, sequences joined by N) for each sample, without a Python object a sequence; a letter beyond ASCII is a '?'."""
+    coded = samples.dictionary_encode("encode")
+    codes = coded.indices.to_numpy()
+    order = np.argsort(codes, kind="stable")
+    ends = np.cumsum(np.bincount(codes, minlength=len(coded.dictionary)))
+    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), sequences.take(pa.array(order)))
+    for sample, text in zip(coded.dictionary.to_pylist(), pc.binary_join(lists, "N").to_pylist(), strict=True):
+        yield sample, text.encode("ascii", "replace")
+
+
 def pieces(batches: Iterator[pa.RecordBatch], ks: list[int]) -> Iterator[tuple[str | None, int, bytes]]:
     """(sample, k, piece) of rows (sample, sequence, seen, only): short sequences of a sample are joined to pieces of up to PIECE letters.
 
@@ -160,14 +172,23 @@ def pieces(batches: Iterator[pa.RecordBatch], ks: list[int]) -> Iterator[tuple[s
             yield from ((sample, k, data) for k in ks)
 
     for batch in batches:
-        for row in zip(batch.column(0).to_pylist(), batch.column(1), *(c.to_pylist() for c in batch.columns[2:]), strict=True):
-            sample, sequence, seen, only = row
-            data = (sequence.as_py() or "").encode("ascii", "replace")
-            if seen or only is not None or len(data) > PIECE:
-                yield from ((sample, k, piece) for k, piece in pieces_of(row, ks))
-                continue
-            held.setdefault(sample, []).append(data)
-            size += len(data) + 1
+        sequences = pc.fill_null(batch.column(1), "")
+        letters = pc.utf8_length(sequences).to_numpy().astype(np.int64)
+        alone = (batch.column(2).to_numpy() != 0) | batch.column(3).is_valid().to_numpy(zero_copy_only=False) | (letters > PIECE)
+        for at in np.flatnonzero(alone).tolist():
+            row = batch.column(0)[at].as_py(), sequences[at], batch.column(2)[at].as_py(), batch.column(3)[at].as_py()
+            yield from ((row[0], k, piece) for k, piece in pieces_of(row, ks))
+        short = np.flatnonzero(~alone)
+        ends = np.cumsum(letters[short] + 1)
+        start = 0
+        while start < len(short):
+            # As many as fill the piece, and the one that overfills it.
+            base = int(ends[start - 1]) if start else 0
+            end = min(len(short), int(np.searchsorted(ends, base + PIECE - size)) + 1)
+            own = pa.array(short[start:end])
+            for sample, data in joined(batch.column(0).take(own), sequences.take(own)):
+                held.setdefault(sample, []).append(data)
+            size, start = size + int(ends[end - 1]) - base, end
             if size >= PIECE:
                 yield from told()
                 held, size = {}, 0

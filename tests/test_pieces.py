@@ -3,6 +3,7 @@
 import gzip
 import random
 import re
+from collections import Counter
 
 import pyarrow as pa
 import pytest
@@ -12,7 +13,7 @@ from spectrafold.operators import kmers
 from spectrafold.plans import runs
 from spectrafold.sources import fasta
 
-from .fixtures import FILES, counted
+from .fixtures import FILES, counted, windows
 from .fixtures import canonical as canonical_of
 
 rng = random.Random(4)
@@ -134,3 +135,25 @@ def test_short_sequences_are_counted_together():
     for validity in ("acgt", "no_n"):
         for _, k, piece in found:
             assert kmers.window_counts(piece, k, validity, False)[1].sum() == 500 * (15 - k + 1)
+
+
+def test_short_sequences_are_joined_without_an_object_each(monkeypatch):
+    monkeypatch.setattr(kmers, "PIECE", 100)
+    texts = ["ACGTA", None, "", "AC\u00e4GT", "T" * 101, "G" * 100, "\U0001f600" * 99, *["ACG"] * 60]
+    rows = [((None, "a", "b")[i % 3], t, 3 if i == 30 else 0, 2 if i == 40 else None) for i, t in enumerate(texts)]
+    kinds = pa.schema([("sample", pa.string()), ("sequence", pa.string()), ("seen", pa.int32()), ("only", pa.int32())])
+    batches = [pa.RecordBatch.from_pylist([dict(zip(kinds.names, r, strict=True)) for r in part], kinds) for part in (rows[:20], [], rows[20:])]
+    calls = []
+    monkeypatch.setattr(kmers, "joined", lambda s, q, own=kmers.joined: calls.append(len(q)) or own(s, q))
+    got, expected = Counter(), Counter()
+    for sample, k, piece in kmers.pieces(iter(batches), [2, 3]):
+        assert len(piece) <= 202
+        for w, c in zip(*kmers.window_counts(piece, k, "no_n", False), strict=True):
+            got[sample, k, w.decode()] += int(c)
+    for sample, t, seen, only in rows:
+        for k in (2, 3):
+            t = "".join(x if x < "\x80" else "?" for x in t or "")
+            for w in windows(t[max(0, seen - k + 1) :], k) if only in (None, k) else []:
+                expected[sample, k, w] += 1
+    assert got == expected
+    assert sum(calls) == len(rows) - 3 and len(calls) < 10
