@@ -144,7 +144,7 @@ def _sums(values: DataFrame, samples: DataFrame, fields: list[str], by: tuple[st
             i, j = np.nonzero(wanted & np.logical_or.reduce([t != 0 for t in tables]))
             if len(i):
                 text = pa.array(listed, pa.string())
-                own = [pa.array([k] * len(i)) for k in key] + ([pa.array(np.full(len(i), int(part), np.int32))] if more else [])
+                own = [pa.repeat(k, len(i)) for k in key] + ([pa.array(np.full(len(i), int(part), np.int32))] if more else [])
                 yield pa.RecordBatch.from_arrays([*own, text.take(pa.array(i)), text.take(pa.array(j)), *(pa.array(t[i, j]) for t in tables)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,7 +157,7 @@ def _sums(values: DataFrame, samples: DataFrame, fields: list[str], by: tuple[st
             if end:
                 whole = chunk.slice(0, end)
                 places = cell.places(whole.column("sample"), whole.column("block").to_numpy())
-                add(cell, codes[:end], places, {f: whole.column(f) for f in fields})
+                add(cell, codes[:end], places, {f: whole.column(f) for f in (*by, *fields)})
             return None if last else chunk.slice(end)
 
         def joined(a: pa.RecordBatch | None, b: pa.RecordBatch) -> pa.RecordBatch:
@@ -179,7 +179,7 @@ def _sums(values: DataFrame, samples: DataFrame, fields: list[str], by: tuple[st
                         take(held, True)
                     yield from result(cell, key)
                     now, cell, held, waiting = name, Cell(), None, []
-                    key = tuple(batch.column(c)[a].as_py() for c in by)
+                    key = tuple(batch.column(c)[a] for c in by)
                 waiting.append(batch.slice(a, b - a))
                 if sum(map(len, waiting)) >= ENTRIES:
                     held = take(joined(held, pa.Table.from_batches(waiting).combine_chunks().to_batches()[0]), False)
@@ -223,10 +223,10 @@ def pair_sums(values: DataFrame, samples: DataFrame, fields: list[str], terms: C
     return _sums(values, samples, fields, (), add, Cell.room, names)
 
 
-def grid_sums(values: DataFrame, samples: DataFrame, fields: list[str], factors: Callable[[dict[str, np.ndarray]], dict[int, tuple[np.ndarray, np.ndarray]]]) -> DataFrame:
-    """(g, i, j, ij, ji) like product_sums, for each g that `factors` gives left and right of; entries are shuffled once for all of them.
+def grid_sums(values: DataFrame, samples: DataFrame, fields: list[str], factors: Callable[[dict[str, np.ndarray]], dict[int, tuple[np.ndarray, np.ndarray]]], by: tuple[str, ...] = ()) -> DataFrame:
+    """(*by, g, i, j, ij, ji) like product_sums, for each g that `factors` gives left and right of; entries are shuffled once for all of them.
 
-    A field may hold an array an entry, all of one length.
+    A field may hold an array an entry, all of one length. `factors` is given the columns of `by`, too, one value a call.
     """
 
     def add(cell: Cell, features: np.ndarray, places: np.ndarray, own: dict[str, pa.Array]) -> None:
@@ -238,4 +238,4 @@ def grid_sums(values: DataFrame, samples: DataFrame, fields: list[str], factors:
         part, _, t = name.rpartition("|")
         return cell.room(f"{part}|ij") if t == "ij" else cell.room(f"{part}|ij").T
 
-    return _sums(values, samples, fields, (), add, out, ["ij", "ji"], more="g")
+    return _sums(values, samples, fields, by, add, out, ["ij", "ji"], more="g")

@@ -88,14 +88,15 @@ def by_document_frequency(counts: DataFrame, least: int = 1, largest_share: floa
     return feature_stats(counts).crossJoin(F.broadcast(every)).where((F.col("df") >= least) & (F.col("df") <= most)).select("feature", "df", "n")
 
 
-def profiles(counts: DataFrame) -> DataFrame:
-    """(profile, many): the distinct vectors of counts over samples, and how many features have each.
+def profiles(counts: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(*by, profile, many): the distinct vectors of counts over samples, and how many features have each.
 
     A distance depends on a feature by its vector alone, so all distances and all parameters of a sweep need only these. A
-    vector lists the samples that have the feature, in order: one entry a sample at most.
+    vector lists the samples that have the feature, in order: one entry a sample at most. Counts may be compressed already.
     """
     vector = F.array_sort(F.collect_list(F.struct("sample", "c")))
-    return counts.groupBy("feature").agg(vector.alias("profile")).groupBy("profile").agg(F.count("*").alias("many"))
+    vectors = counts.groupBy(*by, "feature").agg(vector.alias("profile"), F.first(many(counts)).alias("many"))
+    return vectors.groupBy(*by, "profile").agg(F.sum("many").alias("many"))
 
 
 def compressed(counts: DataFrame) -> DataFrame:
@@ -105,13 +106,10 @@ def compressed(counts: DataFrame) -> DataFrame:
 
 def compressed_by(counts: DataFrame, by: str) -> DataFrame:
     """(by, sample, feature, c, many): the same for each value of a column, such as k, in one plan."""
-    vector = F.array_sort(F.collect_list(F.struct("sample", "c")))
-    vectors = counts.groupBy(by, "feature").agg(vector.alias("profile")).groupBy(by, "profile").agg(F.count("*").alias("many"))
-    numbered = vectors.withColumn("feature", F.xxhash64("profile").cast("string"))
-    return numbered.select(by, "feature", "many", F.explode("profile").alias("p")).select(by, "p.sample", "feature", "p.c", "many")
+    return from_profiles(profiles(counts, (by,)), (by,))
 
 
-def from_profiles(vectors: DataFrame) -> DataFrame:
-    """counts (sample, feature, c, many) with a feature for each distinct vector."""
+def from_profiles(vectors: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """counts (*by, sample, feature, c, many) with a feature for each distinct vector."""
     numbered = vectors.withColumn("feature", F.xxhash64("profile").cast("string"))
-    return numbered.select("feature", "many", F.explode("profile").alias("p")).select("p.sample", "feature", "p.c", "many")
+    return numbered.select(*by, "feature", "many", F.explode("profile").alias("p")).select(*by, "p.sample", "feature", "p.c", "many")

@@ -13,11 +13,12 @@ import math
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from ..functions import formulas
 from . import checks, vectors
 from .blocks import Fields, grid_sums, pair_sums, product_sums
-from .counts import by_document_frequency, feature_stats, many, overall, presence, sample_stats
+from .counts import by_document_frequency, feature_stats, many, overall, presence, profiles, sample_stats
 
 #: Configurations of a grid that one task adds up together: a table of pairs of samples for each.
 GRID = 8
@@ -69,8 +70,8 @@ def _kl_parts(values: DataFrame, samples: DataFrame, every: DataFrame, by: tuple
     return _kl_joined(pairs, meet, by)
 
 
-def _kl_joined(pairs: DataFrame, meet: DataFrame, by: tuple[str, ...]) -> DataFrame:
-    """The divergences from each sample's own sums, in pairs, and the sums over what both share."""
+def _kl_both(pairs: DataFrame, meet: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """(*by, i, j, forward, back): the divergences of i from j and of j from i, from each sample's own sums, in pairs, and the sums over what both share."""
     joined = pairs.join(meet, [*by, "i", "j"], "left").withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("ij", "ji")})
 
     def cross(x: str, y: str, both: str) -> Column:
@@ -79,8 +80,13 @@ def _kl_joined(pairs: DataFrame, meet: DataFrame, by: tuple[str, ...]) -> DataFr
 
     forward = cross("i", "i", "wde_i") - cross("i", "j", "ij")
     back = cross("j", "j", "wde_j") - cross("j", "i", "ji")
-    two = F.explode(F.array(F.struct(F.col("i").alias("sample_i"), F.col("j").alias("sample_j"), forward.alias("d")), F.struct(F.col("j").alias("sample_i"), F.col("i").alias("sample_j"), back.alias("d"))))
-    return joined.select(*by, two.alias("p")).select(*by, "p.*")
+    return joined.select(*by, "i", "j", forward.alias("forward"), back.alias("back"))
+
+
+def _kl_joined(pairs: DataFrame, meet: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """(*by, sample_i, sample_j, d): the same with a row for each direction."""
+    two = F.explode(F.array(F.struct(F.col("i").alias("sample_i"), F.col("j").alias("sample_j"), F.col("forward").alias("d")), F.struct(F.col("j").alias("sample_i"), F.col("i").alias("sample_j"), F.col("back").alias("d"))))
+    return _kl_both(pairs, meet, by).select(*by, two.alias("p")).select(*by, "p.*")
 
 
 def kl_directed(counts: DataFrame, alpha: float = 1.0, weight: DataFrame | None = None) -> DataFrame:
@@ -101,45 +107,59 @@ def kl_directed(counts: DataFrame, alpha: float = 1.0, weight: DataFrame | None
 
 
 def kl_grid(counts: DataFrame, grid: list[tuple[int, float, float | None]], kind: str = "one", cap: float | None = None, scale: bool = False, clip: str = "symmetric") -> DataFrame:
-    """(g, sample_i, sample_j, d) for i < j: kl_symmetric for each (g, alpha, beta) of a grid.
+    """(g, sample_i, sample_j, d) for i < j: kl_symmetric for each (g, alpha, beta) of a grid."""
+    vectors = profiles(counts).withColumn("k", F.lit(0))
+    return kl_grid_by_k(vectors, [(g, 0, alpha, beta) for g, alpha, beta in grid], kind, cap, scale, clip)
+
+
+def kl_grid_by_k(vectors: DataFrame, grid: list[tuple[int, int, float, float | None]], kind: str = "one", cap: float | None = None, scale: bool = False, clip: str = "symmetric") -> DataFrame:
+    """(g, sample_i, sample_j, d) for i < j: kl_symmetric for each (g, k, alpha, beta) of a grid, of the vectors (k, profile, many) of that k.
 
-    The counts are joined with an array of the weights that the betas give each feature, and dealt to cells, once for
-    GRID configurations; alpha and beta take effect within a task.
+    A vector holds all counts of its features, so their weights, an array for all betas, are made in its row. The entries get
+    what is a row a sample by broadcast (the result has a row a pair), and are dealt to cells once for GRID configurations
+    of each k; alpha and beta take effect within a task. All k are one plan.
     """
-    spark = counts.sparkSession
-    betas = sorted({b or 0.0 for _, _, b in grid})
-    features = feature_stats(counts)
-    every = features.agg(F.sum(F.col("c") * F.col("many")).alias("total"), F.sum("many").alias("vocabulary"))
-    per = features.crossJoin(_one(every))
+    betas = sorted({b or 0.0 for _, _, _, b in grid})
+    number = "long" if isinstance(vectors.schema["profile"].dataType.elementType["c"].dataType, IntegralType) else "double"
+    features = vectors.where(F.col("k").isin([k for _, k, _, _ in grid])).withColumn("c", F.aggregate("profile", F.lit(0).cast(number), lambda s, p: s + p["c"].cast(number)))
+    every = features.groupBy("k").agg(F.sum(F.col("c") * F.col("many")).alias("total"), F.sum("many").alias("vocabulary"))
     of = lambda b: formulas.weight(formulas.smoothed(F.col("c"), F.col("total"), b, F.col("vocabulary")), kind)
     capped = lambda b: F.least(of(b), F.lit(float(cap))) if kind != "one" and cap is not None else of(b)
-    weight = per.select("feature", "many", *(capped(b).alias(f"w{i}") for i, b in enumerate(betas)))
     names = [f"w{i}" for i in range(len(betas))]
+    weight = features.join(_one(every), "k").select("k", "profile", "many", F.col("vocabulary").cast("double").alias("v"), *(capped(b).alias(n) for n, b in zip(names, betas, strict=True)))
     if kind != "one" and scale:
-        most = weight.agg(*(F.max(n).alias(f"most{n}") for n in names))
-        weight = weight.crossJoin(_one(most)).select("feature", "many", *((F.col(n) / F.col(f"most{n}")).alias(n) for n in names))
-    weight = weight.select("feature", F.array(*(F.col(n) * F.col("many") for n in names)).alias("ws"))
-    sums = weight.agg(F.array(*(F.sum(F.col("ws")[i]) for i in range(len(betas)))).alias("sums"))
-    totals = sample_stats(counts).select("sample", F.col("total").cast("double").alias("total")).crossJoin(_one(every.select(F.col("vocabulary").cast("double").alias("v"))))
-    values = counts.select("sample", "feature", F.col("c").cast("double").alias("c")).join(totals, "sample").join(weight, "feature")
+        most = weight.groupBy("k").agg(*(F.max(n).alias(f"most{n}") for n in names))
+        weight = weight.join(_one(most), "k").select("k", "profile", "many", "v", *((F.col(n) / F.col(f"most{n}")).alias(n) for n in names))
+    weight = weight.select("k", F.xxhash64("profile").cast("string").alias("feature"), "profile", "many", "v", F.array(*(F.col(n) * F.col("many") for n in names)).alias("ws"))
+    sums = weight.groupBy("k").agg(F.array(*(F.sum(F.col("ws")[i]) for i in range(len(betas)))).alias("sums"))
+    entries = weight.select("k", "feature", "many", "v", "ws", F.explode("profile").alias("p")).select("k", "feature", "many", "v", "ws", "p.sample", "p.c")
+    totals = entries.groupBy("k", "sample").agg(F.sum(F.col("c") * F.col("many")).cast("double").alias("total"))
+    values = entries.join(_one(totals), ["k", "sample"]).select("k", "feature", "sample", F.col("c").cast("double").alias("c"), "total", "v", "ws")
+    passes: dict[int, list[tuple]] = {}
+    for at, (g, k, alpha, beta) in enumerate(grid):
+        before = sum(other[1] == k for other in grid[:at])
+        passes.setdefault(before // GRID, []).append((g, k, float(alpha), betas.index(beta or 0.0)))
     out = None
-    for start in range(0, len(grid), GRID):
-        part = [(g, float(alpha), betas.index(beta or 0.0)) for g, alpha, beta in grid[start : start + GRID]]
-        here = spark.createDataFrame(part, "g int, alpha double, b int")
-        each = values.crossJoin(_one(here)).withColumn("w", F.get("ws", "b"))
-        a = formulas.smoothed(F.lit(0), F.col("total"), F.col("alpha"), F.col("v"))
-        each = each.withColumn("a", a).withColumn("p", formulas.smoothed(F.col("c"), F.col("total"), F.col("alpha"), F.col("v"))).withColumn("d", F.col("p") - F.col("a")).withColumn("e", F.log("p") - F.log("a"))
-        pairs = every_pair(_own_sums(each, ("g",)), ["a", "wd", "we", "wde"], ("g",))
-        pairs = pairs.join(_one(here.crossJoin(_one(sums)).select("g", F.get("sums", "b").alias("W"))), "g")
+    for part in passes.values():
+        here = F.array(*(F.struct(F.lit(g).alias("g"), F.lit(k).alias("k"), F.lit(alpha).alias("alpha"), F.lit(b).alias("b")) for g, k, alpha, b in part))
+        own_of = lambda here=here: F.explode(F.filter(here, lambda x: x["k"] == F.col("k"))).alias("x")
+        each = values.select("k", "sample", "c", "total", "v", "ws", own_of()).select("k", "x.g", "sample", "c", "total", "v", F.get("ws", F.col("x.b")).alias("w"), "x.alpha")
+        p = lambda c: formulas.smoothed(c, F.col("total"), F.col("alpha"), F.col("v"))
+        each = each.withColumn("a", p(F.lit(0))).withColumn("p", p(F.col("c"))).withColumn("d", F.col("p") - F.col("a")).withColumn("e", F.log("p") - F.log("a"))
+        pairs = every_pair(_own_sums(each, ("k", "g")), ["a", "wd", "we", "wde"], ("k", "g"))
+        pairs = pairs.join(_one(sums.select("k", "sums", own_of()).select("k", "x.g", F.get("sums", F.col("x.b")).alias("W"))), ["k", "g"])
 
         def factors(table: dict[str, np.ndarray], part=part) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-            found = {}
-            for g, alpha, b in part:
+            found, at = {}, int(table["k"][0])
+            for g, _, alpha, b in (c for c in part if c[1] == at):
                 mass = table["total"] + alpha * table["v"]
                 found[g] = table["ws"][:, b] * (table["c"] / mass), np.log((table["c"] + alpha) / mass) - np.log(alpha / mass)
             return found
 
-        one = symmetric(_kl_joined(pairs, grid_sums(values, counts, ["c", "total", "v", "ws"], factors), ("g",)), clip, ("g",))
+        both = _kl_both(pairs, grid_sums(values, totals, ["c", "total", "v", "ws"], factors, ("k",)), ("k", "g"))
+        forward, back = ((F.greatest(c, F.lit(0.0)) if clip == "directed" else F.col(c)) for c in ("forward", "back"))
+        one = both.select("g", F.col("i").alias("sample_i"), F.col("j").alias("sample_j"), ((forward + back) / 2).alias("d"))
+        one = clipped(one) if clip == "symmetric" else one
         out = one if out is None else out.unionByName(one)
     return out
 

@@ -10,7 +10,9 @@ from ..functions import formulas
 
 def both_ways(pairs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Each pair in both directions."""
-    return pairs.select(*by, "sample_i", "sample_j", "d").unionByName(pairs.select(*by, F.col("sample_j").alias("sample_i"), F.col("sample_i").alias("sample_j"), "d"))
+    i, j = F.col("sample_i"), F.col("sample_j")
+    two = F.explode(F.array(F.struct(i, j), F.struct(j.alias("sample_i"), i.alias("sample_j"))))
+    return pairs.select(*by, two.alias("_p"), "d").select(*by, "_p.sample_i", "_p.sample_j", "d")
 
 
 def labelled_pairs(pairs: DataFrame, labels: DataFrame) -> DataFrame:

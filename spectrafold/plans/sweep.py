@@ -12,6 +12,7 @@ from ..config import Config
 from ..operators import counts as A
 from ..operators import distance as D
 from ..operators import metrics as M
+from .shared import written
 
 
 def grid(config: Config, **values: Iterable) -> list[Config]:
@@ -22,30 +23,34 @@ def grid(config: Config, **values: Iterable) -> list[Config]:
 def kl_sweep(counts: DataFrame, labels: DataFrame, configs: list[Config]) -> DataFrame:
     """(k, alpha, beta, silhouette), a row for each configuration, from one table of counts.
 
-    Configurations that differ in k, alpha and beta only are one plan: their grid is joined to the compressed counts.
-    beta null stands for equal weights. Of equal labels, or without pairs, the score is NaN.
+    Configurations that differ in k, alpha and beta only are one plan. beta null stands for equal weights. Of equal labels,
+    or without pairs, the score is NaN.
     """
-    spark, compressed = counts.sparkSession, A.compressed(counts)
-    kinds: dict[tuple, list[Config]] = {}
-    for config in configs:
-        if config.alpha <= 0:
-            raise ValueError("alpha must be positive: absent features have no logarithm")
-        kinds.setdefault((config.weight, config.cap_weight, config.scale_weight, config.clip, config.singletons), []).append(config)
-    out = None
-    for (weight, cap, scale, clip, singletons), same in kinds.items():
-        grid = spark.createDataFrame([(g, c.k, float(c.alpha), None if c.beta is None else float(c.beta)) for g, c in enumerate(same)], "g int, k int, alpha double, beta double")
-        pairs = D.kl_grid(compressed, [(g, c.alpha, c.beta) for g, c in enumerate(same)], weight, cap, scale, clip)
-        scores = grid.join(M.grid_scores(pairs, labels, "g", singletons), "g", "left").fillna(float("nan"), ["silhouette"])
-        rows = scores.select("k", "alpha", "beta", "silhouette")
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    return _swept(counts.withColumn("k", F.lit(0)), labels, [(0, config) for config in configs])
 
 
 def kl_sweep_by_k(counts: DataFrame, labels: DataFrame, configs: list[Config]) -> DataFrame:
-    """(k, alpha, beta, silhouette) like kl_sweep, from counts(k, sample, feature, c) of all k together."""
+    """(k, alpha, beta, silhouette) like kl_sweep, from counts(k, sample, feature, c) of all k together, which are read once."""
+    return _swept(counts, labels, [(config.k, config) for config in configs])
+
+
+def _swept(counts: DataFrame, labels: DataFrame, configs: list[tuple[int, Config]]) -> DataFrame:
+    """(k, alpha, beta, silhouette) of each configuration, from the counts of the k that stands before it.
+
+    The distinct vectors of counts are written once, so that no branch of the plan makes them again.
+    """
+    kinds: dict[tuple, list[tuple[int, Config]]] = {}
+    for at, config in configs:
+        if config.alpha <= 0:
+            raise ValueError("alpha must be positive: absent features have no logarithm")
+        kinds.setdefault((config.weight, config.cap_weight, config.scale_weight, config.clip, config.singletons), []).append((at, config))
+    vectors = written(A.profiles(counts.where(F.col("k").isin([at for at, _ in configs])), ("k",)), "profiles")
     out = None
-    for k in dict.fromkeys(c.k for c in configs):
-        rows = kl_sweep(counts.where(F.col("k") == k).drop("k"), labels, [c for c in configs if c.k == k])
+    for (weight, cap, scale, clip, singletons), same in kinds.items():
+        pairs = D.kl_grid_by_k(vectors, [(g, at, c.alpha, c.beta) for g, (at, c) in enumerate(same)], weight, cap, scale, clip)
+        scores = M.grid_scores(pairs, labels, "g", singletons)
+        grid = F.array(*(F.struct(F.lit(g).alias("g"), F.lit(c.k).alias("k"), F.lit(float(c.alpha)).alias("alpha"), F.lit(c.beta).cast("double").alias("beta")) for g, (_, c) in enumerate(same)))
+        rows = counts.sparkSession.range(1).select(F.inline(grid)).join(scores, "g", "left").fillna(float("nan"), ["silhouette"]).select("k", "alpha", "beta", "silhouette")
         out = rows if out is None else out.unionByName(rows)
     return out
 

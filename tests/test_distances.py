@@ -263,6 +263,35 @@ def test_sweep_of_several_kinds_is_each_alone(spark):
         sweep.kl_sweep(counts, labels, [Config(alpha=0.0)])
 
 
+def test_sweep_over_k_is_one_plan(spark):
+    """All k share one plan, which reads the counts once; before, each k had its own, and each branch of it made the vectors anew."""
+    labels = spark.createDataFrame(list(zip(sorted(DATA), LABELS, strict=True)), "sample string, label string")
+    read = spark.sparkContext.accumulator(0)
+
+    def told(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    # Of k = 5, every second feature; of k = 7 none.
+    both = frame(spark).select(F.explode(F.array(F.lit(3), F.lit(5))).alias("k"), "sample", "feature", "c").where((F.col("k") == 3) | (F.abs(F.hash("feature")) % 2 == 0)).persist()
+    counts = both.mapInArrow(told, both.schema)
+    configs = sweep.grid(Config(beta=1.0, weight="inverse"), k=(3, 5, 7), alpha=(0.1, 0.5, 1.0, 2.0, 4.0), beta=(1.0, 2.0))
+    swept = sweep.kl_sweep_by_k(counts, labels, configs)
+    rows = {(r["k"], r["alpha"], r["beta"]): r["silhouette"] for r in swept.collect()}
+    assert read.value == both.count() and len(rows) == 30
+    for k in (3, 5):
+        alone = sweep.kl_sweep(both.where(F.col("k") == k).drop("k"), labels, [c for c in configs if c.k == k])
+        for r in alone.collect():
+            assert math.isclose(rows[k, r["alpha"], r["beta"]], r["silhouette"], rel_tol=1e-9)
+        one = M.overall(M.silhouettes(runs.pairs(both.where(F.col("k") == k).drop("k"), "kl", configs[-1].but(k=k)), labels)).first()[0]
+        assert math.isclose(rows[k, 4.0, 2.0], one, rel_tol=1e-9)
+    assert rows[3, 4.0, 2.0] != rows[5, 4.0, 2.0] and all(math.isnan(v) for (k, _, _), v in rows.items() if k == 7)
+    shuffles = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange")
+    few = [c for c in configs if c.beta == 1.0 and c.alpha <= 1.0]
+    assert shuffles(sweep.kl_sweep_by_k(counts, labels, few)) == shuffles(sweep.kl_sweep_by_k(counts, labels, [c for c in few if c.k == 3]))
+
+
 def test_kwip_of_one_weighted_feature(spark):
     n = {"a": 10_007, "b": 10_009, "c": 20_011, "d": 0}
     rows = [(s, "all", 5) for s in n] + [(s, "one", c) for s, c in n.items() if c]
